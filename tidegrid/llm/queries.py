@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from tidegrid.llm.decontamination import op10_benchmark_decontamination
 from tidegrid.llm.packing import op7_best_fit_packing
+from tidegrid.llm.simhash import op4_simhash_near_dedup
 
 
 def queries() -> dict:
     return {
+        "op10_benchmark_decontamination": op10_benchmark_decontamination,
+        "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
     }
 
