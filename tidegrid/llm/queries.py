@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tidegrid.llm.decontamination import op10_benchmark_decontamination
 from tidegrid.llm.packing import op7_best_fit_packing
+from tidegrid.llm.pii import op8_pii_candidates
+from tidegrid.llm.quality import OP5_SQL, op5_quality_rules
 from tidegrid.llm.simhash import op4_simhash_near_dedup
 
 
@@ -11,9 +13,11 @@ def queries() -> dict:
     return {
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_quality_rules": op5_quality_rules,
+        "op8_pii_candidates": op8_pii_candidates,
         "op7_best_fit_packing": op7_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_rules": OP5_SQL}
