@@ -7,6 +7,7 @@ from tidegrid.llm.packing import op7_best_fit_packing
 from tidegrid.llm.pii import op8_pii_candidates
 from tidegrid.llm.quality import OP5_SQL, op5_quality_rules
 from tidegrid.llm.simhash import op4_simhash_near_dedup
+from tidegrid.llm.warc import OP2_SQL, op2_warc_round_trip
 
 
 def queries() -> dict:
@@ -15,9 +16,10 @@ def queries() -> dict:
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op8_pii_candidates": op8_pii_candidates,
+        "op2_warc_round_trip": op2_warc_round_trip,
         "op7_best_fit_packing": op7_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL}
+    return {"op2_warc_round_trip": OP2_SQL, "op5_quality_rules": OP5_SQL}
