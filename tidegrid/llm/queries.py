@@ -6,6 +6,7 @@ from tidegrid.llm.decontamination import op10_benchmark_decontamination
 from tidegrid.llm.packing import op7_best_fit_packing
 from tidegrid.llm.pii import op8_pii_candidates
 from tidegrid.llm.quality import OP5_SQL, op5_quality_rules
+from tidegrid.llm.secrets import op9_secret_scan
 from tidegrid.llm.simhash import op4_simhash_near_dedup
 from tidegrid.llm.warc import OP2_SQL, op2_warc_round_trip
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op5_quality_rules": op5_quality_rules,
         "op8_pii_candidates": op8_pii_candidates,
         "op2_warc_round_trip": op2_warc_round_trip,
+        "op9_secret_scan": op9_secret_scan,
         "op7_best_fit_packing": op7_best_fit_packing,
     }
 
