@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidegrid.llm.decontamination import op10_benchmark_decontamination
+from tidegrid.llm.langid import op3_language_id
 from tidegrid.llm.packing import op7_best_fit_packing
 from tidegrid.llm.pii import op8_pii_candidates
 from tidegrid.llm.quality import OP5_SQL, op5_quality_rules
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op8_pii_candidates": op8_pii_candidates,
         "op2_warc_round_trip": op2_warc_round_trip,
         "op9_secret_scan": op9_secret_scan,
+        "op3_language_id": op3_language_id,
         "op7_best_fit_packing": op7_best_fit_packing,
     }
 
