@@ -6,7 +6,9 @@ from tidegrid.llm.decontamination import op10_benchmark_decontamination
 from tidegrid.llm.langid import op3_language_id
 from tidegrid.llm.packing import op7_best_fit_packing
 from tidegrid.llm.pii import op8_pii_candidates
+from tidegrid.llm.ppm import op6_ppm_scoring
 from tidegrid.llm.quality import OP5_SQL, op5_quality_rules
+from tidegrid.llm.repeats import op1_suffix_array_dedup
 from tidegrid.llm.secrets import op9_secret_scan
 from tidegrid.llm.simhash import op4_simhash_near_dedup
 from tidegrid.llm.warc import OP2_SQL, op2_warc_round_trip
@@ -21,6 +23,8 @@ def queries() -> dict:
         "op2_warc_round_trip": op2_warc_round_trip,
         "op9_secret_scan": op9_secret_scan,
         "op3_language_id": op3_language_id,
+        "op6_ppm_scoring": op6_ppm_scoring,
+        "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
     }
 
