@@ -1,13 +1,66 @@
-"""Corpus pipeline: quality rules, near-dedup, decontamination, PII redaction, packing."""
+"""Corpus pipeline: quality rules, SimHash near-dedup, benchmark decontamination, PII redaction, best-fit packing.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and but for the last returns the columns of
+docs. Rows with a null doc_id can't be told apart by id: the stages that decide by id leave them in.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegrid.llm.common import scratch_path, table
+from tidegrid.llm.decontamination import contamination
+from tidegrid.llm.packing import pack
+from tidegrid.llm.pii import redact
+from tidegrid.llm.quality import rejected_by
+from tidegrid.llm.simhash import fingerprints, groups
 
+#: No SQL: the PII stage's added spans come from boosted trees, and bins are packed online.
 ORACLE_SQL = None
-STAGES: list = []
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return docs.filter(rejected_by(docs).isNull())
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near-duplicates; one row of repeated rows."""
+    found = groups(fingerprints(docs))
+    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.filter("n_hit > 0").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each span of personal data replaced by its kind; n_chars follows the text."""
+    redacted = redact(docs)
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+        redacted = redacted.withColumn("n_chars", changed)
+    return redacted.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces in sequences."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("redact_pii", redact_pii),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
