@@ -75,4 +75,4 @@ def erfc(x: Column) -> Column:
 
 
 def normal_two_sided(z: Column) -> Column:
-    return F.least(erfc(F.abs(z) / (2**0.5)), F.lit(1.0))
+    return F.when(z.isNotNull(), F.least(erfc(F.abs(z) / (2**0.5)), F.lit(1.0)))

@@ -47,7 +47,7 @@ def permutation_entropy(x: Column) -> Column:
 
 
 def higuchi_slopes(x: np.ndarray, k_max: int = 10) -> np.ndarray:
-    """Fractal dimension of each row by Higuchi's curve lengths."""
+    """Slope of Higuchi's curve lengths of each row; lengths are divided by k once, so a line has 0 and white noise 1."""
     n = x.shape[1]
     logs, scales = [], []
     for k in range(1, k_max + 1):
