@@ -122,3 +122,46 @@ def test_streamed_blocks_equal_batch_blocks(spark, tmp_path):
     day = F.date_trunc("day", F.col("ts").cast("timestamp"))
     batch = events.groupBy("user_id", day.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms")).collect()
     assert streamed == {(r.user_id, r.d): (r.n, round(r.rms, 6)) for r in batch}
+
+
+def test_research_mode_analyses_every_window(spark, tmp_path):
+    from tidegrid.config import PRIMARY_FEATURES
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(48):
+        for w in ("w1", "w2"):
+            rows.append((f"{i % 3:04d}{i:04d}", w, i % 2, 30.0 + i % 7, *(float(rng.normal(i % 2)) for _ in PRIMARY_FEATURES)))
+    names = [f"p__{f}" for f in PRIMARY_FEATURES]
+    every = spark.createDataFrame(rows, f"subject_id string, window_key string, label int, age double, {', '.join(n + ' double' for n in names)}")
+    analytic = every.filter("window_key = 'w1'").selectExpr("*", "substr(subject_id, 1, 4) as id_prefix")
+    cfg = Settings(inference=Inference(outer_folds=3, outer_repeats=2, inner_folds=2, grid=(0.1,), n_permutations=6, matched_repeats=1, n_boot=50))
+    found = cohort.analyse_groups(analytic, every, str(tmp_path), cfg)
+    low, high = found["metrics"]["roc_auc_ci95"]
+    assert 0.8 < found["metrics"]["roc_auc"] <= 1 and low <= found["metrics"]["roc_auc"] <= high
+    assert found["metrics"]["roc_auc"] > found["baselines"]["demographic"]["roc_auc"] and found["permutation"]["p_value"] < 0.3
+    assert found["concordance"]["w2"]["n_features"] == 9 and not found["batch"]["flagged"]
+
+
+def test_fixed_windows_and_own_reference(spark):
+    fixed = Temporal(mode="fixed", fixed_skip=60, fixed_window=240)
+    got = timegrid.temporal_protocol(spark.createDataFrame([("a", 1.0, 400.0), ("b", 1.0, 200.0)], "s string, settling double, duration double"), "settling", "duration", fixed).first()
+    assert got.n_eligible == 1 and got.n_short == 1 and got.starts == [60.0] and got.window == 240
+    blocks = [(s, b, 10.0, 1.0, [0.7, 0.3] if (s == "a") == (b > 2) else [0.3, 0.7]) for s in "ab" for b in range(10)]
+    df = spark.createDataFrame(blocks, "s string, block long, n double, rms double, prof array<double>")
+    own = timegrid.settling_time(timegrid.block_stability(df, "s", "block", Temporal(reference="self", tol_js=0.05), 2), "s", "block")
+    assert {r.s: r.first_stable for r in own.collect()} == {"a": 3, "b": 3}
+
+
+def test_bootstrap_auc_is_centred_on_the_auc(spark):
+    from tidegrid.operators import stats
+
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 2, float(rng.normal(i % 2))) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, label int, score double")
+    aucs = [r.auc for r in stats.bootstrap_auc(df, "id", "label", "score", 60).collect()]
+    long = df.selectExpr("id", "label", "score as value", "'f' as feature")
+    g = long.groupBy("feature").agg(stats.hedges_g("value", "label").alias("g")).first().g
+    ci = stats.bootstrap_g(long, "id", "value", "label", 60).first()
+    assert ci.g_ci_low < g < ci.g_ci_high
+    assert np.mean(aucs) == pytest.approx(learn.auc(np.array([r[1] for r in rows]), np.array([r[2] for r in rows])), abs=0.02)

@@ -70,9 +70,14 @@ class Temporal:
     tol_log2: float = 0.35
     tol_js: float = 0.15
     terminal_blocks: int = 5
+    reference: str = "cohort"
+    fixed_skip: float = 60.0
+    fixed_window: float = 240.0
 
     def __post_init__(self) -> None:
         _require(self.mode in ("derived", "fixed"), "the temporal mode is derived or fixed")
+        _require(self.reference in ("cohort", "self"), "the settling reference is cohort or self")
+        _require(self.fixed_skip >= 0 and self.fixed_window > 0, "the fixed window must be positive")
         _require(0 <= self.min_skip <= self.max_skip, "the skip bounds must be ascending")
         _require(0 < self.quantile <= 1, "the quantile lies in (0, 1]")
         _require(0 < self.target <= self.max_window and self.n_windows >= 1, "the windows must be positive")

@@ -58,3 +58,12 @@ def unwrap(value: Column, bits: int = 32) -> Column:
 
 def is_wrapped(value: Column, bits: int = 32) -> Column:
     return value > 2 ** (bits - 1)
+
+
+def sex_report(df: DataFrame, column: str) -> DataFrame:
+    """One row: how many values were read as text, as numbers or not at all, and the coding of the numbers."""
+    parsed = parse_sex(df, column, "__sex")
+    text = sex_from_text(F.col(column))
+    code = F.when(text.isNull(), F.col(column).try_cast("double"))
+    coding = F.when(F.bool_and(code.isin(1.0, 2.0)), "1=male,2=female").when(F.bool_and(code.isin(0.0, 1.0)), "0/1").otherwise("none")
+    return parsed.agg(F.count(F.lit(1)).alias("n"), F.count(text).alias("n_text"), F.count_if(text.isNull() & F.col("__sex").isNotNull()).alias("n_numeric"), F.count_if(F.col("__sex").isNull()).alias("n_unresolved"), coding.alias("coding"))

@@ -48,3 +48,9 @@ def prefixed(df: DataFrame, prefix: str) -> list[str]:
 
 def failures_by_stage(failures: DataFrame, stage: str, subject: str) -> DataFrame:
     return failures.groupBy(stage).agg(F.count(F.lit(1)).alias("n_failures"), F.count_distinct(subject).alias("n_subjects"))
+
+
+def null_report(df: DataFrame) -> DataFrame:
+    """(column, n_null): one pass over the table."""
+    counts = df.agg(*(F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns))
+    return counts.unpivot([], df.columns, "column", "n_null")

@@ -161,6 +161,38 @@ def bootstrap_means(df: DataFrame, key: str, keys: Sequence[str], value: str, n:
     return many.groupBy(*keys, "b").agg(F.try_divide(F.sum(F.col("__w") * F.col(value)), F.sum("__w")).alias("mean"))
 
 
+def bootstrap_g(long: DataFrame, key: str, value: str, label: str, n: int) -> DataFrame:
+    """(feature, g_ci_low, g_ci_high): percentile interval of Hedges g over n Poisson bootstrap samples of the subjects."""
+    u = hash_int(F.col(key), F.col("b")) / float(2**32)
+    weight = sum(((u >= c).cast("int") for c in POISSON), F.lit(0))
+    many = long.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("__w", weight.cast("double"))
+    sums = []
+    for k in (1, 0):
+        w = F.when(F.col(label) == k, F.col("__w"))
+        sums += [F.sum(w).alias(f"n{k}"), F.sum(w * F.col(value)).alias(f"s{k}"), F.sum(w * F.col(value) * F.col(value)).alias(f"q{k}")]
+    by = many.groupBy("feature", "b").agg(*sums)
+    mean = lambda k: F.try_divide(F.col(f"s{k}"), F.col(f"n{k}"))
+    scatter = lambda k: F.col(f"q{k}") - F.col(f"s{k}") * mean(k)
+    total_n = F.col("n1") + F.col("n0")
+    pooled = F.sqrt(F.greatest(F.try_divide(scatter(1) + scatter(0), total_n - 2), F.lit(0.0)))
+    g = F.try_divide(mean(1) - mean(0), F.nullif(pooled, F.lit(0.0))) * (F.lit(1.0) - F.try_divide(F.lit(3.0), 4 * total_n - 9))
+    usable = F.when((F.col("n1") >= 2) & (F.col("n0") >= 2), g)
+    return by.select("feature", usable.alias("g")).groupBy("feature").agg(F.percentile("g", F.lit(0.025)).alias("g_ci_low"), F.percentile("g", F.lit(0.975)).alias("g_ci_high"))
+
+
+def bootstrap_auc(df: DataFrame, key: str, label: str, score: str, n: int) -> DataFrame:
+    """(b, auc) of n Poisson bootstrap samples of the subjects; null where a sample has one class only.
+
+    Weights of equal scores are summed first; the rest is a running sum by score within each sample.
+    """
+    u = hash_int(F.col(key), F.col("b")) / float(2**32)
+    weight = sum(((u >= c).cast("int") for c in POISSON), F.lit(0))
+    many = df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("__w", weight)
+    points = many.groupBy("b", score).agg(F.sum(F.col("__w") * F.col(label)).cast("double").alias("__one"), F.sum(F.col("__w") * (1 - F.col(label))).cast("double").alias("__zero"))
+    below = F.sum("__zero").over(Window.partitionBy("b").orderBy(score)) - F.col("__zero") / 2
+    return points.withColumn("__below", below).groupBy("b").agg(F.try_divide(F.sum(F.col("__one") * F.col("__below")), F.nullif(F.sum("__one") * F.sum("__zero"), F.lit(0.0))).alias("auc"))
+
+
 def sign_agreement(effects: DataFrame, a: str, b: str) -> DataFrame:
     """One row: how many features have effects of the same sign, its binomial p, and the effects' Spearman correlation."""
     good = effects.filter(number(F.col(a)).isNotNull() & number(F.col(b)).isNotNull())

@@ -68,16 +68,21 @@ def cohort_reference(blocks: DataFrame, entity: str, block: str, cfg: Temporal,
 
 
 def block_stability(blocks: DataFrame, entity: str, block: str, cfg: Temporal, width: int, use_profile: bool = True) -> DataFrame:
-    """Each block with its deviations from the end of its record and from the cohort's reference, and whether it is stable.
+    """Each block with its deviations from the end of its record and from the reference profile, and whether it is stable.
 
-    The reference is a single row, broadcast; everything else is partitioned by entity.
+    The cohort's reference is a single row, broadcast; everything else is partitioned by entity. In self mode the reference is the
+    median of the record's own last blocks.
     """
     ends = terminal(blocks, entity, block, cfg.terminal_blocks).groupBy(entity).agg(F.median("rms").alias("end_rms"), F.max("k").alias("k"), F.max("n_blocks").alias("n_blocks"))
     joined = blocks.join(ends, entity)
     dev = F.abs(log2_ratio(F.col("rms"), F.col("end_rms")))
     stable = dev <= cfg.tol_log2
     if use_profile:
-        joined = joined.join(F.broadcast(cohort_reference(blocks, entity, block, cfg, width)))
+        if cfg.reference == "self":
+            own = median_profile(terminal(blocks, entity, block, cfg.terminal_blocks), [entity], width, out="ref")
+            joined = joined.join(own, entity)
+        else:
+            joined = joined.join(F.broadcast(cohort_reference(blocks, entity, block, cfg, width)))
         joined = joined.withColumn("dev_js", js_divergence(F.col("prof"), F.col("ref"))).drop("ref")
         stable = stable & (F.col("dev_js") <= cfg.tol_js)
     return joined.withColumn("dev_log2", dev).withColumn("stable", stable)
@@ -104,7 +109,12 @@ def trend(df: DataFrame, entity: str, x: str, y: str) -> DataFrame:
 
 
 def temporal_protocol(settled: DataFrame, settling: str, duration: str, cfg: Temporal) -> DataFrame:
-    """One row: the skip and the analysis windows that follow from the whole cohort."""
+    """One row: the skip and the analysis windows that follow from the whole cohort, or the fixed window's."""
+    if cfg.mode == "fixed":
+        long_enough = F.col(duration) >= cfg.fixed_skip + cfg.fixed_window
+        skip, window = F.lit(cfg.fixed_skip), F.lit(cfg.fixed_window)
+        facts = settled.agg(F.count_if(long_enough).alias("n_eligible"), F.count_if(~long_enough).alias("n_short"), F.min(F.when(long_enough, F.col(duration))).alias("shortest"))
+        return facts.select("n_eligible", "n_short", F.lit(None).cast("double").alias("settle_q"), "shortest", skip.alias("skip_raw"), skip.alias("skip"), (F.col("shortest") - skip).alias("available"), window.alias("window"), F.lit(1).alias("n_windows"), F.array(skip).alias("starts"), F.lit(False).alias("window_capped"), F.lit(False).alias("skip_capped"), F.lit(True).alias("protocol_valid"))
     eligible = F.col(duration) >= cfg.min_seconds
     facts = settled.agg(
         F.count_if(eligible).alias("n_eligible"),
@@ -125,6 +135,7 @@ def temporal_protocol(settled: DataFrame, settling: str, duration: str, cfg: Tem
 
     starts = F.filter(F.aggregate(spread, F.array().cast("array<double>"), push), lambda s: s + F.col("window") <= F.col("shortest"))
     out = out.withColumn("starts", F.when(F.col("window") > 0, starts))
+    out = out.withColumn("window_capped", F.col("available") < cfg.target)
     return out.withColumn("skip_capped", F.col("skip_raw") > cfg.max_skip).withColumn("protocol_valid", (F.col("window") > 0) & ~F.col("skip_capped"))
 
 

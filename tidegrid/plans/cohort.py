@@ -36,7 +36,11 @@ def settle(analysed: DataFrame, cfg: Settings) -> DataFrame:
     stable = timegrid.block_stability(blocks, "subject_id", "block", cfg.temporal, WIDTH)
     found = timegrid.settling_time(stable, "subject_id", "block")
     trend = timegrid.trend(blocks, "subject_id", "block", "rms").select("subject_id", F.col("rho").alias("rms_trend_spearman"))
-    settled = found.join(trend, "subject_id").join(analysed.select("subject_id", "duration_s"), "subject_id")
+    tail = timegrid.trend(timegrid.terminal(blocks, "subject_id", "block", cfg.temporal.terminal_blocks), "subject_id", "block", "rms")
+    tail = tail.select("subject_id", F.when(F.col("n") >= 3, F.col("rho")).alias("tail_rms_trend_spearman"))
+    first = stable.filter("block = 0").select("subject_id", F.col("dev_log2").alias("dev_log2_first_block"), F.col("dev_js").alias("dev_js_first_block"))
+    settled = found.join(trend, "subject_id").join(tail, "subject_id").join(first, "subject_id", "left").join(analysed.select("subject_id", "duration_s"), "subject_id")
+    settled = settled.withColumn("drift_spans_record", F.coalesce(F.abs("tail_rms_trend_spearman") >= 0.5, F.lit(False)))
     return settled.withColumn("settling_time_s", F.col("first_stable") * cfg.temporal.block_seconds)
 
 
@@ -106,28 +110,52 @@ def run(spark: SparkSession, signal_dir: str, sheet: str, out: str, cfg: Setting
         "blocked": blocked,
     }
     if not blocked:
-        summary["analysis"] = analyse_groups(analytic, out, cfg)
+        others = every.filter("error is null").drop("error").join(analytic.select("subject_id", "label"), "subject_id")
+        summary["analysis"] = analyse_groups(analytic, others, out, cfg)
     sinks.write_json(spark, summary, out, "run_summary")
     sinks.write_json(spark, sinks.manifest(cfg.fingerprint()), out, "manifest")
     return summary
 
 
-def analyse_groups(analytic: DataFrame, out: str, cfg: Settings) -> dict:
-    """Group tests, adjusted models, nested cross-validation and its permutation test."""
+def out_of_fold(df: DataFrame, columns: list[str], cfg: Settings, out: str, name: str, guard: bool = True) -> dict:
+    """Nested cross-validation over a set of columns: metrics, AUC and its interval over subjects."""
+    oof = learn.nested_cv(df, "subject_id", columns, "label", cfg.inference, guard=guard)
+    sinks.write_table(learn.mean_probabilities(oof, "subject_id"), out, f"out_of_fold_{name}", csv=False)
+    probs = df.sparkSession.read.parquet(f"{out}/out_of_fold_{name}")
+    metrics = stats.threshold_metrics(probs, "label", "prob", cfg.inference.threshold).first().asDict()
+    metrics["roc_auc"] = stats.mann_whitney(probs, ["perm"], "prob", "label").first().auc
+    metrics["pr_auc"] = stats.average_precision(probs, ["perm"], "label", "prob").first().average_precision
+    boot = stats.bootstrap_auc(probs, "subject_id", "label", "prob", cfg.inference.n_boot)
+    metrics["roc_auc_ci95"] = boot.agg(F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975)))).first()[0]
+    return metrics
+
+
+def analyse_groups(analytic: DataFrame, by_window: DataFrame, out: str, cfg: Settings) -> dict:
+    """Group tests, adjusted models, nested cross-validation with baselines, its permutation test, and the other windows."""
     columns = relational.prefixed(analytic, "p__")
     long = stats.long_features(analytic, ["subject_id", "label"], columns)
-    sinks.write_table(stats.group_tests(long, "value", "label", cfg.inference.fdr), out, "confirmatory_tests")
+    tests = stats.group_tests(long, "value", "label", cfg.inference.fdr)
+    intervals = stats.bootstrap_g(long, "subject_id", "value", "label", cfg.inference.n_boot)
+    sinks.write_table(tests.join(intervals, "feature", "left"), out, "confirmatory_tests")
     covariates = [c for c in ("age", "sex", "education_years") if c in analytic.columns]
     adjusted = long.join(analytic.select("subject_id", *covariates), "subject_id")
     sinks.write_table(learn.adjusted_logit(adjusted, "label", covariates), out, "confound_adjusted_models")
-    oof = learn.nested_cv(analytic, "subject_id", columns, "label", cfg.inference)
-    sinks.write_table(learn.mean_probabilities(oof, "subject_id"), out, "out_of_fold", csv=False)
-    probs = analytic.sparkSession.read.parquet(f"{out}/out_of_fold")
-    metrics = stats.threshold_metrics(probs, "label", "prob", cfg.inference.threshold).first().asDict()
-    metrics["roc_auc"] = stats.mann_whitney(probs, ["perm"], "prob", "label").first().auc
+    found = {"metrics": out_of_fold(analytic, columns, cfg, out, "primary"), "baselines": {"majority": {"roc_auc": 0.5, "balanced_accuracy": 0.5}}}
+    if covariates:
+        found["baselines"]["demographic"] = out_of_fold(analytic, covariates, cfg, out, "demographic", guard=False)
+        found["baselines"]["combined"] = out_of_fold(analytic, [*columns, *covariates], cfg, out, "combined", guard=False)
     matched = learn.nested_cv(analytic, "subject_id", columns, "label", cfg.inference, cfg.inference.matched_repeats, cfg.inference.n_permutations)
     aucs = stats.mann_whitney(learn.mean_probabilities(matched, "subject_id"), ["perm"], "prob", "label")
-    return {"metrics": metrics, "permutation": learn.permutation_test(aucs).first().asDict()}
+    found["permutation"] = learn.permutation_test(aucs).first().asDict()
+    found["batch"] = stats.batch_confound(analytic, "id_prefix", "label").first().asDict()
+    windows = stats.long_features(by_window, ["subject_id", "label", "window_key"], columns)
+    effects = windows.groupBy("window_key", "feature").agg(stats.hedges_g("value", "label").alias("g"))
+    sinks.write_table(effects, out, "effects_by_window")
+    effects = analytic.sparkSession.read.parquet(f"{out}/effects_by_window")
+    primary = effects.filter("window_key = 'w1'").select("feature", F.col("g").alias("primary"))
+    keys = sorted(r.window_key for r in effects.select("window_key").distinct().collect())
+    found["concordance"] = {k: stats.sign_agreement(effects.filter(F.col("window_key") == k).join(primary, "feature"), "primary", "g").first().asDict() for k in keys if k != "w1"}
+    return found
 
 
 def main(argv: list[str] | None = None) -> None:
