@@ -193,3 +193,23 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), sized AS (SELECT item_id, words, least(10, len(words)) AS size FROM iw WHERE len(words) > 0),
+at_item AS (SELECT item_id, size, words, unnest(range(len(words) - size + 1)) AS i FROM sized),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(words[i + 1 : i + size], ' ') AS gram FROM at_item),
+sizes AS (SELECT DISTINCT size FROM windows),
+at_doc AS (SELECT doc_id, size, words, unnest(range(len(words) - size + 1)) AS i FROM w, sizes WHERE len(words) >= size),
+grams AS (SELECT doc_id, size, i, array_to_string(words[i + 1 : i + size], ' ') AS gram FROM at_doc),
+found AS (SELECT g.doc_id, g.i, g.size, x.item_id FROM grams g JOIN windows x ON g.gram = x.gram AND g.size = x.size),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM found)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT w.doc_id, len(w.words) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
+       sha256(coalesce(t.listed, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hits h ON w.doc_id = h.doc_id LEFT JOIN items t ON w.doc_id = t.doc_id
+"""

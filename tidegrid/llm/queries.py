@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegrid.llm.decontamination import op10_benchmark_decontamination
+from tidegrid.llm.decontamination import OP10_SQL, op10_benchmark_decontamination
 from tidegrid.llm.langid import op3_language_id
 from tidegrid.llm.packing import op7_best_fit_packing
 from tidegrid.llm.pii import op8_pii_candidates
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_round_trip": OP2_SQL, "op5_quality_rules": OP5_SQL}
+    return {"op2_warc_round_trip": OP2_SQL, "op5_quality_rules": OP5_SQL, "op10_benchmark_decontamination": OP10_SQL}
