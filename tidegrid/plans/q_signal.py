@@ -13,7 +13,7 @@ N, FS = 64, 128.0
 STEP = FS / N
 
 X_SQL = "x AS (SELECT vec_id, label, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
-PSD_SQL = f"{X_SQL}, psd AS (SELECT vec_id, label, k, k * {STEP} AS f, pow(sum(v * cos(2 * pi() * k * i / 64)), 2) + pow(sum(v * sin(2 * pi() * k * i / 64)), 2) AS p FROM x, (SELECT unnest(range(33)) AS k) GROUP BY 1, 2, 3)"
+PSD_SQL = f"{X_SQL}, psd AS (SELECT vec_id, label, k, CAST(k * {STEP} AS DOUBLE) AS f, pow(sum(v * cos(2 * pi() * k * i / 64)), 2) + pow(sum(v * sin(2 * pi() * k * i / 64)), 2) AS p FROM x, (SELECT unnest(range(33)) AS k) GROUP BY 1, 2, 3)"
 
 
 def spectra(spark, d):

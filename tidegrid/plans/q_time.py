@@ -245,7 +245,7 @@ c AS (SELECT *, shortest - skip AS available FROM b), e AS (SELECT *, floor(leas
 g AS (SELECT *, CAST(least(greatest(floor(available / win), 1), 3) AS BIGINT) AS n_windows FROM e),
 s AS (SELECT *, unnest(range(n_windows)) AS i FROM g),
 st AS (SELECT i, floor(skip + CASE WHEN n_windows > 1 THEN (available - win) / (n_windows - 1) * i ELSE 0 END) AS start, win, shortest FROM s)
-SELECT n_eligible, n_short, round(settle_q, 3) AS settle_q, CAST(skip_raw AS DOUBLE) AS skip_raw, CAST(skip AS DOUBLE) AS skip, CAST(available AS DOUBLE) AS available, CAST(win AS DOUBLE) AS "window", n_windows,
+SELECT n_eligible, n_short, CAST(round(settle_q, 3) AS DOUBLE) AS settle_q, CAST(skip_raw AS DOUBLE) AS skip_raw, CAST(skip AS DOUBLE) AS skip, CAST(available AS DOUBLE) AS available, CAST(win AS DOUBLE) AS "window", n_windows,
 (SELECT string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR), ',' ORDER BY i) FROM st WHERE start + win <= shortest) AS starts, skip_raw > 691200 AS skip_capped, win > 0 AND NOT skip_raw > 691200 AS protocol_valid FROM g"""
 
 
