@@ -195,7 +195,10 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id
     kept = scratch_path(spark, "suffixes")
     anchors(docs, least, anchor).write.parquet(kept)
     kept = spark.read.parquet(kept)
-    often = kept.groupBy("key").count().filter("count > 1").select("key")
+    # written, so that the join below reads two plain shuffles and Spark can split a key that very many suffixes share
+    repeated = scratch_path(spark, "repeated-keys")
+    kept.groupBy("key").count().filter("count > 1").select("key").write.parquet(repeated)
+    often = spark.read.parquet(repeated)
     places = kept.join(often, "key").groupBy("rid").agg(F.sort_array(F.collect_list("at")).alias("places"))
     suffixes = scratch_path(spark, "contexts")
     contexts(docs.join(places, "rid"), least, anchor).write.parquet(suffixes)
