@@ -52,6 +52,20 @@ def test_spans_equal_brute_force(spark):
     assert got == dict(expected)
 
 
+def test_a_shared_anchor_inside_different_passages(spark):
+    """Three passages around the same 20 words, each side shared with another document: no neighbour is best on both sides."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"{rng.randrange(10**6)}" for _ in range(n)]
+    middle, lefts, rights = fresh(20), [fresh(40) for _ in range(6)], [fresh(40) for _ in range(6)]
+    rows = []
+    for k in range(150):
+        a, b = rng.choice(lefts), rng.choice(rights)
+        cut_a, cut_b = rng.randrange(41), rng.randrange(41)
+        rows.append((k, " ".join(fresh(30) + a[cut_a:] + middle + b[:cut_b] + fresh(30))))
+    got = {r.doc_id: covered(r) for r in repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(brute(rows))
+
+
 def test_many_ranges_lose_no_neighbours(spark):
     rows = corpus()[:60] + corpus()[-64:]
     before = spark.conf.get("spark.sql.shuffle.partitions")

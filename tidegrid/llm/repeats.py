@@ -9,6 +9,10 @@ is compared with its two neighbours, and the match is extended right and left. N
 second, tiny pass over the ranges' edges. A match of at least LEAST words marks its words as repeated; marks are merged for
 each document.
 
+The neighbours in an order give a suffix's longest match to that side. If one neighbour has the longest match to both sides, no
+other suffix can add to it. Where none has, though both lengths together would do (different passages share the ANCHOR words), the
+windows of LEAST words around all suffixes with these words are compared by their hashes, so nothing is missed.
+
 A passage that very many documents share fills many sort ranges (document and position are part of the sort key), and each suffix
 meets two neighbours only, so no pairs of a group are made.
 
@@ -124,39 +128,31 @@ def _shared(a: list[bytes], b: list[bytes], reach: int) -> np.ndarray:
     return np.minimum(agree, np.minimum(grids[0][1], grids[1][1]))
 
 
-def _neighbours(rows: pa.Table, least: int, anchor: int) -> list[tuple]:
-    """Matches (start, end, partner's id, rid, doc_id) between rows that stand next to each other."""
+def _neighbours(rows: pa.Table, least: int, anchor: int) -> list[pa.RecordBatch]:
+    """For every two rows side by side with equal keys, a row for each: how far they agree to the left and the right."""
     keys = rows.column("key").to_numpy()
     pairs = np.flatnonzero(keys[1:] == keys[:-1])
     if not len(pairs):
         return []
     sides = [rows.take(pa.array(pairs)), rows.take(pa.array(pairs + 1))]
-    reach = least - anchor
-    right, left = (_shared(*(s.column(c).to_pylist() for s in sides), reach) for c in ("after", "before"))
-    long_enough = right + left + anchor >= least
-    found = []
-    for own, other in (sides, sides[::-1]):
-        rid, at = (own.column(c).to_numpy()[long_enough] for c in ("rid", "at"))
-        ids, partners = (t.column("doc_id").filter(pa.array(long_enough)).to_pylist() for t in (own, other))
-        found += zip((at - left[long_enough]).tolist(), (at + anchor + right[long_enough]).tolist(), partners, rid.tolist(), ids, strict=True)
-    return found
+    right, left = (pa.array(_shared(*(s.column(c).to_pylist() for s in sides), least - anchor), pa.int32()) for c in ("after", "before"))
+    columns = lambda own, other: {**{c: own.column(c).combine_chunks() for c in ("key", "rid", "doc_id", "at")}, "l": left, "r": right, "partner": other.column("doc_id").combine_chunks()}
+    return [_filled(len(pairs), edge=pa.array(np.zeros(len(pairs), bool)), **columns(*p)) for p in (sides, sides[::-1])]
 
 
-def compare(suffixes: DataFrame, order: str, least: int, anchor: int) -> DataFrame:
-    """Matches of every suffix with its neighbours in one order: (rid, doc_id, s, e, partner)."""
-    keys = ["key", order, "rid", "at"]
-    own = [("s", pa.int32()), ("e", pa.int32()), ("partner", pa.int64()), ("edge", pa.bool_())]
-    out = pa.schema([*own, *SUFFIX])
+PAIR = pa.schema([("l", pa.int32()), ("r", pa.int32()), ("partner", pa.int64()), ("edge", pa.bool_()), *SUFFIX])
 
-    def filled(n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in out], schema=out)
 
-    def matched(found: list[tuple]) -> pa.RecordBatch:
-        columns = dict(zip(("s", "e", "partner", "rid", "doc_id"), (pa.array(c, pa.int64()) for c in zip(*found, strict=True)), strict=True))
-        return filled(len(found), edge=pa.array([False] * len(found)), **columns)
+def _filled(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in PAIR], schema=PAIR)
+
+
+def compare(suffixes: DataFrame, order: str, least: int, anchor: int) -> DataFrame:
+    """Every suffix with its neighbours in one order: (key, rid, doc_id, at, l, r, partner)."""
+    keys = ["key", order, "rid", "at"]
 
     def edge(row: pa.Table) -> pa.RecordBatch:
-        return filled(1, edge=pa.array([True]), **{f.name: row.column(f.name).combine_chunks() for f in SUFFIX})
+        return _filled(1, edge=pa.array([True]), **{f.name: row.column(f.name).combine_chunks() for f in SUFFIX})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -169,13 +165,12 @@ def compare(suffixes: DataFrame, order: str, least: int, anchor: int) -> DataFra
             else:
                 rows = pa.concat_tables([last, rows])
             for at in range(0, rows.num_rows, 20_000):
-                if found := _neighbours(rows.slice(at, 20_001), least, anchor):
-                    yield matched(found)
+                yield from _neighbours(rows.slice(at, 20_001), least, anchor)
             last = rows.slice(rows.num_rows - 1)
         if last is not None:
             yield edge(last)
 
-    schema = f"s int, e int, partner long, edge boolean, {SUFFIX_DDL}"
+    schema = f"l int, r int, partner long, edge boolean, {SUFFIX_DDL}"
     spark = suffixes.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = suffixes.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
@@ -184,7 +179,38 @@ def compare(suffixes: DataFrame, order: str, least: int, anchor: int) -> DataFra
     first = spark.read.parquet(path)
     # two rows for each range, whatever the size of the data
     edges = first.filter("edge").select(*SUFFIX.names).coalesce(1).sortWithinPartitions(*keys).mapInArrow(run, schema).filter("not edge")
-    return first.filter("not edge").unionByName(edges).select("rid", "doc_id", "s", "e", "partner")
+    return first.filter("not edge").unionByName(edges).select("key", "rid", "doc_id", "at", "l", "r", "partner")
+
+
+def open_keys(pairs: DataFrame, reach: int) -> DataFrame:
+    """Keys with a suffix that may have matches beyond its neighbours'."""
+    best = pairs.groupBy("rid", "at").agg(F.max("key").alias("key"), F.max("l").alias("l"), F.max("r").alias("r"), F.max(F.col("l") + F.col("r")).alias("both"))
+    return best.filter((F.col("l") + F.col("r") >= reach) & (F.col("both") < F.col("l") + F.col("r"))).select("key").distinct()
+
+
+def equal_windows(suffixes: DataFrame, reach: int) -> DataFrame:
+    """(rid, doc_id, at, l, r, partner) of all windows around the suffixes that occur more than once, by hash."""
+    layout = pa.schema([("h", pa.int64()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("l", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2000):
+            rows: list[list] = [[] for _ in layout]
+            for x in batch.to_pylist():
+                after, before, name = x["after"], x["before"], x["key"].to_bytes(8, "big", signed=True)
+                for left in range(max(0, reach - len(after) // 4), min(reach, len(before) // 4) + 1):
+                    h = xxhash.xxh64_intdigest(before[: 4 * left] + name + after[: 4 * (reach - left)], left)
+                    for column, value in zip(rows, (h - (1 << 64) if h >> 63 else h, x["rid"], x["doc_id"], x["at"], left), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, layout, strict=True)], schema=layout)
+
+    spark = suffixes.sparkSession
+    path = scratch_path(spark, "windows")
+    suffixes.select(*SUFFIX.names).mapInArrow(run, "h long, rid long, doc_id long, at int, l int").write.parquet(path)
+    windows = spark.read.parquet(path)
+    twice = scratch_path(spark, "equal-windows")
+    windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("n > 1").drop("n").write.parquet(twice)
+    partner = F.when(F.col("low") == F.col("doc_id"), F.col("high")).otherwise(F.col("low"))
+    return windows.join(spark.read.parquet(twice), "h").select("rid", "doc_id", "at", "l", (reach - F.col("l")).cast("int").alias("r"), partner.alias("partner"))
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +229,13 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id
     suffixes = scratch_path(spark, "contexts")
     contexts(docs.join(places, "rid"), least, anchor).write.parquet(suffixes)
     suffixes = spark.read.parquet(suffixes)
-    matches = compare(suffixes, "after", least, anchor).unionByName(compare(suffixes, "before", least, anchor))
+    pairs = compare(suffixes, "after", least, anchor).unionByName(compare(suffixes, "before", least, anchor))
+    reach = least - anchor
+    unsettled = scratch_path(spark, "open-keys")
+    open_keys(pairs, reach).write.parquet(unsettled)
+    more = equal_windows(suffixes.join(spark.read.parquet(unsettled), "key", "left_semi"), reach)
+    matches = pairs.drop("key").filter(F.col("l") + F.col("r") >= reach).unionByName(more)
+    matches = matches.select("rid", "doc_id", "partner", (F.col("at") - F.col("l")).alias("s"), (F.col("at") + anchor + F.col("r")).alias("e"))
 
     def merge(marks):
         state = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("done"), F.lit(0).alias("s"), F.lit(-1).alias("e"))
