@@ -7,7 +7,8 @@ the positional bound (it must start at or after word 0) and the length bound (it
 the words are then compared one by one.
 
 The benchmark side is held in blocks of a bounded number of words. Each block is broadcast, and all documents are
-searched for it: a benchmark of any size is handled by more blocks, each with the same memory.
+searched for it in a pass of their own, so a benchmark of any size takes more passes with the same memory; the passes'
+hits are merged for each document.
 
 Defined results: a null text has no words; a null item_id counts for hits but is listed nowhere; repeated item rows
 count once; each document row gets its own result row, repeated or not; an empty benchmark hits nothing.
@@ -15,12 +16,13 @@ count once; each document row gets its own result row, repeated or not; an empty
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import LOWER, id_text, slices, table, utf8
@@ -114,73 +116,82 @@ class Block:
         return hit, items
 
 
-def blocks_of(benchmark: DataFrame, window: int, block_words: int) -> list[Block]:
+def blocks_of(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
     """The benchmark's items in blocks, read partition by partition."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).distinct()
-    blocks, held, size = [], [], 0
+    held, size = [], 0
     for row in items.toLocalIterator():
         words = words_of(row.text.encode() if row.text else None)
         if not words:
             continue
         if held and size + len(words) > block_words:
-            blocks.append(Block(held, window))
+            yield Block(held, window)
             held, size = [], 0
         held.append((row.item, words))
         size += len(words)
-    return [*blocks, Block(held, window)] if held else blocks
+    yield Block(held, window)
 
 
-def shingle_counts(docs: DataFrame, shared: list) -> list[dict[int, int]]:
-    """How often each benchmark shingle occurs in all documents, for each block."""
+def shingle_counts(docs: DataFrame, block: Block) -> dict[int, int]:
+    """How often each shingle of the block occurs in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sought = [(b.value, b.value.all_shingles()) for b in shared]
-        counts = [np.zeros(len(codes), np.int64) for _, codes in sought]
+        codes = shared.value.all_shingles()
+        count = np.zeros(len(codes), np.int64)
         for batch in slices(batches):
             for text in utf8(batch.column(0)):
-                words = words_of(text)
-                for (block, codes), count in zip(sought, counts, strict=True):
-                    for _, _, found in block.occurrences(words, codes):
-                        count += np.bincount(np.searchsorted(codes, found), minlength=len(codes))
-        for index, ((_, codes), count) in enumerate(zip(sought, counts, strict=True)):
-            some = count > 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), index, np.int32)), pa.array(codes[some]), pa.array(count[some])], names=["block", "code", "n"])
-
-    found: list[dict[int, int]] = [{} for _ in shared]
-    counted = docs.select("text").mapInArrow(run, "block int, code long, n long").groupBy("block", "code").agg(F.sum("n").alias("n"))
-    for row in counted.toLocalIterator():  # at most one row for each benchmark shingle
-        found[row.block][row.code] = row.n
+                for _, _, found in shared.value.occurrences(words_of(text), codes):
+                    count += np.bincount(np.searchsorted(codes, found), minlength=len(codes))
+        some = count > 0
+        yield pa.RecordBatch.from_arrays([pa.array(codes[some]), pa.array(count[some])], names=["code", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    found = {row.code: row.n for row in counted.toLocalIterator()}  # at most one row for each shingle of the block
+    shared.unpersist()
     return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its words, those inside an item's window, and the items that occur."""
-    context = docs.sparkSession.sparkContext
-    docs = id_text(docs, id_col, text_col)
-    blocks = blocks_of(benchmark, window, block_words)
-    first = [context.broadcast(b) for b in blocks]
-    for block, counts in zip(blocks, shingle_counts(docs, first) if blocks else [], strict=True):
-        block.order(counts)
-    for b in first:
-        b.unpersist()
-    shared = [context.broadcast(b) for b in blocks]
+def search_pass(docs: DataFrame, block: Block) -> DataFrame:
+    """docs(rid, doc_id, text) -> (rid, doc_id, n_words, hits as runs of words, items) for one block."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    run_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n_words, n_hit, items = [], [], []
-            for text in utf8(batch.column(1)):
+            n_words, hits, items = [], [], []
+            for text in utf8(batch.column(2)):
                 words = words_of(text)
-                hit, found = np.zeros(len(words), bool), set()
-                for block in (b.value for b in shared):
-                    here, indices = block.find(words)
-                    hit |= here
-                    found.update(block.names[i] for i in indices)
+                hit, found = shared.value.find(words)
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))) if found else []
                 n_words.append(len(words))
-                n_hit.append(int(hit.sum()))
-                items.append(sorted(found - {None}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
+                hits.append([{"s": s, "e": e} for s, e in zip(edges[::2], edges[1::2], strict=True)])
+                items.append(sorted({shared.value.names[i] for i in found} - {None}))
+            arrays = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(hits, run_type), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["rid", "doc_id", "n_words", "hits", "items"])
+
+    return docs.mapInArrow(run, "rid long, doc_id long, n_words long, hits array<struct<s:int,e:int>>, items array<string>")
+
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>")
+def covered(runs: Column) -> Column:
+    """Number of words in sorted runs that may overlap."""
+    state = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
+    step = lambda z, x: F.struct(F.greatest(z["end"], x["e"]).alias("end"), (z["n"] + F.greatest(x["e"] - F.greatest(x["s"], z["end"]), F.lit(0))).alias("n"))
+    return F.aggregate(runs, state, step, lambda z: z["n"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its words, those inside an item's window, and the items that occur."""
+    docs = id_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    passes = []
+    for block in blocks_of(benchmark, window, block_words):
+        block.order(shingle_counts(docs, block))
+        passes.append(search_pass(docs, block))
+    found = passes[0]
+    if len(passes) > 1:
+        every = functools.reduce(DataFrame.unionByName, passes)
+        found = every.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return found.select("doc_id", "n_words", covered(F.sort_array("hits")).alias("n_hit"), "items")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
