@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import table
-from tidegrid.llm.native import lines_of, n_repeat_words, words_of
+from tidegrid.llm.native import let, lines_of, n_repeat_words, words_of
 
 #: Rows on which costs and selectivities are estimated. They decide the order of the rules alone.
 SAMPLE_ROWS = 200
@@ -23,9 +23,13 @@ MOST_WORDS = 1_000_000
 SYMBOLS = "[#*$%&|<>]"
 
 
-def text_rules(text: Column) -> dict[str, Column]:
-    """Rules that read the text themselves, so that a rule that isn't reached costs nothing."""
-    words, lines = words_of(text), lines_of(text)
+def text_rules(text: Column, words: Column | None = None) -> dict[str, Column]:
+    """Rules that read the text themselves, so that a rule that isn't reached costs nothing.
+
+    The words, which most rules read, can be given.
+    """
+    words = words_of(text) if words is None else words
+    lines = lines_of(text)
     plain = F.coalesce(text, F.lit(""))
     n = F.size(words)
     return {
@@ -73,7 +77,7 @@ def rejected_by(docs: DataFrame, text_col: str = "text") -> Column:
     """The cascade for these documents, its rules in the estimated order."""
     rules = text_rules(F.col("text"))
     order = order_of(estimate(docs.select(F.col(text_col).cast("string").alias("text")), rules))
-    return cascade(text_rules(F.col(text_col)), order)
+    return let(words_of(F.col(text_col)), lambda words: cascade(text_rules(F.col(text_col), words), order))
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
