@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality rules, SimHash near-dedup, benchmark decontamination, PII redaction, best-fit packing.
+"""Corpus pipeline: quality rules, near-dedup, benchmark decontamination, PII redaction, best-fit packing.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and but for the last returns the columns of
 docs. Rows with a null doc_id can't be told apart by id: the stages that decide by id leave them in.
@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import scratch_path, table
+from tidegrid.llm.components import connected_components
 from tidegrid.llm.decontamination import contamination
+from tidegrid.llm.near import similar_links
 from tidegrid.llm.packing import pack
 from tidegrid.llm.pii import redact
 from tidegrid.llm.quality import rejected_by
@@ -27,10 +29,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near-duplicates; one row of repeated rows."""
-    found = groups(fingerprints(docs))
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document of the smallest doc_id of each group of near-duplicates; one row of repeated rows.
+
+    Links are those of op4's fingerprints and those of similar sets of five-word shingles.
+    """
+    close = groups(fingerprints(docs)).filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    roots = connected_components(close.unionByName(similar_links(docs)))
+    other = roots.filter("node <> root").select(F.col("node").alias("doc_id"))
+    named = docs.filter(F.col("doc_id").isNotNull()).join(other, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
 
 

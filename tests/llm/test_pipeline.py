@@ -60,3 +60,26 @@ def test_odd_rows(spark, tmp_path):
     empty(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_edited_copies_are_near_duplicates(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts, copies = {}, set()
+    for i in range(30):
+        words = fresh(rng.randrange(60, 300))
+        texts[i] = " ".join(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
+            words[at] = "edited"
+        texts[100 + i] = " ".join(words)
+        if jaccard(texts[i], texts[100 + i]) >= 0.8:
+            copies.add(100 + i)
+        texts[200 + i] = " ".join(words[: len(words) // 2] + fresh(100))
+    assert len(copies) > 20 and all(jaccard(texts[i], texts[200 + i]) < 0.8 for i in range(30))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(texts) - copies
