@@ -92,3 +92,15 @@ def test_odd_rows(spark, tmp_path):
     assert len(ppm.op6_ppm_scoring(spark, str(tmp_path)).collect()) == len(ODD)
     empty(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert ppm.op6_ppm_scoring(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_many_contexts_keep_the_rare_ones(spark, tmp_path, monkeypatch):
+    """A language of one in many thousand symbols is scored by its own contexts, not by their suffixes."""
+    rows = [(i, "ab" * 40_000) for i in range(6)] + [(10 + i, "xyz xyq" * 3) for i in range(6)]
+    monkeypatch.setattr(__import__(__name__), "docs", lambda: rows)
+    test_scores_equal_plain_models(spark, tmp_path)
+
+
+def test_contexts_that_are_not_broadcast_go_the_other_way(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ppm, "MOST_LONGEST", 5)
+    test_scores_equal_plain_models(spark, tmp_path)

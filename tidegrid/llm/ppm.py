@@ -2,9 +2,9 @@
 
 Model: byte contexts of up to ORDER bytes form a trie. A context's own symbols have probability count / (total + kinds); the rest
 of the mass escapes to the context without its oldest byte, where the symbols already seen are excluded, down to a uniform choice
-among what is left. End of text is a symbol. All training documents are counted. A context is kept if it holds at least one in
-MOST_CONTEXTS of all symbols, so that at most MOST_CONTEXTS are kept at each order at any size of corpus, and the broadcast
-model has a fixed bound; a context that isn't kept is predicted by its longest kept suffix. Because the model is fixed when texts are
+among what is left. End of text is a symbol. All training documents are counted. All contexts count:
+those of up to two bytes and the most frequent ones of three, at most MOST_CONTEXTS of each order, are broadcast; the symbols
+after the other contexts of three bytes are joined with these contexts' probabilities by a shuffle. Because the model is fixed when texts are
 scored, escapes and exclusions are worked out once for each context, and a text's code length is a sum of table look-ups.
 
 Base: the counts of all training tokens. Tokens that make up at least one in FREQUENT of the corpus (at most FREQUENT of them) are
@@ -32,7 +32,10 @@ from tidegrid.llm.common import LOWER, hash_mod, scratch_path, slices, table, ut
 ORDER = 3
 END = 256
 SYMBOLS = 257
-MOST_CONTEXTS = 1 << 15
+#: Contexts of each order that are broadcast, at most; there are no more of the orders below three.
+MOST_CONTEXTS = 1 << 16
+#: Those of the longest order.
+MOST_LONGEST = 1 << 16
 FREQUENT = 500_000
 #: Different tokens or context codes that a task holds before it passes their counts on.
 HELD = 400_000
@@ -104,12 +107,34 @@ def count_corpus(texts: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
+def log10_rows(levels: list[tuple[np.ndarray, np.ndarray | None]], order: int, contexts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """log10 probability of every symbol after contexts whose counts are ``own``; levels holds the orders below."""
+    seen = np.zeros((len(contexts), SYMBOLS), bool)
+    chance, mass = np.zeros((len(contexts), SYMBOLS)), np.ones((len(contexts), 1))
+    for level in range(order, -1, -1):
+        at = None if level == order else np.searchsorted(levels[level][0], contexts & ((1 << 8 * level) - 1))
+        here = np.where(seen, 0, own if at is None else levels[level][1][at])
+        total, kinds = here.sum(axis=1, keepdims=True), (here > 0).sum(axis=1, keepdims=True)
+        left = SYMBOLS - seen.sum(axis=1, keepdims=True)
+        escape = np.where(kinds < left, kinds, 0)
+        below = np.maximum(total + escape, 1)
+        chance += mass * here / below
+        mass = np.where(total > 0, mass * escape / below, mass)
+        seen |= here > 0
+    left = np.maximum(SYMBOLS - seen.sum(axis=1, keepdims=True), 1)
+    chance += np.where(seen, 0, mass / left)
+    return np.log10(np.maximum(chance, 1e-300)).astype(np.float32)
+
+
 @dataclass
 class Trie:
-    """Kept contexts of each order with their symbol counts, and the log10 probabilities that follow from them."""
+    """Broadcast contexts of each order with their symbol counts, and the log10 probabilities that follow from them."""
 
     #: order -> (contexts, ascending; counts, contexts x SYMBOLS)
     levels: list[tuple[np.ndarray, np.ndarray]]
+    #: the contexts of ORDER bytes that were seen but are not broadcast, and the class of frequency below which they are
+    rest: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    bound: int = 0
     rows: np.ndarray = field(init=False)
     _place: np.ndarray | None = field(default=None, init=False)
 
@@ -117,62 +142,69 @@ class Trie:
         self.rows = np.concatenate([self._log10(order) for order in range(ORDER + 1)])
 
     def _log10(self, order: int) -> np.ndarray:
-        out = []
-        for at in range(0, len(self.levels[order][0]), 2048):
-            contexts = self.levels[order][0][at : at + 2048]
-            seen = np.zeros((len(contexts), SYMBOLS), bool)
-            chance, mass = np.zeros((len(contexts), SYMBOLS)), np.ones((len(contexts), 1))
-            for level in range(order, -1, -1):
-                known, counts = self.levels[level]
-                here = np.where(seen, 0, counts[np.searchsorted(known, contexts & ((1 << 8 * level) - 1))])
-                total, kinds = here.sum(axis=1, keepdims=True), (here > 0).sum(axis=1, keepdims=True)
-                left = SYMBOLS - seen.sum(axis=1, keepdims=True)
-                escape = np.where(kinds < left, kinds, 0)
-                below = np.maximum(total + escape, 1)
-                chance += mass * here / below
-                mass = np.where(total > 0, mass * escape / below, mass)
-                seen |= here > 0
-            left = np.maximum(SYMBOLS - seen.sum(axis=1, keepdims=True), 1)
-            chance += np.where(seen, 0, mass / left)
-            out.append(np.log10(np.maximum(chance, 1e-300)).astype(np.float32))
+        contexts, counts = self.levels[order]
+        out = [log10_rows(self.levels, order, contexts[at : at + 2048], counts[at : at + 2048]) for at in range(0, len(contexts), 2048)]
         return np.concatenate([np.empty((0, SYMBOLS), np.float32), *out])
 
     def __getstate__(self) -> dict:
-        return {"levels": [(c, None) for c, _ in self.levels], "rows": self.rows, "_place": None}
+        return {"levels": [(c, None) for c, _ in self.levels], "rest": self.rest, "bound": self.bound, "rows": self.rows, "_place": None}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
 
     def place(self) -> np.ndarray:
-        """For every possible context of ORDER bytes, the row of its longest kept suffix; made once for each worker."""
+        """For every possible context of ORDER bytes, the row of its longest suffix that was seen, -1 if that isn't broadcast; made once for each worker."""
         if self._place is None:
             place, base = np.zeros(1 << 8 * ORDER, np.int32), 0
             for order, (contexts, _) in enumerate(self.levels):
                 place.reshape(-1, 1 << 8 * order)[:, contexts] = np.arange(base, base + len(contexts), dtype=np.int32)
                 base += len(contexts)
+            place[self.rest] = -1
             self._place = place
         return self._place
 
-    def score(self, text: bytes) -> float:
-        """log10 probability of the text and its end."""
+    def score(self, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+        """log10 probability of the text and its end without the symbols after contexts that aren't broadcast; these symbols' codes and counts."""
         place, flat = self.place(), self.rows.reshape(-1)
-        total, contexts = 0.0, contexts_of(text)
+        total, contexts, rest = 0.0, contexts_of(text), []
         symbols = np.append(np.frombuffer(text, np.uint8).astype(np.int64), END)
         for at in range(0, len(symbols), 1 << 20):
-            rows = place[contexts[at : at + (1 << 20)]].astype(np.int64)
-            total += float(flat[rows * SYMBOLS + symbols[at : at + (1 << 20)]].sum(dtype=np.float64))
-        return total
+            here, symbol = contexts[at : at + (1 << 20)], symbols[at : at + (1 << 20)]
+            rows = place[here].astype(np.int64)
+            known = rows >= 0
+            total += float(flat[rows[known] * SYMBOLS + symbol[known]].sum(dtype=np.float64))
+            rest.append(here[~known].astype(np.int64) * 512 + symbol[~known])
+        return total, *np.unique(np.concatenate(rest), return_counts=True)
+
 
+def frequency_class(n: Column) -> Column:
+    """Classes of an eighth of an octave, growing with n."""
+    return F.floor(F.log2(n) * 8).cast("int")
 
-def build_trie(counts: DataFrame, most: int = MOST_CONTEXTS) -> Trie:
-    """The trie of kept contexts from the counts of all context-and-symbol codes."""
+
+def build_trie(counts: DataFrame, most: int = MOST_CONTEXTS, longest: int | None = None) -> Trie:
+    """The trie of the contexts to broadcast from the counts of all context-and-symbol codes."""
     codes = counts.filter(F.col("kind") == CODE_ROW)
-    total = codes.agg(F.sum("n")).first()[0] or 0
     suffix = lambda order: F.floor(F.col("key") / 512).cast("long").bitwiseAND(F.lit((1 << 8 * order) - 1).cast("long"))
     orders = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), suffix(m).alias("context")) for m in range(ORDER + 1))))
     by = codes.select(orders.alias("o"), (F.col("key") % 512).cast("int").alias("symbol"), "n").groupBy("o.m", "o.context", "symbol").agg(F.sum("n").alias("n"))
-    large = by.groupBy("m", "context").agg(F.sum("n").alias("all")).filter(F.col("all") * most >= total).select("m", "context")
-    found = by.join(large, ["m", "context"], "left_semi").toArrow()  # at most MOST_CONTEXTS contexts of each order
+    classed = by.groupBy("m", "context").agg(frequency_class(F.sum("n")).alias("class"))
+    sizes: list[dict[int, int]] = [{} for _ in range(ORDER + 1)]
+    for r in classed.groupBy("m", "class").count().collect():
+        sizes[r["m"]][r["class"]] = r["count"]
+    bounds = [0]  # a suffix is as frequent as its contexts at least, so growing bounds keep every kept context's suffixes
+    for order in range(1, ORDER + 1):
+        bound, n = max(sizes[order], default=0) + 1, 0
+        for k in sorted(sizes[order], reverse=True):
+            n += sizes[order][k]
+            if n > (longest if longest is not None and order == ORDER else most):
+                break
+            bound = k
+        else:
+            bound = 0
+        bounds.append(max(bound, bounds[-1]))
+    kept = F.col("class") >= F.get(F.array(*map(F.lit, bounds)), F.col("m"))
+    found = by.join(classed.filter(kept).select("m", "context"), ["m", "context"], "left_semi").toArrow()  # at most ``most`` contexts of each order
     m, context, symbol, n = (found.column(c).to_numpy() for c in ("m", "context", "symbol", "n"))
     levels = []
     for order in range(ORDER + 1):
@@ -183,7 +215,28 @@ def build_trie(counts: DataFrame, most: int = MOST_CONTEXTS) -> Trie:
         levels.append((contexts, grid))
     if not len(levels[0][0]):
         levels[0] = (np.zeros(1, np.int64), np.zeros((1, SYMBOLS)))
-    return Trie(levels)
+    rest = np.empty(0, np.int32)
+    if any(k < bounds[ORDER] for k in sizes[ORDER]):  # at most 2 ** 24 numbers
+        rest = classed.filter(~kept & (F.col("m") == ORDER)).select(F.col("context").cast("int")).toArrow().column(0).to_numpy()
+    return Trie(levels, rest, bounds[ORDER])
+
+
+def rest_rows(counts: DataFrame, trie: Trie) -> DataFrame:
+    """(context, logs): the log10 probabilities of all symbols after each context of ORDER bytes that isn't broadcast."""
+    shared = counts.sparkSession.sparkContext.broadcast(trie.levels[:ORDER])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            contexts = batch.column(0).to_numpy()
+            own = np.zeros((len(contexts), SYMBOLS))
+            for row, symbols in enumerate(batch.column(1).to_pylist()):
+                for x in symbols:
+                    own[row, x["symbol"]] = x["n"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(log10_rows(shared.value, ORDER, contexts, own)), pa.list_(pa.float32()))], names=["context", "logs"])
+
+    codes = counts.filter(F.col("kind") == CODE_ROW).select(F.floor(F.col("key") / 512).cast("long").alias("context"), (F.col("key") % 512).cast("int").alias("symbol"), "n")
+    rows = codes.groupBy("context").agg(F.collect_list(F.struct("symbol", "n")).alias("symbols"), F.sum("n").alias("all")).filter(frequency_class(F.col("all")) < trie.bound)
+    return rows.select("context", "symbols").mapInArrow(run, "context long, logs array<float>")
 
 
 def score_documents(docs: DataFrame, held_out: Column, learned: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,14 +252,15 @@ def score_documents(docs: DataFrame, held_out: Column, learned: Column, id_col:
     tokens = counts.filter(F.col("kind") == TOKEN_ROW).select("key", "n")
     n_all, n_kinds = (x or 0 for x in tokens.agg(F.sum("n"), F.count("n")).first())
     frequent = {r.key: math.log10(r.n + 1) for r in tokens.filter(F.col("n") * FREQUENT >= n_all).toLocalIterator()}
-    shared = spark.sparkContext.broadcast((frequent, build_trie(counts)))
+    trie = build_trie(counts, longest=MOST_LONGEST)
+    shared = spark.sparkContext.broadcast((frequent, trie))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_key, trie = shared.value
         names: dict[bytes, float] = {}
         end = by_key.get(END_KEY)
         for batch in slices(batches):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(8)]
             for text in utf8(batch.column(3)):
                 text = text or b""
                 words = text.translate(LOWER).split()
@@ -228,20 +282,25 @@ def score_documents(docs: DataFrame, held_out: Column, learned: Column, id_col:
                     rare_counts.append(1)
                 else:
                     logs, known = logs + end, known + 1
-                for column, x in zip(out, (len(words) + 1, logs, known, trie.score(text), rare_keys, rare_counts), strict=True):
+                score, codes, code_counts = trie.score(text)
+                for column, x in zip(out, (len(words) + 1, logs, known, score, rare_keys, rare_counts, codes, code_counts), strict=True):
                     column.append(x)
-            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
             arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "held_out", "n_tokens", "logs", "known", "score", "rare_keys", "rare_counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "held_out", "n_tokens", "logs", "known", "score", "rare_keys", "rare_counts", "codes", "code_counts"])
 
     scored = scratch_path(spark, "scored")
-    schema = "doc_id long, held_out boolean, n_tokens long, logs double, known long, score double, rare_keys array<long>, rare_counts array<int>"
+    schema = "doc_id long, held_out boolean, n_tokens long, logs double, known long, score double, rare_keys array<long>, rare_counts array<int>, codes array<long>, code_counts array<long>"
     docs.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()).write.parquet(scored)
     shared.unpersist()
     stored = spark.read.parquet(scored)
     rare = stored.select("rid", F.explode(F.arrays_zip("rare_keys", "rare_counts")).alias("x")).select("rid", F.col("x.rare_keys").alias("key"), F.col("x.rare_counts").alias("c"))
     joined = rare.join(tokens, "key").groupBy("rid").agg(F.sum(F.col("c") * F.log10(F.col("n") + 1)).alias("more_logs"), F.sum(F.col("c").cast("long")).alias("more_known"))
-    whole = stored.drop("rare_keys", "rare_counts").join(joined, "rid", "left")
+    whole = stored.drop("rare_keys", "rare_counts", "codes", "code_counts").join(joined, "rid", "left")
+    if len(trie.rest):
+        codes = stored.select("rid", F.explode(F.arrays_zip("codes", "code_counts")).alias("x")).select("rid", F.floor(F.col("x.codes") / 512).cast("long").alias("context"), (F.col("x.codes") % 512).cast("int").alias("symbol"), F.col("x.code_counts").alias("c"))
+        more = codes.join(rest_rows(counts, trie), "context").groupBy("rid").agg(F.sum(F.col("c") * F.get("logs", "symbol").cast("double")).alias("more_score"))
+        whole = whole.join(more, "rid", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     below = math.log10(n_all + 1 * (n_kinds + 1))
     return whole.select(
         "doc_id",
