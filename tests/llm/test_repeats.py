@@ -1,6 +1,9 @@
+import contextlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
+import pytest
 from cases import ODD, empty, odd
 from pyspark.sql import functions as F
 
@@ -66,17 +69,56 @@ def test_a_shared_anchor_inside_different_passages(spark):
     assert got == dict(brute(rows))
 
 
-def test_many_ranges_lose_no_neighbours(spark):
-    rows = corpus()[:60] + corpus()[-64:]
+@contextlib.contextmanager
+def shuffled(spark, n):
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
     try:
-        got = {r.doc_id: covered(r) for r in repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        yield
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("n", [1, 2, 60, 211])
+def test_many_ranges_lose_no_neighbours(spark, n):
+    rows = corpus()[:60] + corpus()[-64:]
+    with shuffled(spark, n):
+        got = {r.doc_id: covered(r) for r in repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(brute(rows))
 
 
+@pytest.mark.parametrize("n", [1, 8, 60])
+def test_a_range_of_one_row_does_not_match_itself(spark, n):
+    """Pairs of documents that share k words; many ranges hold one suffix."""
+    rng = random.Random(7)
+    fresh = lambda k: [f"{rng.randrange(10**9)}" for _ in range(k)]
+    rows = []
+    for at, k in enumerate((25, 30, 40, 49, 50, 60)):
+        passage = fresh(k)
+        rows += [(2 * at + side, " ".join(fresh(77) + passage + fresh(80))) for side in (0, 1)]
+    with shuffled(spark, n):
+        got = {r.doc_id: covered(r) for r in repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(brute(rows)) and got.keys() == {8, 9, 10, 11}
+
+
+def test_classes_hold_every_link(spark):
+    """Documents share a class if, and only if, they share 50 words here; every class has one first copy."""
+    rows = corpus()[:160]
+    rows += [(7, rows[3][1]), (None, rows[3][1])]  # one id with two texts, and no id
+    found = repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    where = defaultdict(set)
+    for at, (_, text) in enumerate(rows):
+        words = (text or "").split()
+        for s in range(len(words) - 49):
+            where[tuple(words[s : s + 50])].add(at)
+    classes = {r.rid: set(r.passages) for r in found}
+    for places in where.values():
+        for a, b in combinations(sorted(places), 2):
+            assert classes[a] & classes[b]
+    firsts = Counter(k for r in found for k in r.first_passages)
+    assert firsts.keys() == set().union(*classes.values()) and set(firsts.values()) == {1}
+
+
 def test_odd_rows(spark):
     rows = repeats.repeated_spans(odd(spark).withColumn("rid", F.lit(1)).withColumn("text", F.when(F.col("doc_id").isNull(), F.repeat(F.lit("a b c d e f g h i j "), 9)).otherwise(F.col("text")))).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(["1", "2", "2", "6", "None"])

@@ -6,8 +6,13 @@ two in SPAN suffixes are kept. Kept suffixes whose first ANCHOR words occur nowh
 combining). The others carry their words' hashes to the right and to the left as far as a passage of LEAST words can reach. They are
 sorted by range, by the words to the right (a suffix array) and once more by the words to the left; in each order every suffix
 is compared with its two neighbours, and the match is extended right and left. Neighbours that two sort ranges part are compared in a
-second, tiny pass over the ranges' edges. A match of at least LEAST words marks its words as repeated; marks are merged for
-each document.
+second, tiny pass over the ranges' edges (a range of one row has one edge, and no suffix is its own neighbour). A match of at least
+LEAST words marks its words as repeated; marks are merged for each document.
+
+A passage class is a kept run of ANCHOR words inside such a match: all documents with a match around that run belong to it. Every
+document lists its classes, so all documents that share a passage are found by their common class, in however many documents it
+stands, and those classes whose first copy (smallest doc_id, then row, then position) it holds. Two different passages around the same
+ANCHOR words are in one class; no two documents with an equal passage of LEAST words are without a common class.
 
 The neighbours in an order give a suffix's longest match to that side. If one neighbour has the longest match to both sides, no
 other suffix can add to it. Where none has, though both lengths together would do (different passages share the ANCHOR words), the
@@ -18,7 +23,8 @@ meets two neighbours only, so no pairs of a group are made.
 
 Words are runs of anything but ASCII white space, compared as they stand. The passage may repeat in other documents or in the
 same one. Defined results: null and short texts have no passages; rows with a null id take part as partners and are reported
-under a null id; repeated rows repeat each other.
+under a null id (they come after all other ids in the order of first copies); repeated rows, and rows that share an id, are rows of
+their own and repeat each other.
 """
 
 from __future__ import annotations
@@ -130,8 +136,8 @@ def _shared(a: list[bytes], b: list[bytes], reach: int) -> np.ndarray:
 
 def _neighbours(rows: pa.Table, least: int, anchor: int) -> list[pa.RecordBatch]:
     """For every two rows side by side with equal keys, a row for each: how far they agree to the left and the right."""
-    keys = rows.column("key").to_numpy()
-    pairs = np.flatnonzero(keys[1:] == keys[:-1])
+    keys, rids, places = (rows.column(c).to_numpy() for c in ("key", "rid", "at"))
+    pairs = np.flatnonzero((keys[1:] == keys[:-1]) & ((rids[1:] != rids[:-1]) | (places[1:] != places[:-1])))
     if not len(pairs):
         return []
     sides = [rows.take(pa.array(pairs)), rows.take(pa.array(pairs + 1))]
@@ -155,8 +161,9 @@ def compare(suffixes: DataFrame, order: str, least: int, anchor: int) -> DataFra
         return _filled(1, edge=pa.array([True]), **{f.name: row.column(f.name).combine_chunks() for f in SUFFIX})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, n = None, 0
         for batch in batches:
+            n += batch.num_rows
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch]).select(SUFFIX.names).cast(SUFFIX)
@@ -167,7 +174,7 @@ def compare(suffixes: DataFrame, order: str, least: int, anchor: int) -> DataFra
             for at in range(0, rows.num_rows, 20_000):
                 yield from _neighbours(rows.slice(at, 20_001), least, anchor)
             last = rows.slice(rows.num_rows - 1)
-        if last is not None:
+        if n > 1:
             yield edge(last)
 
     schema = f"l int, r int, partner long, edge boolean, {SUFFIX_DDL}"
@@ -189,8 +196,8 @@ def open_keys(pairs: DataFrame, reach: int) -> DataFrame:
 
 
 def equal_windows(suffixes: DataFrame, reach: int) -> DataFrame:
-    """(rid, doc_id, at, l, r, partner) of all windows around the suffixes that occur more than once, by hash."""
-    layout = pa.schema([("h", pa.int64()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("l", pa.int32())])
+    """(key, rid, doc_id, at, l, r, partner) of all windows around the suffixes that occur more than once, by hash."""
+    layout = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("l", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
@@ -199,22 +206,23 @@ def equal_windows(suffixes: DataFrame, reach: int) -> DataFrame:
                 after, before, name = x["after"], x["before"], x["key"].to_bytes(8, "big", signed=True)
                 for left in range(max(0, reach - len(after) // 4), min(reach, len(before) // 4) + 1):
                     h = xxhash.xxh64_intdigest(before[: 4 * left] + name + after[: 4 * (reach - left)], left)
-                    for column, value in zip(rows, (h - (1 << 64) if h >> 63 else h, x["rid"], x["doc_id"], x["at"], left), strict=True):
+                    for column, value in zip(rows, (h - (1 << 64) if h >> 63 else h, x["key"], x["rid"], x["doc_id"], x["at"], left), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, layout, strict=True)], schema=layout)
 
     spark = suffixes.sparkSession
     path = scratch_path(spark, "windows")
-    suffixes.select(*SUFFIX.names).mapInArrow(run, "h long, rid long, doc_id long, at int, l int").write.parquet(path)
+    suffixes.select(*SUFFIX.names).mapInArrow(run, "h long, key long, rid long, doc_id long, at int, l int").write.parquet(path)
     windows = spark.read.parquet(path)
     twice = scratch_path(spark, "equal-windows")
     windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("n > 1").drop("n").write.parquet(twice)
     partner = F.when(F.col("low") == F.col("doc_id"), F.col("high")).otherwise(F.col("low"))
-    return windows.join(spark.read.parquet(twice), "h").select("rid", "doc_id", "at", "l", (reach - F.col("l")).cast("int").alias("r"), partner.alias("partner"))
+    return windows.join(spark.read.parquet(twice), "h").select("key", "rid", "doc_id", "at", "l", (reach - F.col("l")).cast("int").alias("r"), partner.alias("partner"))
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with a repeated passage: doc_id, rid, spans (first word, end word), n_words in them, a partner's id."""
+    """One row per document with a repeated passage: doc_id, rid, spans (first word, end word), n_words in them, a partner's id,
+    its passage classes in the order of the text, and those whose first copy it holds."""
     spark = docs.sparkSession
     # both uses of the texts take the same columns, so that they are planned, and numbered, alike
     docs = id_text(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
@@ -234,25 +242,48 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id
     unsettled = scratch_path(spark, "open-keys")
     open_keys(pairs, reach).write.parquet(unsettled)
     more = equal_windows(suffixes.join(spark.read.parquet(unsettled), "key", "left_semi"), reach)
-    matches = pairs.drop("key").filter(F.col("l") + F.col("r") >= reach).unionByName(more)
-    matches = matches.select("rid", "doc_id", "partner", (F.col("at") - F.col("l")).alias("s"), (F.col("at") + anchor + F.col("r")).alias("e"))
-
-    def merge(marks):
-        state = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("done"), F.lit(0).alias("s"), F.lit(-1).alias("e"))
-
-        def step(so_far, x):
-            grows = x["s"] <= so_far["e"]
-            closed = F.when(so_far["e"] >= 0, F.array_append(so_far["done"], F.struct(so_far["s"].alias("s"), so_far["e"].alias("e")))).otherwise(so_far["done"])
-            return F.struct(F.when(grows, so_far["done"]).otherwise(closed).alias("done"), F.when(grows, so_far["s"]).otherwise(x["s"]).alias("s"), F.when(grows, F.greatest(so_far["e"], x["e"])).otherwise(x["e"]).alias("e"))
+    matches = pairs.filter(F.col("l") + F.col("r") >= reach).unionByName(more)
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "rid", "at"))
+    # one row for each suffix with a match: its widest reach to either side, which its matches cover without a gap
+    found = matches.select("key", "rid", "doc_id", "at", "partner", (F.col("at") - F.col("l")).alias("s"), (F.col("at") + anchor + F.col("r")).alias("e"))
+    live = scratch_path(spark, "live-suffixes")
+    found.groupBy("rid", "at").agg(F.max("key").alias("key"), F.max("doc_id").alias("doc_id"), F.min("s").alias("s"), F.max("e").alias("e"), F.min("partner").alias("partner")).write.parquet(live)
+    live = spark.read.parquet(live)
+    firsts = scratch_path(spark, "first-copies")
+    live.groupBy("key").agg(first.alias("first")).select("first.rid", "first.at", F.lit(True).alias("is_first")).write.parquet(firsts)
+    marks = live.join(spark.read.parquet(firsts), ["rid", "at"], "left")
+    mark = F.struct("s", "e", "key", F.coalesce("is_first", F.lit(False)).alias("is_first"))
+    gathered = marks.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(mark)).alias("marks"), F.min("partner").alias("partner_id"))
+    return merged(gathered)
+
+
+def merged(gathered: DataFrame) -> DataFrame:
+    """gathered(rid, doc_id, marks ascending, partner_id) -> the same with the marks' union and their classes."""
+    span = pa.struct([("s", pa.int32()), ("e", pa.int32())])
+    names = ("doc_id", "rid", "spans", "n_words", "partner_id", "passages", "first_passages")
+    kinds = (pa.int64(), pa.int64(), pa.list_(span), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
-        return F.aggregate(marks, state, step, lambda z: F.array_append(z["done"], F.struct(z["s"].alias("s"), z["e"].alias("e"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for x in batch.to_pylist():
+                spans: list[list[int]] = []
+                for mark in x["marks"]:
+                    if spans and mark["s"] <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], mark["e"])
+                    else:
+                        spans.append([mark["s"], mark["e"]])
+                passages = list(dict.fromkeys(m["key"] for m in x["marks"]))
+                firsts = list(dict.fromkeys(m["key"] for m in x["marks"] if m["is_first"]))
+                rows.append((x["doc_id"], x["rid"], [{"s": s, "e": e} for s, e in spans], sum(e - s for s, e in spans), x["partner_id"], passages, firsts))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    marked = matches.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_set(F.struct("s", "e"))).alias("marks"), F.min("partner").alias("partner_id"))
-    spans = marked.select("doc_id", "rid", merge(F.col("marks")).alias("spans"), "partner_id")
-    return spans.withColumn("n_words", F.aggregate("spans", F.lit(0), lambda total, x: total + x["e"] - x["s"]).cast("long"))
+    return gathered.mapInArrow(run, "doc_id long, rid long, spans array<struct<s:int,e:int>>, n_words long, partner_id long, passages array<long>, first_passages array<long>")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_spans(table(spark, sf_dir, "documents"))
     shown = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["s"], x["e"])), ",")
-    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.col("n_words").alias("n_repeated_words"), shown.alias("spans"), "partner_id")
+    listed = lambda c: F.array_join(F.transform(c, lambda k: F.lower(F.lpad(F.hex(k), 16, "0"))), ",")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.col("n_words").alias("n_repeated_words"), shown.alias("spans"), "partner_id", listed("passages").alias("passages"), listed("first_passages").alias("first_passages"))
