@@ -10,13 +10,14 @@ archive; the reader takes the files that the index table names. Archives are of
 Executors reach the shared folder through pyarrow's file systems, whatever its scheme.
 
 Defined results: a null html is an empty payload; payloads of fewer than MIN_REVISIT bytes, and rows with a null page_id,
-are responses; repeated rows with the smallest page_id of their payload are all responses; an empty table gives no rows.
+are responses; repeated rows with the smallest page_id of their payload are all responses; rows that share a page_id but not the
+payload are records of their own; an empty table gives no rows. The normaliser refuses a stream without its trailer, with a wrong
+checksum, or that ends inside a record.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import posixpath
 import uuid
@@ -42,15 +43,13 @@ INDEX = "archive string, offset long, length long, record_id string, record_type
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
 
-def plan_revisits(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
-    """pages(page_id, digest, n) -> (page_id, refers_to) of the pages that revisit another's payload.
+def first_copies(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
+    """pages(page_id, digest, n) -> (digest, refers_to): the smallest id of each payload that pages of several ids share.
 
-    The smallest id of each payload is combined before the shuffle; the join back is by digest, where a payload that very
-    many pages share is a skewed key that Spark splits at run time.
+    The ids are combined before the shuffle, so a payload that very many pages share is a few rows here.
     """
-    sums = pages.filter((F.col("n") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    firsts = sums.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("last > refers_to").drop("last")
-    return sums.join(firsts, "digest").filter("page_id > refers_to").select("page_id", "refers_to").distinct()
+    sums = pages.filter((F.col("n") >= least) & F.col("page_id").isNotNull())
+    return sums.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("last > refers_to").drop("last")
 
 
 def _uri(page_id: Column) -> Column:
@@ -82,43 +81,56 @@ def write_monolithic(pages: DataFrame, path: str, id_col: str = "page_id", url_c
     """Write pages as archives that are one gzip stream each."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     full = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    revisits = plan_revisits(full.select("page_id", "digest", F.octet_length("html").alias("n")))
-    joined = full.join(revisits, "page_id", "left")
+    # written, so that the join reads two plain shuffles and Spark can split a payload that very many pages share
+    firsts = scratch_path(pages.sparkSession, "warc-first-copies")
+    first_copies(full.select("page_id", "digest", F.octet_length("html").alias("n"))).write.parquet(firsts)
+    joined = full.join(pages.sparkSession.read.parquet(firsts), "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("refers_to"), F.col("refers_to")))
     value = record_text(*(F.col(c) for c in ("page_id", "url", "html", "digest", "refers_to")))
     joined.select(value.alias("value")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", rows_per_file).text(path)
 
 
-class Inflated(io.RawIOBase):
-    """A gzip stream of one or more members as a readable file."""
+class Inflated:
+    """The bytes of a gzip stream of one or more members; at most _READ of them are inflated at once, whatever the ratio.
+
+    A stream that ends before its trailer is an error, so what has been read has also passed its checksum.
+    """
 
     def __init__(self, raw) -> None:
         self.raw, self.out, self.engine = raw, bytearray(), zlib.decompressobj(31)
+        self.packed = b""
 
     def take(self, n: int) -> bytes:
         """Exactly n bytes, fewer only at the end."""
-        self._fill(lambda: len(self.out) >= n)
+        while len(self.out) < n and self._more():
+            pass
         got = bytes(self.out[:n])
         del self.out[:n]
         return got
 
     def until(self, mark: bytes) -> bytes:
-        """Up to and with ``mark``; empty at the end."""
-        self._fill(lambda: mark in self.out)
-        at = self.out.find(mark)
-        return self.take(at + len(mark)) if at >= 0 else b""
-
-    def _fill(self, enough) -> None:
-        while not enough():
-            if self.engine.eof:
-                rest = self.engine.unused_data or self.raw.read(_READ)
-                if not rest:
-                    return
-                self.engine = zlib.decompressobj(31)
-            else:
-                rest = self.raw.read(_READ)
-                if not rest:
-                    return
-            self.out += self.engine.decompress(rest)
+        """Up to and with ``mark``; empty at the end of the stream, an error if other bytes stand there."""
+        seen = 0
+        while (at := self.out.find(mark, seen)) < 0:
+            seen = max(0, len(self.out) - len(mark) + 1)
+            if not self._more():
+                if self.out:
+                    raise ValueError("the stream ends inside the head of a record")
+                return b""
+        return self.take(at + len(mark))
+
+    def _more(self) -> bool:
+        """Inflate a further piece; False at the end."""
+        if not self.packed:
+            self.packed = self.raw.read(_READ)
+            if not self.packed:
+                if not self.engine.eof:
+                    raise ValueError("the gzip stream is cut short")
+                return False
+        if self.engine.eof:
+            self.engine = zlib.decompressobj(31)
+        self.out += self.engine.decompress(self.packed, _READ)
+        self.packed = self.engine.unused_data if self.engine.eof else self.engine.unconsumed_tail
+        return True
 
 
 def parse_head(head: bytes) -> dict[str, str]:
