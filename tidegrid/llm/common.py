@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import string
 import tempfile
 import uuid
@@ -33,10 +34,12 @@ def hash_mod(id_col: str, n: int):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is named."""
+    """The folder that the cluster names for checkpoints. One of our own only where none is named and all runs in one JVM."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("spark.tidegrid.scratch", None)
     if not own:
         own = tempfile.mkdtemp(prefix="spark-tidegrid-")
@@ -58,6 +61,16 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The same rows, written to the shared folder and read again: a cut of the lineage that no executor's loss undoes.
+
+    A join of two such tables reads two plain shuffles, so that Spark can split a key which very many rows share.
+    """
+    path = scratch_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def as_uri(path: str) -> str:
     return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
 

@@ -2,9 +2,9 @@
 
 N-grams of 1 to 3 characters of the lower-cased text (anything but letters counts as a space) are hashed into a fixed number
 of slots. Document frequencies come from all training documents. The regression is fitted by follow-the-regularised-leader with an
-elastic net (L1 makes it sparse, L2 keeps it small) on a bounded sample of SAMPLE_DOCS labelled documents, as many of each
-language as their number allows, and calibrated by a temperature on a part of the sample that it has not seen. Every document
-is then scored whole.
+elastic net (L1 makes it sparse, L2 keeps it small) on a bounded sample of SAMPLE_DOCS labelled documents chosen by a hash, as many of
+each language as their number allows. In the order of the hash every HELD_EVERY-th document of a language is held back, and on these
+the temperature is calibrated; so every language is fitted, whatever its ids are. Every document is then scored whole.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text when nothing can be learned;
 documents with a null id aren't learned from and not held out; repeated rows keep their rows.
@@ -12,6 +12,8 @@ documents with a null id aren't learned from and not held out; repeated rows kee
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,14 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import hash_mod, slices, table
+from tidegrid.llm.common import hash_mod, slices, stored, table
 
 SLOT_BITS = 15
 SLOTS = 1 << SLOT_BITS
 #: Labelled documents that the regression is fitted and calibrated on.
 SAMPLE_DOCS = 4000
-#: A document longer than this is not taken into the sample (it is counted and scored all the same).
+#: A document longer than this is not taken into the sample (it is counted and scored all the same), unless its language has no
+#: shorter one: then the language's shortest documents are taken, LONG_DOCS at most.
 SAMPLE_CHARS = 50_000
+LONG_DOCS = 4
+HELD_EVERY = 5
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.1
 
@@ -150,7 +155,8 @@ class Model:
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """labelled(doc_id, text, lang), lang not null."""
-    sizes = {r.lang: r["count"] for r in labelled.filter(F.length("text") <= SAMPLE_CHARS).groupBy("lang").count().collect()}
+    short = F.length("text") <= SAMPLE_CHARS
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count_if(short).alias("n")).collect()}
     total, found = document_frequencies(labelled)
     idf = np.log((1 + total) / (1 + found)) + 1
     languages = sorted(sizes)
@@ -159,13 +165,18 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     share = max(1, sample_docs // len(languages))
     chosen = F.lit(0.0)
     for lang in languages:
-        chosen = F.when(F.col("lang") == lang, min(1.0, share / sizes[lang])).otherwise(chosen)
-    sample = labelled.filter(F.length("text") <= SAMPLE_CHARS).filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < chosen * (1 << 20))
-    fitted, held = ([], []), ([], [])
-    for row in sample.select("doc_id", "text", "lang").toLocalIterator():
+        chosen = F.when(F.col("lang") == lang, min(1.0, share / max(sizes[lang], 1))).otherwise(chosen)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)).alias("draw")
+    sample = labelled.filter(short).select("doc_id", "text", "lang", draw).filter(F.col("draw") < chosen * (1 << 20))
+    parts = [sample] + [labelled.filter(F.col("lang") == lang).select("doc_id", "text", "lang", draw).orderBy(F.length("text"), "draw", "text").limit(LONG_DOCS) for lang in languages if not sizes[lang]]
+    # the bounded sample is written, so that one distributed scan finds it
+    ordered = stored(functools.reduce(DataFrame.unionByName, parts), "language-sample").orderBy("draw", "doc_id", "text")
+    fitted, held, met = ([], []), ([], []), Counter()
+    for row in ordered.toLocalIterator():
         counts = counts_of(row.text)
         if counts is not None:
-            rows, labels = held if row.doc_id % 5 == 0 else fitted
+            met[row.lang] += 1
+            rows, labels = fitted if met[row.lang] % HELD_EVERY else held
             rows.append(vector(counts, idf))
             labels.append(languages.index(row.lang))
     weights = fit_ftrl(*fitted, len(languages))
