@@ -78,3 +78,13 @@ def test_odd_rows(spark):
     assert sum(map(len, got.values())) == len(ODD)
     assert got[2] == [1, 1] and got[4] == [3] and got[5] == [3] and got[None] == [None]
     assert simhash.groups(simhash.fingerprints(empty(spark))).count() == 0
+
+
+def test_a_hub_and_repeated_ids(spark):
+    """A code with very many neighbours, and ids that stand for several texts."""
+    centre = 0x0123456789ABCDEF
+    codes = [centre] + [centre ^ (1 << a) ^ (1 << b) ^ (1 << c) for a, b, c in combinations(range(14), 3)]
+    rows = [(10_000 - k, simhash.signed(c)) for k, c in enumerate(codes)] + [(5, simhash.signed(centre)), (5, 77), (5, 77)]
+    got = simhash.groups(spark.createDataFrame(rows, "doc_id long, code long")).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {5}
+    assert sorted(r.code for r in got if r.doc_id == 5) == sorted([77, 77, simhash.signed(centre)])

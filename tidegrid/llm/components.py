@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import cut
+from tidegrid.llm.common import stored
 
 MOST_ROUNDS = 60
 
@@ -18,19 +18,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges(u long, v long) -> (node, root): the smallest node reachable, for every node that has an edge.
 
     Every round hangs each node's larger neighbours on its smallest neighbour, then does the same among its smaller
-    ones; the number of rounds grows with the logarithm of the longest path. The minima are combined before the
-    shuffle, so a node with very many neighbours doesn't meet in one task. Each round is cut by a checkpoint.
+    ones; the number of rounds grows with the logarithm of the longest path. The minima are combined before their
+    shuffle and written, so that a node with very many neighbours is a skewed key of a join of two plain shuffles, which
+    Spark splits. Each round's edges are written too, which cuts the lineage.
     """
-    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = _min_neighbour(both).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        smallest = _min_neighbour(large)
+        smallest = stored(_min_neighbour(both).select("u", F.least("u", "m").alias("m")), "minima")
+        large = stored(both.filter("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-star")
+        smallest = stored(_min_neighbour(large), "minima")
         small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(smallest.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = cut(small)
+        edges = stored(small.unionByName(smallest.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break

@@ -2,9 +2,12 @@
 
 Two texts are linked if the sets of their distinct SIZE-word shingles (lower-cased) have a similarity of at least 4/5. Texts of
 equal sets are one class. Candidates come from BANDS bands of BAND_ROWS minima of hashed sets: a pair of similarity 0.8 meets in a bucket
-but for 3 in a million. A bucket's members are put in order, those first that share buckets with most others, and each is compared with the
-LEADERS before it at most: buckets up to that size are searched whole, and a large family is linked through its
-most typical members, so that pairs don't grow with the square of a family. Every candidate is verified on the whole sets.
+but for 6 in a million. Every candidate is verified on the whole sets.
+
+1. In each bucket all members are compared with its LEADERS, those that share buckets with most others. A large family is linked
+   through its most typical members, so that pairs don't grow with the square of a family.
+2. Where a bucket still holds several components, each member outside the bucket's largest one is compared with all members of
+   the other components whose sizes allow the similarity. So no link between components is lost.
 """
 
 from __future__ import annotations
@@ -14,14 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import LOWER, id_text, scratch_path, slices, utf8
+from tidegrid.llm.common import LOWER, id_text, slices, stored, utf8
+from tidegrid.llm.components import connected_components
 from tidegrid.llm.repeats import run_hashes, word_hashes
 
 SIZE = 5
-BANDS, BAND_ROWS = 24, 4
+BANDS, BAND_ROWS = 40, 6
 LEADERS = 16
 
 _U = np.uint64
@@ -62,20 +66,21 @@ def similar(a: bytes, b: bytes) -> bool:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, s, bands): the key of the set and those of its bands; texts without words are left out."""
+    """docs(doc_id, text) -> (doc_id, s, n, bands): key and size of the set, keys of its bands; texts without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, sets, bands = [], [], []
+            ids, sets, sizes, bands = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 found = shingles(text)
                 if len(found):
                     ids.append(doc_id)
                     sets.append(set_key(found))
+                    sizes.append(len(found))
                     bands.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "s", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "s", "n", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, s long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, s long, n long, bands array<long>")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -90,24 +95,30 @@ def whole_sets(docs: DataFrame) -> DataFrame:
 
 
 def candidates(members: DataFrame, leaders: int) -> DataFrame:
-    """members(key, s, met) -> (s, leaders): for each member of a bucket those that it is compared with."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, []
-        for batch in batches:
-            out: tuple[list, list] = ([], [])
-            for key, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key != last:
-                    last, first = key, []
-                elif first:
-                    out[0].append(s)
-                    out[1].append(list(first))
-                if len(first) < leaders:
-                    first.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], names=["s", "leaders"])
-
-    ordered = members.select("key", "s", "met").repartition("key").sortWithinPartitions("key", F.col("met").desc(), "s")
-    return ordered.mapInArrow(run, "s long, leaders array<long>")
+    """members(key, s, met) -> (u, v), distinct: every member of a bucket with the bucket's leaders."""
+    # Spark limits the ranks before the shuffle, so that few rows of a bucket meet
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("met").desc(), "s"))
+    first = members.withColumn("rank", rank).filter(F.col("rank") <= leaders)
+    chosen = stored(first.groupBy("key").agg(F.collect_list("s").alias("leaders")), "leaders")
+    met = members.join(chosen, "key").groupBy("s").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("leaders"))
+    pairs = met.select("s", F.explode("leaders").alias("v")).filter("s <> v")
+    return pairs.select(F.least("s", "v").alias("u"), F.greatest("s", "v").alias("v")).distinct()
+
+
+def remaining(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members(key, s, n), roots(node, root) -> (u, v), distinct: pairs of a bucket that are in different components.
+
+    One of the two is outside the bucket's largest component.
+    """
+    rooted = stored(members.select("key", "s", "n").join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s")), "rooted-members")
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("components"))
+    several = stored(largest.filter("components > 1").select("key", "largest"), "open-buckets")
+    inside = stored(rooted.join(several, "key"), "open-members")
+    outside = inside.filter("root <> largest").select("key", F.col("s").alias("v"), F.col("n").alias("size"), F.col("root").alias("other"))
+    allowed = (F.col("root") != F.col("other")) & (5 * F.least("n", "size") >= 4 * F.greatest("n", "size"))
+    pairs = inside.join(outside, "key").filter(allowed)
+    return pairs.select(F.least("s", "v").alias("u"), F.greatest("s", "v").alias("v")).distinct()
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -123,26 +134,25 @@ def verified(pairs: DataFrame) -> DataFrame:
 
 def similar_links(docs: DataFrame, leaders: int = LEADERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """edges(u, v) between doc_ids that connect the documents with similar texts; rows with a null id take no part."""
-    spark = docs.sparkSession
     docs = id_text(docs, id_col, text_col).filter("doc_id is not null")
-
-    def stored(name: str, df: DataFrame) -> DataFrame:
-        path = scratch_path(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    found = stored("sketches", sketches(docs))
-    classes = found.groupBy("s").agg(F.min("doc_id").alias("least"))
-    dealt = found.select("s", F.explode("bands").alias("key")).distinct()
-    shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored("buckets", dealt.join(shared, "key"))
-    members = members.join(members.groupBy("s").agg(F.sum("n").alias("met")), "s")
-    chosen = candidates(members, leaders).groupBy("s").agg(F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders"))
-    pairs = stored("candidates", chosen.select(F.col("s").alias("u"), F.explode("leaders").alias("v")))
-    needed = stored("needed", pairs.select(F.col("u").alias("s")).unionByName(pairs.select(F.col("v").alias("s"))).distinct().join(classes, "s"))
+    found = stored(sketches(docs), "sketches")
+    classes = stored(found.groupBy("s").agg(F.min("doc_id").alias("least")), "set-classes")
+    dealt = stored(found.select("s", "n", F.explode("bands").alias("key")).distinct(), "bands")
+    shared = stored(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1"), "buckets")
+    members = stored(dealt.join(shared, "key"), "bucket-members")
+    met = stored(members.groupBy("s").agg(F.sum("in_bucket").alias("met")), "met")
+    members = stored(members.drop("in_bucket").join(met, "s"), "ranked-members")
+    needed = stored(members.select("s").distinct().join(classes, "s"), "needed")
     sets = whole_sets(docs.join(needed.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    sets = stored("sets", sets.join(needed, "s").dropDuplicates(["s"]).select("s", "shingles", "least"))
-    side = lambda of, name, key: sets.select(F.col("s").alias(of), F.col("shingles").alias(name), F.col("least").alias(key))
-    both = pairs.join(side("u", "a", "x"), "u").join(side("v", "b", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"), "a", "b")
+    sets = stored(sets.join(needed, "s").dropDuplicates(["s"]).select("s", "shingles"), "sets")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        side = lambda of, name: sets.select(F.col("s").alias(of), F.col("shingles").alias(name))
+        return verified(stored(pairs, "pairs").join(side("u", "a"), "u").join(side("v", "b"), "v"))
+
+    first = stored(links(candidates(members, leaders)), "links")
+    second = links(remaining(members, connected_components(first)))
+    key = lambda of, name: classes.select(F.col("s").alias(of), F.col("least").alias(name))
+    between = first.unionByName(second).join(key("u", "x"), "u").join(key("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
     equal = found.select("doc_id", "s").join(classes, "s").filter("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    return verified(both).unionByName(equal)
+    return between.unionByName(equal)

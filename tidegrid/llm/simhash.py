@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import LOWER, cut, id_text, slices, table, utf8
+from tidegrid.llm.common import LOWER, id_text, slices, stored, table, utf8
 from tidegrid.llm.components import connected_components
 
 SHINGLE = 3
@@ -228,7 +228,7 @@ def links(codes: DataFrame, distance: int = DISTANCE, most: int = MOST_CODES) ->
         fine_enough = bin(~agreed & (1 << 64) - 1).count("1") < 4 * (distance + 1)
         here = large.select("block").distinct().collect() if not fine_enough else []
         if here:
-            large = cut(large)
+            large = stored(large, "large-buckets")
             for n in sorted(r.block for r in here):
                 waiting.append((agreed | masks[n], dealt.filter(F.col("block") == n).join(large.filter(F.col("block") == n), ["bucket", "block"], "left_semi").select("code", "bucket")))
             dealt = dealt.join(large, ["bucket", "block"], "left_anti")
@@ -239,12 +239,13 @@ def links(codes: DataFrame, distance: int = DISTANCE, most: int = MOST_CODES) ->
 
 def groups(prints: DataFrame, distance: int = DISTANCE, most: int = MOST_CODES) -> DataFrame:
     """prints(doc_id, code) -> the same rows with component_id, the smallest doc_id of each row's group."""
-    prints = cut(prints)
-    classes = prints.groupBy("code").agg(F.min("doc_id").alias("least"))
+    prints = stored(prints, "fingerprints")
+    # written tables: a code or a root that very many rows share is a skewed key of two plain shuffles, which Spark splits
+    classes = stored(prints.groupBy("code").agg(F.min("doc_id").alias("least")), "codes")
     roots = connected_components(links(classes.select("code"), distance, most))
-    rooted = classes.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("code", "component_id")
+    rooted = stored(classes.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code")), "rooted-codes")
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    named = stored(rooted.join(least, "root").select("code", "component_id"), "named-codes")
     return prints.join(named, "code").select("doc_id", "code", "component_id")
 
 
