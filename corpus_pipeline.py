@@ -1,7 +1,8 @@
 """Corpus pipeline: quality rules, near-dedup, benchmark decontamination, PII redaction, best-fit packing.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and but for the last returns the columns of
-docs. Rows with a null doc_id can't be told apart by id: the stages that decide by id leave them in.
+docs. Decisions are made for rows, not for ids: a stage that joins numbers the rows of its input first, so rows without a doc_id,
+and rows that share one, are documents like all others.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import scratch_path, table
+from tidegrid.llm.common import scratch_path, stored, table
 from tidegrid.llm.components import connected_components
 from tidegrid.llm.decontamination import contamination
 from tidegrid.llm.near import similar_links
@@ -28,22 +29,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(rejected_by(docs).isNull())
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a number for each row, and the name of that column."""
+    name = "row"
+    while name in docs.columns:
+        name = f"_{name}"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near-duplicates; one row of repeated rows.
+    """One row of each group of near-duplicates: the one of the smallest doc_id, rows without a doc_id last.
 
     Links are those of op4's fingerprints and those of similar sets of five-word shingles.
     """
-    close = groups(fingerprints(docs)).filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    roots = connected_components(close.unionByName(similar_links(docs)))
-    other = roots.filter("node <> root").select(F.col("node").alias("doc_id"))
-    named = docs.filter(F.col("doc_id").isNotNull()).join(other, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    numbered, row = _numbered(docs)
+    close = groups(fingerprints(numbered, id_col=row)).filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    roots = stored(connected_components(close.unionByName(similar_links(numbered, id_col=row))), "near-groups")
+    ids = numbered.select(F.col(row).alias("node"), "doc_id")
+    members = stored(roots.join(ids, "node"), "near-members")
+    kept = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"].alias("node"))
+    other = members.select("node").join(kept.select("node"), "node", "left_anti").select(F.col("node").alias(row))
+    return numbered.join(other, row, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("n_hit > 0").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    numbered, row = _numbered(docs)
+    found = contamination(numbered, table(spark, sf_dir, "benchmark"), id_col=row)
+    return numbered.join(found.filter("n_hit > 0").select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
