@@ -83,3 +83,20 @@ def test_edited_copies_are_near_duplicates(spark):
     assert len(copies) > 20 and all(jaccard(texts[i], texts[200 + i]) < 0.8 for i in range(30))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(texts) - copies
+
+
+def test_rows_without_or_with_a_shared_id_are_documents_of_their_own(spark, tmp_path):
+    rng = random.Random(3)
+    prose = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    item = " ".join(f"item{k}" for k in range(15))
+    a, b, c, clean = (prose() for _ in range(4))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def run(stage, rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+        return sorted(stage(spark, docs, str(tmp_path)).collect(), key=str)
+
+    rows = [(None, f"{a} {item}", "x"), (3, clean, "x"), (3, f"{b} {item}", "x"), (4, f"{c} {item}", "x"), (None, c, "x")]
+    assert run(corpus_pipeline.decontaminate, rows) == sorted([(3, clean, "x"), (None, c, "x")], key=str)
+    rows = [(3, a, "x"), (3, b, "x"), (None, a, "x"), (None, a, "x"), (None, c, "x"), (None, c, "x"), (5, b, "x"), (6, None, "x")]
+    assert run(corpus_pipeline.near_dedup, rows) == sorted([(3, a, "x"), (3, b, "x"), (None, c, "x"), (6, None, "x")], key=str)
