@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII-only lower-casing of UTF-8 bytes.
@@ -23,6 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """As many partitions as there are cores where the scan gives fewer (a small table of one row group); others stay unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
+def hashed_share(n: int, of: int, seed: int, *columns: str) -> Column:
+    """Whether a row is among about n of ``of`` rows, by a hash of its columns; nothing depends on the rows' order or place."""
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 40)) < F.lit(int(min(1.0, n / max(of, 1)) * (1 << 40)))
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text (string), under fixed names, whatever else the table has."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -18,7 +18,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
 def lines_of(text: Column) -> Column:
@@ -33,10 +33,6 @@ def n_repeat_words(words: Column, size: int = 3) -> Column:
     whose windows are all distinct.
     """
 
-    def windows(hashes: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(hashes) - size)
-        return F.transform(at, lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(size))))
-
     def covered(starts: Column) -> Column:
         gaps = F.zip_with(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(size)))
         return F.when(F.size(starts) == 0, 0).otherwise(F.aggregate(gaps, F.lit(size), lambda total, gap: total + gap))
@@ -51,8 +47,10 @@ def n_repeat_words(words: Column, size: int = 3) -> Column:
 
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), 0).otherwise(let(placed, lambda rows: let(starts(rows), covered)))
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) < size, F.lit(0)).otherwise(let(hashes, lambda h: let(windows(h), repeated))).cast("long")
+    def windows(all_words: Column) -> Column:
+        return F.transform(F.slice(all_words, 1, F.size(all_words) - (size - 1)), lambda w, i: F.xxhash64(w, *(F.get(all_words, i + k) for k in range(1, size))))
+
+    return let(words, lambda w: F.when(F.size(w) < size, F.lit(0)).otherwise(let(windows(w), repeated))).cast("long")
 
 
 SPANS = "array<struct<s:int,e:int,t:string>>"
