@@ -2,10 +2,19 @@
 
 Model: byte contexts of up to ORDER bytes form a trie. A context's own symbols have probability count / (total + kinds); the rest
 of the mass escapes to the context without its oldest byte, where the symbols already seen are excluded, down to a uniform choice
-among what is left. End of text is a symbol. All training documents are counted. All contexts count:
-those of up to two bytes and the most frequent ones of three, at most MOST_CONTEXTS of each order, are broadcast; the symbols
-after the other contexts of three bytes are joined with these contexts' probabilities by a shuffle. Because the model is fixed when texts are
-scored, escapes and exclusions are worked out once for each context, and a text's code length is a sum of table look-ups.
+among what is left. End of text is a symbol. All training documents are counted and all contexts are kept.
+
+The trie is a set of sparse tables, one for each order: (context, symbol, n). What a context has seen, its suffix has seen too, so
+the symbols to exclude at a suffix are those of the context that escaped to it, and the weights of an escape follow from sums over
+the two tables:
+
+    at the longest context seen     n / (T + K), escape K / (T + K)
+    after an escape from d to c     n / (T' + K'), escape K' / (T' + K'), T' = T(c) - counts in c of d's symbols, K' = K(c) - K(d)
+
+T and K are a context's total and number of kinds; an escape weighs nothing where all SYMBOLS are seen. The most frequent
+(context, symbol) pairs of the highest order, MOST_CODES at most, are broadcast with their log probabilities, so most symbols of a text
+are a look-up. All others are joined by a shuffle: with the whole table of pairs, and those that no training text has with the tables
+of the orders below. Where the bound lies changes the way of the work and no score.
 
 Base: the counts of all training tokens. Tokens that make up at least one in FREQUENT of the corpus (at most FREQUENT of them) are
 broadcast; the occurrences of all others are joined with the counts by a shuffle. Token keys are 64-bit hashes.
@@ -19,7 +28,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +35,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import LOWER, hash_mod, scratch_path, slices, table, utf8
+from tidegrid.llm.common import LOWER, documents, hash_mod, scratch_path, slices, stored, utf8
 
-ORDER = 3
+ORDER = 5
 END = 256
 SYMBOLS = 257
-#: Contexts of each order that are broadcast, at most; there are no more of the orders below three.
-MOST_CONTEXTS = 1 << 16
-#: Those of the longest order.
-MOST_LONGEST = 1 << 16
+#: Pairs of context and symbol that are broadcast, at most.
+MOST_CODES = 1 << 20
+#: Bits of the broadcast pairs' index.
+INDEX_BITS = 21
 FREQUENT = 500_000
 #: Different tokens or context codes that a task holds before it passes their counts on.
 HELD = 400_000
@@ -50,14 +58,14 @@ def token_key(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def contexts_of(text: bytes) -> np.ndarray:
-    """The ORDER bytes before each symbol of the text and before its end, as one number; zeros stand before the text."""
-    padded = np.concatenate([np.zeros(ORDER, np.uint32), np.frombuffer(text, np.uint8)]).astype(np.uint32)
+def codes_of(text: bytes) -> np.ndarray:
+    """For each symbol of the text and its end, context * 512 + symbol; zeros stand before the text."""
+    padded = np.concatenate([np.zeros(ORDER, np.int64), np.frombuffer(text, np.uint8), [END]])
     n = len(text) + 1
-    code = np.zeros(n, np.uint32)
+    code = np.zeros(n, np.int64)
     for k in range(ORDER):
-        code = code << np.uint32(8) | padded[k : k + n]
-    return code
+        code = code << 8 | padded[k : k + n]
+    return code << 9 | padded[ORDER:]
 
 
 def count_corpus(texts: DataFrame) -> DataFrame:
@@ -86,9 +94,8 @@ def count_corpus(texts: DataFrame) -> DataFrame:
                 text = text or b""
                 tokens.update(text.translate(LOWER).split())
                 n_texts += 1
-                symbols = np.append(np.frombuffer(text, np.uint8).astype(np.int64), END)
-                pending.append(contexts_of(text).astype(np.int64) * 512 + symbols)
-                n_pending += len(symbols)
+                pending.append(codes_of(text))
+                n_pending += len(text) + 1
                 if n_pending > 4_000_000:
                     fold()
             if len(tokens) > HELD:
@@ -107,136 +114,118 @@ def count_corpus(texts: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-def log10_rows(levels: list[tuple[np.ndarray, np.ndarray | None]], order: int, contexts: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """log10 probability of every symbol after contexts whose counts are ``own``; levels holds the orders below."""
-    seen = np.zeros((len(contexts), SYMBOLS), bool)
-    chance, mass = np.zeros((len(contexts), SYMBOLS)), np.ones((len(contexts), 1))
-    for level in range(order, -1, -1):
-        at = None if level == order else np.searchsorted(levels[level][0], contexts & ((1 << 8 * level) - 1))
-        here = np.where(seen, 0, own if at is None else levels[level][1][at])
-        total, kinds = here.sum(axis=1, keepdims=True), (here > 0).sum(axis=1, keepdims=True)
-        left = SYMBOLS - seen.sum(axis=1, keepdims=True)
-        escape = np.where(kinds < left, kinds, 0)
-        below = np.maximum(total + escape, 1)
-        chance += mass * here / below
-        mass = np.where(total > 0, mass * escape / below, mass)
-        seen |= here > 0
-    left = np.maximum(SYMBOLS - seen.sum(axis=1, keepdims=True), 1)
-    chance += np.where(seen, 0, mass / left)
-    return np.log10(np.maximum(chance, 1e-300)).astype(np.float32)
-
-
-@dataclass
-class Trie:
-    """Broadcast contexts of each order with their symbol counts, and the log10 probabilities that follow from them."""
-
-    #: order -> (contexts, ascending; counts, contexts x SYMBOLS)
-    levels: list[tuple[np.ndarray, np.ndarray]]
-    #: the contexts of ORDER bytes that were seen but are not broadcast, and the class of frequency below which they are
-    rest: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
-    bound: int = 0
-    rows: np.ndarray = field(init=False)
-    _place: np.ndarray | None = field(default=None, init=False)
-
-    def __post_init__(self) -> None:
-        self.rows = np.concatenate([self._log10(order) for order in range(ORDER + 1)])
-
-    def _log10(self, order: int) -> np.ndarray:
-        contexts, counts = self.levels[order]
-        out = [log10_rows(self.levels, order, contexts[at : at + 2048], counts[at : at + 2048]) for at in range(0, len(contexts), 2048)]
-        return np.concatenate([np.empty((0, SYMBOLS), np.float32), *out])
-
-    def __getstate__(self) -> dict:
-        return {"levels": [(c, None) for c, _ in self.levels], "rest": self.rest, "bound": self.bound, "rows": self.rows, "_place": None}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-
-    def place(self) -> np.ndarray:
-        """For every possible context of ORDER bytes, the row of its longest suffix that was seen, -1 if that isn't broadcast; made once for each worker."""
-        if self._place is None:
-            place, base = np.zeros(1 << 8 * ORDER, np.int32), 0
-            for order, (contexts, _) in enumerate(self.levels):
-                place.reshape(-1, 1 << 8 * order)[:, contexts] = np.arange(base, base + len(contexts), dtype=np.int32)
-                base += len(contexts)
-            place[self.rest] = -1
-            self._place = place
-        return self._place
+class Codes:
+    """Log10 probabilities of the broadcast pairs of context and symbol, found by a hash of the pair."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray) -> None:
+        place = self._place(codes)
+        order = np.argsort(place, kind="stable")
+        self.codes, self.values = np.append(codes[order], -1), np.append(values[order], 0).astype(np.float32)
+        self.start = np.searchsorted(place[order], np.arange((1 << INDEX_BITS) + 1)).astype(np.int32)
+        self.longest = int(np.diff(self.start).max(initial=0))
+
+    @staticmethod
+    def _place(codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - INDEX_BITS)
 
     def score(self, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
-        """log10 probability of the text and its end without the symbols after contexts that aren't broadcast; these symbols' codes and counts."""
-        place, flat = self.place(), self.rows.reshape(-1)
-        total, contexts, rest = 0.0, contexts_of(text), []
-        symbols = np.append(np.frombuffer(text, np.uint8).astype(np.int64), END)
-        for at in range(0, len(symbols), 1 << 20):
-            here, symbol = contexts[at : at + (1 << 20)], symbols[at : at + (1 << 20)]
-            rows = place[here].astype(np.int64)
-            known = rows >= 0
-            total += float(flat[rows[known] * SYMBOLS + symbol[known]].sum(dtype=np.float64))
-            rest.append(here[~known].astype(np.int64) * 512 + symbol[~known])
-        return total, *np.unique(np.concatenate(rest), return_counts=True)
-
-
-def frequency_class(n: Column) -> Column:
-    """Classes of an eighth of an octave, growing with n."""
-    return F.floor(F.log2(n) * 8).cast("int")
-
-
-def build_trie(counts: DataFrame, most: int = MOST_CONTEXTS, longest: int | None = None) -> Trie:
-    """The trie of the contexts to broadcast from the counts of all context-and-symbol codes."""
-    codes = counts.filter(F.col("kind") == CODE_ROW)
-    suffix = lambda order: F.floor(F.col("key") / 512).cast("long").bitwiseAND(F.lit((1 << 8 * order) - 1).cast("long"))
-    orders = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), suffix(m).alias("context")) for m in range(ORDER + 1))))
-    by = codes.select(orders.alias("o"), (F.col("key") % 512).cast("int").alias("symbol"), "n").groupBy("o.m", "o.context", "symbol").agg(F.sum("n").alias("n"))
-    classed = by.groupBy("m", "context").agg(frequency_class(F.sum("n")).alias("class"))
-    sizes: list[dict[int, int]] = [{} for _ in range(ORDER + 1)]
-    for r in classed.groupBy("m", "class").count().collect():
-        sizes[r["m"]][r["class"]] = r["count"]
-    bounds = [0]  # a suffix is as frequent as its contexts at least, so growing bounds keep every kept context's suffixes
-    for order in range(1, ORDER + 1):
-        bound, n = max(sizes[order], default=0) + 1, 0
-        for k in sorted(sizes[order], reverse=True):
-            n += sizes[order][k]
-            if n > (longest if longest is not None and order == ORDER else most):
-                break
-            bound = k
-        else:
-            bound = 0
-        bounds.append(max(bound, bounds[-1]))
-    kept = F.col("class") >= F.get(F.array(*map(F.lit, bounds)), F.col("m"))
-    found = by.join(classed.filter(kept).select("m", "context"), ["m", "context"], "left_semi").toArrow()  # at most ``most`` contexts of each order
-    m, context, symbol, n = (found.column(c).to_numpy() for c in ("m", "context", "symbol", "n"))
-    levels = []
-    for order in range(ORDER + 1):
-        own = m == order
-        contexts, row = np.unique(context[own], return_inverse=True)
-        grid = np.zeros((len(contexts), SYMBOLS))
-        grid[row, symbol[own]] = n[own]
-        levels.append((contexts, grid))
-    if not len(levels[0][0]):
-        levels[0] = (np.zeros(1, np.int64), np.zeros((1, SYMBOLS)))
-    rest = np.empty(0, np.int32)
-    if any(k < bounds[ORDER] for k in sizes[ORDER]):  # at most 2 ** 24 numbers
-        rest = classed.filter(~kept & (F.col("m") == ORDER)).select(F.col("context").cast("int")).toArrow().column(0).to_numpy()
-    return Trie(levels, rest, bounds[ORDER])
-
-
-def rest_rows(counts: DataFrame, trie: Trie) -> DataFrame:
-    """(context, logs): the log10 probabilities of all symbols after each context of ORDER bytes that isn't broadcast."""
-    shared = counts.sparkSession.sparkContext.broadcast(trie.levels[:ORDER])
+        """Sum over the symbols whose pair is here; the other pairs and how often each occurs."""
+        total, missing = 0.0, []
+        every = codes_of(text)
+        for at in range(0, len(every), 1 << 18):
+            codes = every[at : at + (1 << 18)]
+            slot = self.start[self._place(codes).astype(np.int64)]
+            open_, found = np.arange(len(codes)), np.full(len(codes), -1, np.int32)
+            for k in range(self.longest):
+                hit = self.codes[np.minimum(slot[open_] + k, len(self.codes) - 1)] == codes[open_]
+                found[open_[hit]] = slot[open_[hit]] + k
+                open_ = open_[~hit]
+                if not len(open_):
+                    break
+            total += float(self.values[found[found >= 0]].sum(dtype=np.float64))
+            missing.append(codes[found < 0])
+        return total, *np.unique(np.concatenate(missing), return_counts=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            contexts = batch.column(0).to_numpy()
-            own = np.zeros((len(contexts), SYMBOLS))
-            for row, symbols in enumerate(batch.column(1).to_pylist()):
-                for x in symbols:
-                    own[row, x["symbol"]] = x["n"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(log10_rows(shared.value, ORDER, contexts, own)), pa.list_(pa.float32()))], names=["context", "logs"])
 
-    codes = counts.filter(F.col("kind") == CODE_ROW).select(F.floor(F.col("key") / 512).cast("long").alias("context"), (F.col("key") % 512).cast("int").alias("symbol"), "n")
-    rows = codes.groupBy("context").agg(F.collect_list(F.struct("symbol", "n")).alias("symbols"), F.sum("n").alias("all")).filter(frequency_class(F.col("all")) < trie.bound)
-    return rows.select("context", "symbols").mapInArrow(run, "context long, logs array<float>")
+class Trie:
+    """The sparse tables of all orders: counts (context, symbol, n) and totals (context, total, kinds)."""
+
+    def __init__(self, counts: DataFrame) -> None:
+        code = F.col("key")
+        top = counts.filter(F.col("kind") == CODE_ROW).select(F.shiftright(code, 9).alias("context"), code.bitwiseAND(F.lit(511).cast("long")).cast("int").alias("symbol"), "n")
+        self.counts = {ORDER: top}
+        for m in range(ORDER - 1, -1, -1):
+            shorter = self.counts[m + 1].groupBy(suffix("context", m).alias("context"), "symbol").agg(F.sum("n").alias("n"))
+            self.counts[m] = stored(shorter, f"order-{m}")
+        self.totals = {m: stored(c.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")), f"totals-{m}") for m, c in self.counts.items()}
+        escape = F.when(F.col("kinds") < SYMBOLS, F.col("kinds")).otherwise(0)
+        valued = self.counts[ORDER].join(self.totals[ORDER], "context")
+        self.pairs = stored(valued.select((F.shiftleft("context", 9) + F.col("symbol")).alias("code"), "n", F.log10(F.col("n") / (F.col("total") + escape)).alias("value")), "pairs")
+
+    def frequent(self, most: int) -> Codes:
+        """The most frequent pairs, ``most`` at most: whole classes of an eighth of an octave of frequency."""
+        kind = F.floor(F.log2("n") * 8).cast("int")
+        sizes = {r["class"]: r["count"] for r in self.pairs.groupBy(kind.alias("class")).count().collect()}
+        bound, held = max(sizes, default=0) + 1, 0
+        for k in sorted(sizes, reverse=True):
+            held += sizes[k]
+            if held > most:
+                break
+            bound = k
+        found = self.pairs.filter(kind >= bound).select("code", "value").toArrow()  # ``most`` rows at most
+        return Codes(found.column(0).to_numpy(), found.column(1).to_numpy())
+
+    def steps(self, order: int, needed: DataFrame) -> DataFrame:
+        """needed(context), distinct -> (context, own, escape, w, e, symbols) of those that were seen.
+
+        own and escape: log10 of the weight of one count and of the escape at the context itself; w and e: the same at its
+        suffix after an escape to there; symbols: its own counts.
+        """
+        own = self.counts[order].join(needed, "context", "left_semi")
+        total, kinds = F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")
+        symbols = F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("symbols")
+        own_weight = (-F.log10(F.col("total") + F.when(F.col("kinds") < SYMBOLS, F.col("kinds")).otherwise(0))).alias("own")
+        out = F.when(F.col("kinds") < SYMBOLS, F.log10(F.col("kinds") / (F.col("total") + F.col("kinds")))).alias("escape")
+        if order == 0:
+            left = F.when(F.col("kinds") < SYMBOLS, -F.log10(F.lit(SYMBOLS) - F.col("kinds")))
+            return own.groupBy("context").agg(total, kinds, symbols).select("context", own_weight, out, F.lit(0.0).alias("w"), left.alias("e"), "symbols")
+        below = self.counts[order - 1].select(F.col("context").alias("suffix"), "symbol", F.col("n").alias("m"))
+        both = own.withColumn("suffix", suffix("context", order - 1)).join(below, ["suffix", "symbol"])
+        sums = both.groupBy("context").agg(F.min("suffix").alias("suffix"), total, kinds, F.sum("m").alias("excluded"), symbols)
+        parent = self.totals[order - 1].select(F.col("context").alias("suffix"), F.col("total").alias("all"), F.col("kinds").alias("all_kinds"))
+        rest, more = F.col("all") - F.col("excluded"), F.col("all_kinds") - F.col("kinds")
+        escape = F.when(more < SYMBOLS - F.col("kinds"), more).otherwise(0)
+        w = F.when(rest > 0, -F.log10(rest + escape)).otherwise(0.0)
+        e = F.when(rest > 0, F.log10(escape / (rest + escape))).otherwise(0.0)  # null where nothing is left to escape to
+        return sums.join(parent, "suffix").select("context", own_weight, out, w.alias("w"), e.alias("e"), "symbols")
+
+    def values(self, codes: DataFrame) -> DataFrame:
+        """codes(code), distinct pairs that no training text has -> (code, value): their log10 probabilities."""
+        rows = codes.select("code", F.shiftright("code", 9).alias("context"), F.col("code").bitwiseAND(F.lit(511).cast("long")).cast("int").alias("symbol"))
+        rows = rows.withColumns({"value": F.lit(0.0), "entered": F.lit(False), "done": F.lit(False), "w": F.lit(0.0), "e": F.lit(0.0)})
+        for m in range(ORDER, -1, -1):
+            rows = rows.withColumn("context", suffix("context", m))
+            steps = self.steps(m, rows.filter("not done").select("context").distinct()).select("context", F.struct("own", "escape", "w", "e", "symbols").alias("x"))
+            joined = rows.join(F.broadcast(steps) if m < 2 else steps, "context", "left")  # one or at most 256 rows below order two
+            n, x = F.log10(F.col("x.symbols")[F.col("symbol")]), F.col("x")
+            going = ~F.col("done") & x.isNotNull()
+            first = F.when(n.isNotNull(), n + x["own"]).otherwise(x["escape"])
+            later = F.when(n.isNotNull(), n + F.col("w")).otherwise(F.col("e"))
+            step = F.when(F.col("entered"), later).otherwise(first)
+            rows = stored(joined.select(
+                "code", "context", "symbol",
+                F.when(going, F.col("value") + step).otherwise(F.col("value")).alias("value"),
+                (F.col("entered") | x.isNotNull()).alias("entered"),
+                (F.col("done") | (going & n.isNotNull())).alias("done"),
+                F.when(going, x["w"]).otherwise(F.col("w")).alias("w"),
+                F.when(going, x["e"]).otherwise(F.col("e")).alias("e"),
+            ), f"values-{m}")
+        uniform = F.when(F.col("entered"), F.col("e")).otherwise(-math.log10(SYMBOLS))
+        return rows.select("code", F.when(F.col("done"), F.col("value")).otherwise(F.col("value") + uniform).alias("value"))
+
+
+def suffix(context: str, order: int) -> Column:
+    return F.col(context).bitwiseAND(F.lit((1 << 8 * order) - 1).cast("long"))
 
 
 def score_documents(docs: DataFrame, held_out: Column, learned: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,11 +241,11 @@ def score_documents(docs: DataFrame, held_out: Column, learned: Column, id_col:
     tokens = counts.filter(F.col("kind") == TOKEN_ROW).select("key", "n")
     n_all, n_kinds = (x or 0 for x in tokens.agg(F.sum("n"), F.count("n")).first())
     frequent = {r.key: math.log10(r.n + 1) for r in tokens.filter(F.col("n") * FREQUENT >= n_all).toLocalIterator()}
-    trie = build_trie(counts, longest=MOST_LONGEST)
-    shared = spark.sparkContext.broadcast((frequent, trie))
+    trie = Trie(counts)
+    shared = spark.sparkContext.broadcast((frequent, trie.frequent(MOST_CODES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_key, trie = shared.value
+        by_key, known_codes = shared.value
         names: dict[bytes, float] = {}
         end = by_key.get(END_KEY)
         for batch in slices(batches):
@@ -282,7 +271,7 @@ def score_documents(docs: DataFrame, held_out: Column, learned: Column, id_col:
                     rare_counts.append(1)
                 else:
                     logs, known = logs + end, known + 1
-                score, codes, code_counts = trie.score(text)
+                score, codes, code_counts = known_codes.score(text)
                 for column, x in zip(out, (len(words) + 1, logs, known, score, rare_keys, rare_counts, codes, code_counts), strict=True):
                     column.append(x)
             kinds = (pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -293,14 +282,17 @@ def score_documents(docs: DataFrame, held_out: Column, learned: Column, id_col:
     schema = "doc_id long, held_out boolean, n_tokens long, logs double, known long, score double, rare_keys array<long>, rare_counts array<int>, codes array<long>, code_counts array<long>"
     docs.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()).write.parquet(scored)
     shared.unpersist()
-    stored = spark.read.parquet(scored)
-    rare = stored.select("rid", F.explode(F.arrays_zip("rare_keys", "rare_counts")).alias("x")).select("rid", F.col("x.rare_keys").alias("key"), F.col("x.rare_counts").alias("c"))
+    scored_rows = spark.read.parquet(scored)
+    rare = scored_rows.select("rid", F.explode(F.arrays_zip("rare_keys", "rare_counts")).alias("x")).select("rid", F.col("x.rare_keys").alias("key"), F.col("x.rare_counts").alias("c"))
     joined = rare.join(tokens, "key").groupBy("rid").agg(F.sum(F.col("c") * F.log10(F.col("n") + 1)).alias("more_logs"), F.sum(F.col("c").cast("long")).alias("more_known"))
-    whole = stored.drop("rare_keys", "rare_counts", "codes", "code_counts").join(joined, "rid", "left")
-    if len(trie.rest):
-        codes = stored.select("rid", F.explode(F.arrays_zip("codes", "code_counts")).alias("x")).select("rid", F.floor(F.col("x.codes") / 512).cast("long").alias("context"), (F.col("x.codes") % 512).cast("int").alias("symbol"), F.col("x.code_counts").alias("c"))
-        more = codes.join(rest_rows(counts, trie), "context").groupBy("rid").agg(F.sum(F.col("c") * F.get("logs", "symbol").cast("double")).alias("more_score"))
-        whole = whole.join(more, "rid", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
+    whole = scored_rows.drop("rare_keys", "rare_counts", "codes", "code_counts").join(joined, "rid", "left")
+    codes = scored_rows.select("rid", F.explode(F.arrays_zip("codes", "code_counts")).alias("x")).select("rid", F.col("x.codes").alias("code"), F.col("x.code_counts").alias("c"))
+    valued = stored(codes.join(trie.pairs.select("code", "value"), "code", "left"), "other-pairs")
+    unseen = stored(valued.filter("value is null").select("code").distinct(), "unseen-pairs")
+    late = valued.filter("value is null").drop("value").join(trie.values(unseen), "code")
+    every = valued.filter("value is not null").select("rid", "c", "value").unionByName(late.select("rid", "c", "value"))
+    more = every.groupBy("rid").agg(F.sum(F.col("c") * F.col("value")).alias("more_score"))
+    whole = whole.join(more, "rid", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     below = math.log10(n_all + 1 * (n_kinds + 1))
     return whole.select(
         "doc_id",
@@ -315,4 +307,4 @@ def score_documents(docs: DataFrame, held_out: Column, learned: Column, id_col:
 
 def op6_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = hash_mod("doc_id", 7)
-    return score_documents(table(spark, sf_dir, "documents"), part == 2, ~part.isin(2, -1))
+    return score_documents(documents(spark, sf_dir), part == 2, ~part.isin(2, -1))
