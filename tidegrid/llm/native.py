@@ -56,24 +56,86 @@ def n_repeat_words(words: Column, size: int = 3) -> Column:
 SPANS = "array<struct<s:int,e:int,t:string>>"
 
 
+def chunks(items: Column, least: int = 64) -> Column:
+    """The array in pieces of about the root of its size, of ``least`` at least; work that copies a piece for each item stays small."""
+    width = F.greatest(F.lit(least), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / width).cast("int"))
+    return F.when(F.size(items) == 0, F.slice(F.array(items), 1, 0)).otherwise(F.transform(numbers, lambda k: F.slice(items, k * width + 1, width)))
+
+
+def running(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What ``step`` has made of ``start`` before each value; for short arrays."""
+    return F.slice(F.aggregate(values, F.array(start), lambda done, x: F.array_append(done, step(F.element_at(done, -1), x))), 1, F.size(values))
+
+
 def spans_of(text: Column, pattern: str, valid: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost non-overlapping matches as (start, end, text) in code points; those that aren't valid are dropped after.
 
     A match starts after the text between the matches and the matches before it. Text without a match is scanned once.
     """
 
-    def placed(found: Column) -> Column:
-        def walk(gaps: Column) -> Column:
-            state = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+    def within(piece: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast(SPANS).alias("spans"))
+
+        def step(so_far: Column, x: Column) -> Column:
+            s, e = so_far["at"] + x["gap"], so_far["at"] + x["gap"] + x["size"]
+            return F.struct(e.alias("at"), F.array_append(so_far["spans"], F.struct(s.alias("s"), e.alias("e"), x["t"].alias("t"))).alias("spans"))
 
-            def step(so_far: Column, i: Column) -> Column:
-                start = so_far["at"] + F.length(F.get(gaps, i))
-                end = start + F.length(F.get(found, i))
-                return F.struct(end.alias("at"), F.array_append(so_far["spans"], F.struct(start.alias("s"), end.alias("e"), F.get(found, i).alias("t"))).alias("spans"))
+        return F.aggregate(piece, state, step, lambda done: done["spans"])
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), state, step, lambda done: done["spans"])
+    def placed(found: Column) -> Column:
+        def walk(pieces: Column) -> Column:
+            sizes = F.transform(pieces, lambda piece: F.aggregate(piece, F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
+            return F.flatten(F.zip_with(pieces, let(sizes, lambda n: running(n, F.lit(0), lambda a, b: a + b)), within))
+
+        def paired(gaps: Column) -> Column:
+            return F.transform(found, lambda t, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(t).alias("size"), t.alias("t")))
 
-        return F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(let(F.split(text, pattern, -1), walk))
+        return F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(let(let(let(F.split(text, pattern, -1), paired), chunks), walk))
 
     spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
     return spans if valid is None else F.filter(spans, lambda x: valid(x["t"]))
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Those of ``spans`` that touch none of ``others``, both (s, e, ...); others are looked through by pieces with their bounds."""
+
+    def bounded(pieces: Column) -> Column:
+        return F.transform(pieces, lambda p: F.struct(F.array_min(p)["s"].alias("low"), F.array_max(F.transform(p, lambda x: x["e"])).alias("high"), p.alias("items")))
+
+    def free(pieces: Column) -> Column:
+        def touched(x: Column) -> Column:
+            near = lambda b, low, high: (b[low] < x["e"]) & (x["s"] < b[high])
+            return F.exists(pieces, lambda p: F.when(near(p, "low", "high"), F.exists(p["items"], lambda b: near(b, "s", "e"))).otherwise(False))
+
+        return F.filter(spans, lambda x: ~touched(x))
+
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(let(let(let(F.array_sort(others), chunks), bounded), free))
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with each of the sorted spans (s, e, by) replaced by ``by``; overlapping spans become one, named by the first."""
+
+    def walk(pieces: Column) -> Column:
+        ends = F.transform(pieces, lambda p: F.array_max(F.transform(p, lambda x: x["e"])))
+
+        def within(piece: Column, start: Column) -> Column:
+            end = F.greatest(start, F.array_max(F.transform(piece, lambda x: x["e"])))
+
+            def rebuilt(segment: Column) -> Column:
+                state = F.struct(start.alias("at"), F.array().cast("array<string>").alias("parts"))
+
+                def step(so_far: Column, x: Column) -> Column:
+                    between = F.substring(segment, so_far["at"] - start + 1, x["s"] - so_far["at"])
+                    parts = F.when(x["s"] >= so_far["at"], F.concat(so_far["parts"], F.array(between, x["by"]))).otherwise(so_far["parts"])
+                    return F.struct(F.greatest(so_far["at"], x["e"]).alias("at"), parts.alias("parts"))
+
+                return F.aggregate(piece, state, step, lambda done: F.array_join(done["parts"], ""))
+
+            return let(F.substring(text, start + 1, end - start), rebuilt)
+
+        last = F.array_max(ends)
+        starts = let(ends, lambda n: running(n, F.lit(0), F.greatest))
+        return F.concat(F.array_join(F.zip_with(pieces, starts, within), ""), F.substring(text, last + 1, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(chunks(spans), walk))
