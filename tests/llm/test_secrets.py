@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from cases import ODD, empty, odd
 
 from tidegrid.llm import secrets as S
@@ -60,12 +61,59 @@ def test_windows_decode_like_the_whole_text():
 def test_model_finds_held_out_secrets_and_leaves_clean_text():
     docs = corpus()
     tagger = S.Tagger(*S.fit_crf(docs[:200]))
-    found = [any(text[s:e].strip('"').endswith(text.split('"')[1]) for _, s, e in tagger.spans(text)) for text in docs[200:] if '"' in text]
+    found = [any(text.split('"')[1] in text[s:e] for _, s, e in tagger.spans(text)) for text in docs[200:] if '"' in text]
     assert sum(found) >= 0.95 * len(found)
     clean = [text for text in docs[200:] if '"' not in text]
     assert sum(bool(tagger.spans(text)) for text in clean) <= 0.05 * len(clean)
 
 
+def test_reshaped_secrets_are_found_in_held_out_documents_and_clean_ones_left(spark):
+    """Whole documents whose secrets the base rules don't know, through the operator itself."""
+    rng, rows, places = random.Random(4), [(i, t) for i, t in enumerate(corpus())], {}
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for i in range(100):
+        prose = lambda: " ".join(rng.choice(["the", "of", "Thing", "and,", "ran.", "12", "mail", "see"]) for _ in range(400))
+        value = ["".join(rng.choices("0123456789ABCDEF", k=40)), "".join(rng.choices(b64, k=32)) + "7aB"][i % 2]
+        secret = [f'pwd = "{value}"', f"credential: {value}"][i // 2 % 2]
+        before = prose() + " "
+        rows.append((1000 + i, before + secret + " " + prose()))
+        places[1000 + i] = (len(before) + secret.index(value), len(before) + secret.index(value) + len(value))
+        rows.append((2000 + i, prose() + " path=/usr/share/doc state-of-the-art size = 1200 " + prose()))
+    got = {r.doc_id: r for r in S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = [any(x.s <= s and e <= x.e + 1 for x in got[i].added) for i, (s, e) in places.items()]
+    assert sum(hit) >= 0.9 * len(hit)
+    assert sum(bool(got[2000 + i].added) for i in range(100)) <= 5
+    for i, text in rows:
+        assert sorted((x.s, x.kind, x.e) for x in got[i].base) == brute(text)
+
+
+def test_reshaping_hides_secrets_from_the_base_rules():
+    for text in corpus():
+        shown, spans = S.reshaped(text, wrong=False)
+        assert bool(spans) == bool(brute(text)) and not any(s < e2 and s2 < e for s, e in spans for s2, _, e2 in brute(shown))
+        assert S.reshaped(text, wrong=True)[1] == [] == brute(S.reshaped(text, wrong=True)[0])
+
+
+def plain_gradient(texts, weights, trans, ridge):
+    """Log likelihood by summing over all paths of short texts."""
+    from itertools import product as paths
+
+    total, n = 0.0, 0
+    for x, y, length in zip(*S.training_windows([S.labelled(t) for t in texts]), strict=True):
+        emit = x[:length] @ weights
+        score = lambda path, emit=emit: sum(emit[k, t] for k, t in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:], strict=False))
+        total += score(tuple(y[:length])) - np.log(sum(np.exp(score(p)) for p in paths(range(3), repeat=length)))
+        n += 1
+    return -total / n + ridge / 2 * ((weights**2).sum() + (trans**2).sum())
+
+
+def test_fitting_lowers_the_brute_force_loss():
+    texts = ["token = abcdefgh12", "the door ran", "the door ran", "x password: hunter22abc y", "secret=abcdef9 and"] * 3
+    zero = plain_gradient(texts, np.zeros((S.N_FEATURES, 3)), np.zeros((3, 3)), 1e-3)
+    losses = [plain_gradient(texts, *S.fit_crf(texts, steps=n), 1e-3) for n in (20, 150)]
+    assert losses[1] < losses[0] < zero and losses[1] < 0.2 * zero
+
+
 def test_query(spark, tmp_path):
     rows = list(enumerate(texts(40) + corpus()[:60]))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))

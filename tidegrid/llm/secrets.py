@@ -2,7 +2,11 @@
 
 Base spans follow fixed patterns. A linear-chain CRF over the tokens of the whole text tags secrets as begin, inside or outside
 from the token's shape, its neighbours and the file; Viterbi's best path gives further spans, of which those that touch no base
-span are added. The CRF is fitted on a bounded sample of documents whose tokens are labelled by the base spans.
+span are added. The CRF is fitted on a bounded sample, chosen by a hash among all documents: as many with a base span as without. The
+base spans of half of the former are given forms that the base rules don't know (other key names, other prefixes, upper-case hexadecimal
+and base-64 values), which stay labelled as secrets, and in a quarter they are replaced by look-alikes (paths, words with hyphens,
+numbers, plain assignments), which are labelled as outside. A random-looking value after an assignment that no base rule knows may
+be a secret: windows with one are left out.
 
 Most tokens are plain words, which all have the same features. After fitting it is proved, for every pair of tags around it, that
 the best path through MARGIN plain tokens passes through outside; the text can then be decoded in windows around the other tokens
@@ -13,9 +17,11 @@ Defined results: a null text is empty; null ids and repeated rows keep their row
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import product
@@ -25,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import id_text, slices, table
+from tidegrid.llm.common import documents, hashed_share, id_text, slices, stored
 
 KINDS = ("assign", "access", "hex")
-#: Documents that the CRF is fitted on, at most; half of them are chosen for holding a hint of a secret.
+#: Documents that the CRF is fitted on, about, and the longest text among them; half of them hold a base span.
 SAMPLE_DOCS = 3000
+SAMPLE_CHARS = 20_000
 WINDOW = 24
 MARGIN = 3
 STEPS = 150
@@ -44,10 +51,11 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 LONG_HEX = re.compile("[0-9a-f]{24}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-HINT = "(?i)password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{24}"
+#: Whether a text holds a base span, for Spark.
+HOLDS = "(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 
 TOKEN = re.compile(r"\S+")
-PLAIN = re.compile(r"[^\W\d_]{1,19}[^\w=/+]{0,4}|[^\w=:/+]{1,8}|\d{1,5}[.,;:!?%]?")
+PLAIN = re.compile(r"[^\W\d_]{1,19}[^\w=:/+]{0,4}|[^\w=:/+]{1,8}|\d{1,5}[.,;:!?%]?")
 CORE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 
 
@@ -118,19 +126,75 @@ def file_features(text: str, shapes: list[int]) -> tuple[bool, bool]:
     return "=" in text, 5 * sum(map(bool, shapes)) > len(shapes)
 
 
-def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+NAMES = ("pwd", "auth", "credential", "private_key", "access-code", "bearer", "client_key", "passphrase")
+LOOK_ALIKES = ("size = 1200", "path=/usr/local/share/doc", "color: background", "state-of-the-art-processing-system", "0123 4567 8901 2345", "INTRODUCTION_AND_SUMMARY", "name = configuration", "page=index.html")
+
+
+def reshaped(text: str, wrong: bool) -> tuple[str, list[tuple[int, int]]]:
+    """The text with its base spans in forms that the base rules don't know, and these forms' places; or with look-alikes and no places."""
+    out, spans, at = [], [], 0
+    size = 0
+
+    def put(piece: str) -> None:
+        nonlocal size
+        out.append(piece)
+        size += len(piece)
+
+    for start, kind, end in sorted((s, k, e) for k, s, e in base_spans(text)):
+        if start < at:
+            continue
+        put(text[at:start])
+        at, old = end, text[start:end]
+        draw = hashlib.sha256(old.encode()).digest()
+        if wrong:
+            put(LOOK_ALIKES[draw[0] % len(LOOK_ALIKES)])
+            continue
+        value = base64.b64encode(draw).decode()[: 20 + draw[1] % 20].rstrip("+/=")
+        if kind == 0:
+            m = ASSIGN.match(old)
+            key = NAMES[draw[0] % len(NAMES)]
+            new = key + old[m.end(1) : m.start(2)] + (value, draw.hex().upper()[: 24 + draw[1] % 17], m[2])[draw[2] % 3]
+        elif kind == 1:
+            new = ("ASIA", "AGPA", "SK")[draw[0] % 3] + old[4:]
+        else:
+            new = old.upper() if draw[2] % 2 else value
+        if any(s < len(new) for _, s, _ in base_spans(new)):
+            new = "".join(value)  # still a base span: a bare value
+        spans.append((size, size + len(new)))
+        put(new)
+    put(text[at:])
+    return "".join(out), spans
+
+
+def labelled(text: str) -> tuple[str, list[tuple[int, int]]]:
+    """A text of the sample with the places of its secrets: as it is, or reshaped, by a hash of the text."""
+    case = zlib.crc32(text.encode()) % 4
+    if case == 0:
+        return text, sorted((s, e) for _, s, e in base_spans(text))
+    return reshaped(text, case == 1)
+
+
+def doubtful(shapes: list[int], at: int) -> bool:
+    """Whether a token that no base rule knows looks like an assigned secret: it is then no example of either."""
+    has = lambda i, name: bool(shapes[i] >> SHAPE.index(name) & 1)
+    random_like = has(at, "len16") and has(at, "digit") and (has(at, "mixed") or has(at, "hex") or has(at, "upper"))
+    return random_like and (has(at, "op") or (at > 0 and (has(at - 1, "op") or has(at - 1, "keyword"))))
+
+
+def training_windows(texts: list[tuple[str, list[tuple[int, int]]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, tags, lengths) of windows around tokens that aren't plain, and of each text's first tokens."""
     rows, tags, lengths = [], [], []
-    for text in texts:
+    for text, spans in texts:
         tokens = list(TOKEN.finditer(text))
         shapes = [shape(m[0]) for m in tokens]
-        file, spans = file_features(text, shapes), sorted((s, e) for _, s, e in base_spans(text))
+        file = file_features(text, shapes)
         tag, k = [O] * len(tokens), 0
         for i, m in enumerate(tokens):
             while k < len(spans) and spans[k][1] <= m.start():
                 k += 1
             if k < len(spans) and spans[k][0] < m.end():
                 tag[i] = I if i and tag[i - 1] != O and tokens[i - 1].end() > spans[k][0] else B
+        unsure = [tag[i] == O and doubtful(shapes, i) for i in range(len(tokens))]
         starts, at = [0], -1
         for i, s in enumerate(shapes):
             if s and i >= at:
@@ -138,7 +202,7 @@ def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarr
                 at = i + WINDOW - 6
         for start in starts[:12]:
             end = min(len(tokens), start + WINDOW)
-            if end > start:
+            if end > start and not any(unsure[start:end]):
                 grid = np.zeros((WINDOW, N_FEATURES), np.float32)
                 for i in range(start, end):
                     grid[i - start, feature_row(shapes, i, file)] = 1
@@ -157,17 +221,22 @@ def fit_crf(texts: list[str], steps: int = STEPS, ridge: float = 1e-3) -> tuple[
     """(weights by feature and tag, transitions) by maximum likelihood; None where no token is a secret."""
     if not texts:
         return None
-    x, y, lengths = training_windows(texts)
+    x, y, lengths = training_windows([labelled(text) for text in texts])
     if not len(x) or not (y != O).any():
         return None
-    n, t, _ = x.shape
+    # equal windows are one, with their number as its weight
+    packed = np.concatenate([np.packbits(x.reshape(len(x), -1) > 0, axis=1), y.astype(np.uint8), lengths.astype(np.uint8)[:, None]], axis=1)
+    _, kept, times = np.unique(packed, axis=0, return_index=True, return_counts=True)
+    x, y, lengths = x[kept], y[kept], lengths[kept]
+    n, t = int(times.sum()), x.shape[1]
+    each = times[:, None].astype(float)
     inside = np.arange(t)[None, :] < lengths[:, None]
     seen = np.zeros((N_FEATURES, 3))
-    flat_x, flat_y = x[inside], y[inside]
+    flat_x, flat_y, flat_n = x[inside], y[inside], np.broadcast_to(each, inside.shape)[inside]
     for tag in range(3):
-        seen[:, tag] = flat_x[flat_y == tag].sum(axis=0)
+        seen[:, tag] = flat_n[flat_y == tag] @ flat_x[flat_y == tag]
     moves = np.zeros((3, 3))
-    np.add.at(moves, (y[:, :-1][inside[:, 1:]], y[:, 1:][inside[:, 1:]]), 1)
+    np.add.at(moves, (y[:, :-1][inside[:, 1:]], y[:, 1:][inside[:, 1:]]), np.broadcast_to(each, inside[:, 1:].shape)[inside[:, 1:]])
     weights, trans = np.zeros((N_FEATURES, 3)), np.zeros((3, 3))
     first, second = [np.zeros_like(weights), np.zeros_like(trans)], [np.zeros_like(weights), np.zeros_like(trans)]
     for step in range(1, steps + 1):
@@ -181,12 +250,12 @@ def fit_crf(texts: list[str], steps: int = STEPS, ridge: float = 1e-3) -> tuple[
             moved = _log_sum(trans[None] + (emit[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
             beta[:, k] = np.where(inside[:, k + 1, None], moved, 0)
         total = _log_sum(alpha[:, -1], 1)
-        single = np.exp(alpha + beta - total[:, None, None]) * inside[:, :, None]
+        single = np.exp(alpha + beta - total[:, None, None]) * (inside * each)[:, :, None]
         expected = np.tensordot(x, single, axes=([0, 1], [0, 1]))
         pair = np.zeros((3, 3))
         for k in range(1, t):
             joint = np.exp(alpha[:, k - 1, :, None] + trans[None] + (emit[:, k] + beta[:, k])[:, None, :] - total[:, None, None])
-            pair += (joint * inside[:, k, None, None]).sum(axis=0)
+            pair += (joint * (inside[:, k] * times)[:, None, None]).sum(axis=0)
         for slot, (value, slope) in enumerate(((weights, (expected - seen) / n + ridge * weights), (trans, (pair - moves) / n + ridge * trans))):
             first[slot] = 0.9 * first[slot] + 0.1 * slope
             second[slot] = 0.999 * second[slot] + 0.001 * slope**2
@@ -287,9 +356,12 @@ class Tagger:
 
 
 def sample_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[str]:
-    texts = docs.select("text").filter("text <> ''")
-    hinted = texts.filter(F.col("text").rlike(HINT)).take(sample_docs // 2)
-    return [r.text for r in hinted + texts.take(sample_docs // 2)]
+    """docs(doc_id, text) -> about ``sample_docs`` texts, half of them with a base span, by a hash; SAMPLE_CHARS bounds their size."""
+    some = docs.filter((F.length("text") <= SAMPLE_CHARS) & (F.col("text") != "")).withColumn("holds", F.col("text").rlike(HOLDS))
+    chosen = F.lit(False)
+    for r in some.groupBy("holds").count().collect():
+        chosen = chosen | ((F.col("holds") == r.holds) & hashed_share(sample_docs // 2, r["count"], 13, "doc_id", "text"))
+    return [r.text for r in stored(some.filter(chosen).select("text"), "secrets-sample").orderBy("text").collect()]
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -334,7 +406,7 @@ def apart(extra: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents"))
+    found = find_secrets(documents(spark, sf_dir))
     names = F.array(*map(F.lit, KINDS))
 
     def joined(spans):
