@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import LOWER, id_text, slices, table, utf8
+from tidegrid.llm.common import LOWER, documents, id_text, slices, table, utf8
 
 WINDOW = 10
 SHINGLE = 3
@@ -122,13 +122,14 @@ def blocks_of(benchmark: DataFrame, window: int, block_words: int) -> Iterator[B
     held, size = [], 0
     for row in items.toLocalIterator():
         words = words_of(row.text.encode() if row.text else None)
-        if not words:
-            continue
-        if held and size + len(words) > block_words:
-            yield Block(held, window)
-            held, size = [], 0
-        held.append((row.item, words))
-        size += len(words)
+        # a long item goes on in further blocks, which share window - 1 words, so that no window is lost or made
+        for start in range(0, max(1, len(words) - window + 1) if words else 0, max(1, block_words)):
+            part = words[start : start + max(1, block_words) + window - 1]
+            if held and size + len(part) > block_words:
+                yield Block(held, window)
+                held, size = [], 0
+            held.append((row.item, part))
+            size += len(part)
     yield Block(held, window)
 
 
@@ -195,7 +196,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         "n_words",

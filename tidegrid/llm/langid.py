@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import hash_mod, slices, stored, table
+from tidegrid.llm.common import documents, hash_mod, slices, stored
 
 SLOT_BITS = 15
 SLOTS = 1 << SLOT_BITS
@@ -198,6 +198,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = hash_mod("doc_id", 4)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), part.alias("part"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), part.alias("part"))
     labelled = docs.filter("part not in (-1, 2) and lang is not null and text is not null").select("doc_id", "text", "lang")
     return predict(docs.select("doc_id", (F.col("part") == 2).alias("held_out"), "text"), train(labelled))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import id_text, scratch_path, slices, table, utf8
+from tidegrid.llm.common import documents, id_text, scratch_path, slices, utf8
 
 LEAST = 50
 ANCHOR = 20
@@ -283,7 +283,7 @@ def merged(gathered: DataFrame) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_spans(table(spark, sf_dir, "documents"))
+    found = repeated_spans(documents(spark, sf_dir))
     shown = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["s"], x["e"])), ",")
     listed = lambda c: F.array_join(F.transform(c, lambda k: F.lower(F.lpad(F.hex(k), 16, "0"))), ",")
     return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.col("n_words").alias("n_repeated_words"), shown.alias("spans"), "partner_id", listed("passages").alias("passages"), listed("first_passages").alias("first_passages"))

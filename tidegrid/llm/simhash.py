@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import LOWER, id_text, slices, stored, table, utf8
+from tidegrid.llm.common import LOWER, documents, id_text, slices, stored, utf8
 from tidegrid.llm.components import connected_components
 
 SHINGLE = 3
@@ -250,5 +250,5 @@ def groups(prints: DataFrame, distance: int = DISTANCE, most: int = MOST_CODES)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = groups(fingerprints(table(spark, sf_dir, "documents")))
+    found = groups(fingerprints(documents(spark, sf_dir)))
     return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
