@@ -3,8 +3,9 @@
 Each task tokenises its documents and packs the pieces online: a fixed number of open bins is kept in a
 bitset keyed by free space, a piece goes to the open bin with the least sufficient space, and when a new bin
 would exceed the number of open bins the fullest is closed first. No state outlives a task, so a lost executor costs
-only its own tasks. What is still open when a task ends (OPEN_BINS at most) is marked in the written rows; the pieces in these bins are then packed once more,
-about TAILS of them in a task, so only the tails are shuffled and tasks leave few part-filled sequences.
+only its own tasks. What is still open when a task ends (OPEN_BINS at most) is marked in the written rows; the pieces in
+these bins are then packed once more, about TAILS of them in a task, so only the tails are shuffled and tasks leave few
+part-filled sequences.
 
 Defined results: a null text is an empty document (one piece, the separator alone); rows are packed one by one, so
 repeated rows and repeated ids each get their own pieces; an empty table gives no pieces; other columns are ignored.
@@ -22,7 +23,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidegrid.llm.common import documents, id_text, slices, stored
 
@@ -164,7 +164,7 @@ def _batch(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
 
 
 def packed_again(tails: DataFrame, capacity: int, open_bins: int, in_task: int) -> DataFrame:
-    """The pieces of open bins, as rows of SCHEMA, in new sequences; the longest pieces of a task go first."""
+    """The pieces of open bins, as rows of SCHEMA, in new sequences; mixed lengths, as they come, fill bounded open bins best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = OpenBins(capacity, open_bins), (1 << 62) + (TaskContext.get().partitionId() << 40)
@@ -175,7 +175,7 @@ def packed_again(tails: DataFrame, capacity: int, open_bins: int, in_task: int)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in NAMES[:5]), *own], names=list(NAMES[:7]))
 
     tasks = max(1, -(-tails.count() // in_task))
-    dealt = tails.repartition(tasks, "sequence_id").sortWithinPartitions(F.col("length").desc(), "sequence_id", "offset")
+    dealt = tails.repartition(tasks, "sequence_id").sortWithinPartitions("sequence_id", "offset")
     return dealt.select(*NAMES[:5]).mapInArrow(run, SCHEMA)
 
 
