@@ -24,11 +24,11 @@ def folder(tmp_path_factory):
     for k in range(4):
         data = signals.synthetic(FS, 700, 10.0, 40 + 30 * k, k)
         data[0, :3] -= 5000  # negative at first, stored as unsigned below
-        write_signal(root / f"signals/0201000{k}_resting.txt", np.where(data < 0, data + 2**32, data))
+        write_signal(root / f"signals/0201000{k}_still.txt", np.where(data < 0, data + 2**32, data))
     write_signal(root / "signals/02010009.txt", signals.synthetic(FS, 72.8, seed=9))
     (root / "signals/wrong name.txt").write_text("1 2 3\n")
-    (root / "signals/02010010_resting.txt").write_text("1 2\n3 4\n")
-    (root / "signals/02010011_resting.txt").write_text("1 2 3.5\n")
+    (root / "signals/02010010_still.txt").write_text("1 2\n3 4\n")
+    (root / "signals/02010011_still.txt").write_text("1 2 3.5\n")
     (root / "signals/02010012_dancing.txt").write_text("1 2 3\n")
     (root / "meta.csv").write_text("Subject ID,type,Age,gender,education（years）,Unnamed: 5\n2010000.0,MDD,30,M,12,\n2010001,HC,31,F,13,\n2010002,mdd x,32,1,14,\n2010003,HC2,33,2,15,\n2010009,HC,34,2,16,\n2010077,HC,35,1,17,\n")
     return root
@@ -37,9 +37,9 @@ def folder(tmp_path_factory):
 def test_contract_errors_are_rows(spark, folder):
     got = {r.source_name: r for r in signals.read_recordings(spark, str(folder / "signals"), Settings().acquisition).drop("data").collect()}
     assert len(got) == 8
-    assert got["02010000_resting.txt"].error is None and got["02010000_resting.txt"].n_wraparound_fixed > 0 and got["02010000_resting.txt"].n_samples == 175_000
+    assert got["02010000_still.txt"].error is None and got["02010000_still.txt"].n_wraparound_fixed > 0 and got["02010000_still.txt"].n_samples == 175_000
     assert got["02010009.txt"].task == "unspecified"
-    assert "columns" in got["02010010_resting.txt"].error and "integers" in got["02010011_resting.txt"].error and "dancing" in got["02010012_dancing.txt"].error
+    assert "columns" in got["02010010_still.txt"].error and "integers" in got["02010011_still.txt"].error and "dancing" in got["02010012_dancing.txt"].error
     assert signals.discover(spark, str(folder / "signals")).filter("status = 'quarantined'").count() == 1
 
 

@@ -7,7 +7,7 @@ import json
 import math
 from dataclasses import asdict, dataclass, field
 
-# The band edges and thresholds that results must agree with.
+# The band edges and thresholds that results must agree with, here and as the defaults of the classes below.
 PROFILE_BANDS = {"delta": (1.0, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0), "gamma_low": (30.0, 40.0)}
 TOTAL_BAND = (1.0, 40.0)
 OCULAR_BAND = (0.5, 3.0)
@@ -29,9 +29,12 @@ class Acquisition:
     channels: tuple[str, ...] = ("Fp1", "Fpz", "Fp2")
     adc_bits: int = 24
     container_bits: int = 32
-    tasks: tuple[str, ...] = ("resting", "dot", "unspecified")
+    tasks: tuple[str, ...] = ("still", "unspecified")
     max_seconds: float = 7200.0
     line_hz: float = 50.0
+    mains_hz: tuple[float, ...] = (50.0, 60.0)
+    mains_tolerance_hz: float = 0.50
+    mains_prominence: float = 0.30
 
     def __post_init__(self) -> None:
         _require(self.fs > 0, "the sampling rate must be positive")
@@ -71,7 +74,7 @@ class Temporal:
     tol_js: float = 0.15
     terminal_blocks: int = 5
     reference: str = "cohort"
-    fixed_skip: float = 60.0
+    fixed_skip: float = 30.0
     fixed_window: float = 240.0
 
     def __post_init__(self) -> None:

@@ -6,6 +6,7 @@ unit of work, and recordings are spread over tasks.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -86,12 +87,18 @@ class Recursive:
         return out
 
 
+@functools.lru_cache(maxsize=16)
+def engine_for(b: tuple[float, ...], a: tuple[float, ...]) -> Recursive:
+    """One engine for each filter in a worker, whatever the number of recordings and directions."""
+    return Recursive(np.array(b), np.array(a))
+
+
 def forward_backward(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
     """Zero-phase filtering with odd extension at both ends and steady initial states."""
     edge = 3 * max(len(a), len(b))
     if x.shape[1] <= edge:
         raise ValueError(f"signal too short to filter: {x.shape[1]} samples")
-    engine = Recursive(b, a)
+    engine = engine_for(tuple(b), tuple(a))
     padded = np.concatenate([2 * x[:, :1] - x[:, edge:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -edge - 2 : -1]], axis=1)
     for _ in range(2):
         padded = engine.run(padded, padded[:, :1] * engine.steady)[:, ::-1]

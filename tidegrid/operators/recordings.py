@@ -88,24 +88,28 @@ def quality_of(raw: np.ndarray, filtered: np.ndarray, before: float, notch: bool
     )
 
 
-def check_rate(data: np.ndarray, cfg: Settings) -> dict:
-    """Whether the strongest line is where mains hum belongs under the assumed sampling rate."""
-    fs, line = cfg.acquisition.fs, cfg.acquisition.line_hz
-    f, p = welch(data - data.mean(axis=1, keepdims=True), fs, 8.0)
-    inside = (f >= 35) & (f <= min(70.0, fs / 2 - 1))
-    logs = np.log10(np.median(p, axis=0)[inside] + TINY)
+def line_peak(f: np.ndarray, p: np.ndarray, cfg: Settings) -> dict:
+    """Whether the strongest line of a spectrum from 35 Hz up lies at a mains frequency; the rates at which it would."""
+    own = cfg.acquisition
+    inside = (f >= 35) & (f <= min(70.0, own.fs / 2 - 1))
+    logs = np.log10(p[inside] + TINY)
     if len(logs) < 8:
         return dict(peak_hz=None, prominence=None, fs_status="insufficient_band", fs_supported=False, implied_fs=None)
     at = int(logs.argmax())
     peak, height = float(f[inside][at]), float(logs[at] - np.median(logs))
-    if height < 0.5:
-        status = "no_line_peak_detected_inconclusive"
-    else:
-        status = "line_peak_at_expected_frequency" if abs(peak - line) <= 1 else "line_peak_at_unexpected_frequency"
-    implied = [fs * hz / peak for hz in (50.0, 60.0)]
+    status, implied = "no_line_peak_detected_inconclusive", []
+    if height >= own.mains_prominence:
+        near = any(abs(peak - hz) <= own.mains_tolerance_hz for hz in own.mains_hz)
+        status, implied = f"line_peak_at_{'expected' if near else 'unexpected'}_frequency", [own.fs * hz / peak for hz in own.mains_hz]
     return dict(peak_hz=peak, prominence=height, fs_status=status, fs_supported=status == "line_peak_at_expected_frequency", implied_fs=implied)
 
 
+def check_rate(data: np.ndarray, cfg: Settings) -> dict:
+    """The line check of a recording under the assumed sampling rate."""
+    f, p = welch(data - data.mean(axis=1, keepdims=True), cfg.acquisition.fs, 8.0)
+    return line_peak(f, np.median(p, axis=0), cfg)
+
+
 def analyse(recordings: DataFrame, cfg: Settings) -> DataFrame:
     """One fused pass over each recording: rate check, filtering, blocks and quality metrics."""
     names = [c.split()[0] for c in ANALYSED.replace("array<struct<", "array<struct").split(", ")]
@@ -230,10 +234,19 @@ def window_features(data: np.ndarray, start: float, length: float, cfg: Settings
     parts = blocks_of(cut, fs, min(cfg.temporal.block_seconds, length / 3))
     rms, prof = np.array([p["rms"] for p in parts]), np.array([p["prof"] for p in parts])
     own_median = np.median(prof, axis=0)
-    row |= {"drift_log2_rms": float(np.log2((rms.max() + TINY) / (rms.min() + TINY))), "drift_js": max(_js(p, own_median) for p in prof)}
+    row |= {"drift_log2_rms": float(np.log2((rms.max() + TINY) / (rms.min() + TINY))), "drift_js": max(_js(p, own_median) for p in prof), "drift_rms_spearman": _spearman(np.arange(len(rms)), rms)}
     return row | rejected | {"n_epochs_window": n, "n_epochs_used": int(good.sum()), "frac_epochs_rejected": share_rejected}
 
 
+def _spearman(a: np.ndarray, b: np.ndarray) -> float:
+    """Correlation of average ranks; NaN where a side doesn't vary."""
+    ranks = []
+    for v in (a, b):
+        _, group, count = np.unique(v, return_inverse=True, return_counts=True)
+        ranks.append((np.cumsum(count) - (count - 1) / 2)[group])
+    return float(np.corrcoef(*ranks)[0, 1]) if all(np.ptp(r) > 0 for r in ranks) else math.nan
+
+
 def _js(p: np.ndarray, q: np.ndarray) -> float:
     p, q = (np.maximum(v, 1e-12) for v in (p, q))
     p, q = p / p.sum(), q / q.sum()
@@ -246,16 +259,16 @@ def features(analysed: DataFrame, windows: list[tuple[str, float, float]], cfg:
     columns = feature_columns(cfg.acquisition.channels)
     rules = [f"qc_n_rej_{k}" for k in ("nonfinite", "flat", "p2p_high", "p2p_low", "jump", "ocular_lf")]
     counts = ["n_epochs_window", "n_epochs_used", *rules]
-    doubles = ["frac_epochs_rejected", "drift_log2_rms", "drift_js", *columns]
-    schema = ", ".join(["subject_id string", "window_key string", "window_start double", "window_seconds double", *(f"{c} long" for c in counts), *(f"{c} double" for c in doubles), "error string"])
+    doubles = ["frac_epochs_rejected", "drift_log2_rms", "drift_js", "drift_rms_spearman", *columns]
+    schema = ", ".join(["subject_id string", "source_name string", "task string", "window_key string", "window_start double", "window_seconds double", *(f"{c} long" for c in counts), *(f"{c} double" for c in doubles), "error string"])
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for subject, data in zip(batch["subject_id"], batch["filtered"], strict=True):
+            for subject, source, task, data in zip(batch["subject_id"], batch["source_name"], batch["task"], batch["filtered"], strict=True):
                 rows = []
                 for key, start, length in windows:
-                    row = dict.fromkeys(names) | {"subject_id": subject, "window_key": key, "window_start": start, "window_seconds": length}
+                    row = dict.fromkeys(names) | {"subject_id": subject, "source_name": source, "task": task, "window_key": key, "window_start": start, "window_seconds": length}
                     try:
                         found = window_features(np.stack(data), start, length, cfg)
                         row |= {k: (None if isinstance(v, float) and not math.isfinite(v) else v) for k, v in found.items()}
@@ -264,7 +277,7 @@ def features(analysed: DataFrame, windows: list[tuple[str, float, float]], cfg:
                     rows.append(row)
                 yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in counts} | {c: float for c in doubles})
 
-    found = analysed.filter("error is null").select("subject_id", "filtered").mapInPandas(run, schema)
+    found = analysed.filter("error is null").select("subject_id", "source_name", "task", "filtered").mapInPandas(run, schema)
     from pyspark.sql import functions as F
 
     return found.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in doubles})

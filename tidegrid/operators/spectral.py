@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.config import TINY
+from tidegrid.config import TINY, Acquisition
 from tidegrid.functions.expr import total
 
 
@@ -148,8 +148,8 @@ def c0(power: Column, n: int) -> Column:
     return total(rest) / (total(twice) + TINY)
 
 
-def line_check(power: Column, step: float, expected: float, low: float = 35.0, tolerance: float = 1.0, prominence: float = 1.0) -> Column:
-    """Where the strongest line between ``low`` and the upper end lies: struct(peak_hz, prominence, status)."""
+def line_check(power: Column, step: float, cfg: Acquisition, low: float = 35.0) -> Column:
+    """Where the strongest line between ``low`` and the upper end lies: struct(peak_hz, prominence, status, implied rates)."""
     first = math.ceil(low / step - 1e-9)
     logs = F.transform(F.slice(power, first + 1, F.greatest(F.size(power) - first, F.lit(0))), lambda p: F.log10(p + TINY))
     ordered = F.array_sort(logs)
@@ -157,6 +157,9 @@ def line_check(power: Column, step: float, expected: float, low: float = 35.0, t
     middle = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
     hz = (F.array_position(logs, F.array_max(logs)) - 1 + first) * F.lit(float(step))
     height = F.array_max(logs) - middle
-    status = F.when(n < 8, "insufficient_band").when(height < prominence, "no_line_peak_detected_inconclusive")
-    status = status.when(F.abs(hz - expected) <= tolerance, "line_peak_at_expected_frequency").otherwise("line_peak_at_unexpected_frequency")
-    return F.struct(hz.alias("peak_hz"), height.alias("prominence"), status.alias("status"))
+    near = F.array_min(F.array(*(F.abs(hz - c) for c in cfg.mains_hz))) <= cfg.mains_tolerance_hz
+    status = F.when(n < 8, "insufficient_band").when(height < cfg.mains_prominence, "no_line_peak_detected_inconclusive")
+    status = status.when(near, "line_peak_at_expected_frequency").otherwise("line_peak_at_unexpected_frequency")
+    found = (n >= 8) & (height >= cfg.mains_prominence)
+    implied = F.when(found, F.array(*(F.lit(cfg.fs * c) / hz for c in cfg.mains_hz))).when(n >= 8, F.array().cast("array<double>"))
+    return F.struct(hz.alias("peak_hz"), height.alias("prominence"), status.alias("status"), implied.alias("implied_fs"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,38 +75,48 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def batch_confound(df: DataFrame, batch: str, label: str, flag_at: float = 0.6) -> DataFrame:
-    """One row: Cramer's V of batch and label, whether the batch fixes the label, and whether V is flagged."""
+    """One row: Cramer's V of batch and label, whether the batch fixes the label, and whether that or V is flagged."""
     fixed = df.groupBy(batch).agg(F.count_distinct(label).alias("k")).agg((F.max("k") <= 1).alias("perfectly_predicts"))
-    return cramers_v(df, batch, label).join(F.broadcast(fixed)).withColumn("flagged", F.coalesce(F.col("v") >= flag_at, F.lit(False)))
+    return cramers_v(df, batch, label).join(F.broadcast(fixed)).withColumn("flagged", F.coalesce(F.col("perfectly_predicts"), F.lit(False)) | F.coalesce(F.col("v") >= flag_at, F.lit(False)))
 
 
 def log_factorial(n: Column) -> Column:
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(2).cast("bigint"), F.greatest(n, F.lit(2)).cast("bigint")), F.lit(0.0), lambda s, i: s + F.ln(i.cast("double"))))
+    """By Stirling's series from 10 up, by the logs themselves below; the same work for any n."""
+    x = n.cast("double")
+    small = F.get(F.array(*(F.lit(math.lgamma(k + 1)) for k in range(10))), n.cast("int"))
+    series = x * F.ln(x) - x + F.ln(x * (2 * math.pi)) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n < 2, F.lit(0.0)).when(n < 10, small).otherwise(series)
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+
+
+def _mass(low: Column, high: Column, log_p: Callable[[Column], Column], most: Column | None = None) -> Column:
+    """Sum of exp(log_p) from low to high, only of those with log_p up to ``most`` if it is given."""
+    p = lambda i: F.exp(log_p(i)) if most is None else F.when(log_p(i) <= most, F.exp(log_p(i))).otherwise(0.0)
+    return F.when(low > high, F.lit(0.0)).otherwise(F.aggregate(F.sequence(low, F.greatest(low, high)), F.lit(0.0), lambda total, i: total + p(i)))
 
 
 def binomial_greater(k: Column, n: Column) -> Column:
-    """P(X >= k) for n fair trials."""
-    terms = F.transform(F.sequence(k, n), lambda i: F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * F.ln(F.lit(2.0))))
-    return F.least(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(1.0))
+    """P(X >= k) for n fair trials. Terms 12 deviations away from the middle, or that far above k, vanish: the work grows with the root of n."""
+    k, n = k.cast("bigint"), n.cast("bigint")
+    reach = F.ceil(6 * F.sqrt(n.cast("double"))) + 50
+    low = F.greatest(k, F.floor(n / 2) - reach)
+    high = F.least(n, F.greatest(k, F.floor(n / 2)) + reach)
+    return F.least(_mass(low, high, lambda i: log_choose(n, i) - n * math.log(2)), F.lit(1.0))
 
 
 def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided p of a 2 x 2 table: all tables with its margins that are no likelier."""
+    """Two-sided p of a 2 x 2 table: all tables with its margins that are no likelier. Tables 12 deviations off the middle vanish."""
+    a, b, c, d = (x.cast("bigint") for x in (a, b, c, d))
     row, column, n = a + b, a + c, a + b + c + d
-    low, high = F.greatest(F.lit(0).cast("bigint"), row + column - n), F.least(row, column)
-    # log-probabilities by the ratio of neighbouring tables; the constant cancels
-    start = F.array(F.lit(0.0))
-
-    def grow(logs: Column, x: Column) -> Column:
-        ratio = (row - x + 1) * (column - x + 1) / (x * (n - row - column + x))
-        return F.array_append(logs, F.element_at(logs, -1) + F.ln(ratio.cast("double")))
-
-    rest = F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<bigint>"))
-    logs = F.aggregate(rest, start, grow)
-    own = F.element_at(logs, (a - low + 1).cast("int"))
-    top = F.array_max(logs)
-    mass = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.least(mass(F.filter(logs, lambda x: x <= own + 1e-7)) / mass(logs), F.lit(1.0))
+    middle = F.coalesce(F.try_divide(row.cast("double") * column, n), F.lit(0.0))
+    reach = F.ceil(12 * F.sqrt(F.coalesce(F.try_divide(middle * (n - row) * (n - column), n.cast("double") * F.greatest(n - 1, F.lit(1))), F.lit(0.0)))) + 50
+    low = F.greatest(F.lit(0).cast("bigint"), row + column - n, F.floor(middle) - reach)
+    high = F.least(row, column, F.ceil(middle) + reach)
+    log_p = lambda x: log_choose(row, x) + log_choose(n - row, column - x) - log_choose(n, column)
+    return F.least(_mass(low, high, log_p, log_p(a) + 1e-7), F.lit(1.0))
 
 
 def threshold_metrics(df: DataFrame, label: str, score: str, threshold: float) -> DataFrame:
@@ -193,11 +204,29 @@ def bootstrap_auc(df: DataFrame, key: str, label: str, score: str, n: int) -> Da
     return points.withColumn("__below", below).groupBy("b").agg(F.try_divide(F.sum(F.col("__one") * F.col("__below")), F.nullif(F.sum("__one") * F.sum("__zero"), F.lit(0.0))).alias("auc"))
 
 
-def sign_agreement(effects: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: how many features have effects of the same sign, its binomial p, and the effects' Spearman correlation."""
+def bootstrap_auc_repeats(oof: DataFrame, subject: str, repeat: str, label: str, prob: str, n: int) -> DataFrame:
+    """(b, auc) of n Poisson bootstrap samples of both the subjects and the repeats of cross-validation.
+
+    In a sample, a subject's probability is the mean over the repeats with their weights; sums are combined before each shuffle.
+    """
+    weight = lambda *parts: sum(((hash_int(*parts) / float(2**32) >= c).cast("int") for c in POISSON), F.lit(0))
+    many = oof.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("__r", weight(F.lit("repeat"), F.col(repeat), F.col("b")))
+    own = many.groupBy("b", subject).agg(F.first(label).alias("__y"), F.try_divide(F.sum(F.col("__r") * F.col(prob)), F.sum("__r")).alias("__p"))
+    own = own.filter("__p is not null").withColumn("__w", weight(F.col(subject), F.col("b")))
+    points = own.groupBy("b", "__p").agg(F.sum(F.col("__w") * F.col("__y")).cast("double").alias("__one"), F.sum(F.col("__w") * (1 - F.col("__y"))).cast("double").alias("__zero"))
+    below = F.sum("__zero").over(Window.partitionBy("b").orderBy("__p")) - F.col("__zero") / 2
+    return points.withColumn("__below", below).groupBy("b").agg(F.try_divide(F.sum(F.col("__one") * F.col("__below")), F.nullif(F.sum("__one") * F.sum("__zero"), F.lit(0.0))).alias("auc"))
+
+
+def sign_agreement(effects: DataFrame, a: str, b: str, key: str, n_boot: int = 2000) -> DataFrame:
+    """One row: how many features have effects of the same sign, its bootstrap interval over the features (95 %), its
+    binomial p, and the effects' Spearman correlation. ``key`` names the features."""
     good = effects.filter(number(F.col(a)).isNotNull() & number(F.col(b)).isNotNull())
     ranked = good.withColumns({"__x": average_rank(a), "__y": average_rank(b)})
     out = ranked.agg(F.count(F.lit(1)).alias("n_features"), F.count_if(F.signum(a) == F.signum(b)).alias("n_agreeing"), F.when(F.count(F.lit(1)) >= 3, safe_corr("__x", "__y")).alias("spearman_effects"))
+    agreeing = good.select(F.col(key).alias("__key"), (F.signum(a) == F.signum(b)).cast("double").alias("__agrees"))
+    means = bootstrap_means(agreeing, "__key", [], "__agrees", n_boot)
+    out = out.join(F.broadcast(means.agg(F.percentile("mean", F.lit(0.025)).alias("ci_low"), F.percentile("mean", F.lit(0.975)).alias("ci_high"))))  # one row
     return out.withColumns({"sign_agreement": F.try_divide(F.col("n_agreeing").cast("double"), F.col("n_features").cast("double")), "p_binomial": F.when(F.col("n_features") > 0, binomial_greater(F.col("n_agreeing"), F.col("n_features")))})
 
 

@@ -119,13 +119,16 @@ def run(spark: SparkSession, signal_dir: str, sheet: str, out: str, cfg: Setting
 
 def out_of_fold(df: DataFrame, columns: list[str], cfg: Settings, out: str, name: str, guard: bool = True) -> dict:
     """Nested cross-validation over a set of columns: metrics, AUC and its interval over subjects."""
-    oof = learn.nested_cv(df, "subject_id", columns, "label", cfg.inference, guard=guard)
+    sinks.write_table(learn.nested_cv(df, "subject_id", columns, "label", cfg.inference, guard=guard), out, f"out_of_fold_by_repeat_{name}", csv=False)
+    oof = df.sparkSession.read.parquet(f"{out}/out_of_fold_by_repeat_{name}")
     sinks.write_table(learn.mean_probabilities(oof, "subject_id"), out, f"out_of_fold_{name}", csv=False)
     probs = df.sparkSession.read.parquet(f"{out}/out_of_fold_{name}")
     metrics = stats.threshold_metrics(probs, "label", "prob", cfg.inference.threshold).first().asDict()
     metrics["roc_auc"] = stats.mann_whitney(probs, ["perm"], "prob", "label").first().auc
     metrics["pr_auc"] = stats.average_precision(probs, ["perm"], "label", "prob").first().average_precision
     boot = stats.bootstrap_auc(probs, "subject_id", "label", "prob", cfg.inference.n_boot)
+    both = stats.bootstrap_auc_repeats(oof, "subject_id", "repeat", "label", "prob", cfg.inference.n_boot)
+    metrics["roc_auc_ci95_subjects_and_repeats"] = both.agg(F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975)))).first()[0]
     metrics["roc_auc_ci95"] = boot.agg(F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975)))).first()[0]
     return metrics
 
@@ -154,7 +157,7 @@ def analyse_groups(analytic: DataFrame, by_window: DataFrame, out: str, cfg: Set
     effects = analytic.sparkSession.read.parquet(f"{out}/effects_by_window")
     primary = effects.filter("window_key = 'w1'").select("feature", F.col("g").alias("primary"))
     keys = sorted(r.window_key for r in effects.select("window_key").distinct().collect())
-    found["concordance"] = {k: stats.sign_agreement(effects.filter(F.col("window_key") == k).join(primary, "feature"), "primary", "g").first().asDict() for k in keys if k != "w1"}
+    found["concordance"] = {k: stats.sign_agreement(effects.filter(F.col("window_key") == k).join(primary, "feature"), "primary", "g", "feature", cfg.inference.n_boot).first().asDict() for k in keys if k != "w1"}
     return found
 
 

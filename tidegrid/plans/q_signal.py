@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.config import PROFILE_BANDS, Epoching
+from tidegrid.config import PROFILE_BANDS, Acquisition, Epoching
 from tidegrid.operators import complexity, epochs, spectral
 from tidegrid.plans.bindings import epochs as epoch_table
 from tidegrid.plans.q_time import rounded
@@ -172,13 +172,18 @@ Q38 = f"""WITH {PSD_SQL}, s AS (SELECT vec_id, label, {share_sql(8, 13)} AS a, {
 SELECT label, round(median(a), 6) AS p__rel_alpha, round(median(b), 6) AS p__rel_beta, round(quantile_cont(a, 0.75) - quantile_cont(a, 0.25), 6) AS e__iqr_rel_alpha, round(quantile_cont(b, 0.75) - quantile_cont(b, 0.25), 6) AS e__iqr_rel_beta, count(*) AS n_epochs FROM e GROUP BY 1"""
 
 
+MAINS = Acquisition(fs=FS)
+_NEAR = " OR ".join(f"abs(f - {hz}) <= {MAINS.mains_tolerance_hz}" for hz in MAINS.mains_hz)
+
+
 def q64_fs_check(spark, d):
-    found = spectra(spark, d).select("vec_id", spectral.line_check(F.col("p"), STEP, 50.0).alias("c"))
-    return rounded(found.select("vec_id", "c.peak_hz", "c.prominence", "c.status"), "prominence")
+    found = spectra(spark, d).select("vec_id", spectral.line_check(F.col("p"), STEP, MAINS).alias("c"))
+    return rounded(found.select("vec_id", "c.peak_hz", "c.prominence", "c.status", F.get("c.implied_fs", F.lit(1)).alias("implied_60")), "prominence", "implied_60")
 
 
 Q64 = f"""WITH {PSD_SQL}, h AS (SELECT vec_id, f, log10(p + 1e-30) AS y FROM psd WHERE f >= 35), r AS (SELECT vec_id, f, y, median(y) OVER (PARTITION BY vec_id) AS m, row_number() OVER (PARTITION BY vec_id ORDER BY y DESC, f) AS n FROM h)
-SELECT vec_id, f AS peak_hz, round(y - m, 6) AS prominence, CASE WHEN y - m < 1 THEN 'no_line_peak_detected_inconclusive' WHEN abs(f - 50) <= 1 THEN 'line_peak_at_expected_frequency' ELSE 'line_peak_at_unexpected_frequency' END AS status FROM r WHERE n = 1"""
+SELECT vec_id, f AS peak_hz, round(y - m, 6) AS prominence, CASE WHEN y - m < {MAINS.mains_prominence} THEN 'no_line_peak_detected_inconclusive' WHEN {_NEAR} THEN 'line_peak_at_expected_frequency' ELSE 'line_peak_at_unexpected_frequency' END AS status,
+CASE WHEN y - m >= {MAINS.mains_prominence} THEN round({FS * MAINS.mains_hz[1]} / f, 6) END AS implied_60 FROM r WHERE n = 1"""
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "q" and n[1:3].isdigit()}
 SQL = {n: globals()[f"Q{n[1:3]}"] for n in QUERIES}

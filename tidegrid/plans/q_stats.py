@@ -138,7 +138,7 @@ def q48_batch_confound(spark, d):
     return rounded(stats.batch_confound(labelled(spark, d), "source", "toxic"), "v")
 
 
-Q48 = f"WITH {LAB_SQL}, {v_sql('source', 'toxic')} SELECT n, n_a, n_b, round(v, 6) AS v, (SELECT max(k) <= 1 FROM (SELECT count(DISTINCT toxic) AS k FROM lab GROUP BY source)) AS perfectly_predicts, coalesce(v >= 0.6, false) AS flagged FROM vv"
+Q48 = f"WITH {LAB_SQL}, {v_sql('source', 'toxic')} SELECT n, n_a, n_b, round(v, 6) AS v, (SELECT max(k) <= 1 FROM (SELECT count(DISTINCT toxic) AS k FROM lab GROUP BY source)) AS perfectly_predicts, (SELECT max(k) <= 1 FROM (SELECT count(DISTINCT toxic) AS k FROM lab GROUP BY source)) OR coalesce(v >= 0.6, false) AS flagged FROM vv"
 
 FEATURES = ("p__n_chars", "p__mod97", "p__mod7")
 
@@ -270,12 +270,14 @@ def q57_sign_agreement(spark, d):
     odd = F.when(F.col("user_id") % 2 == 1, F.col("value"))
     effects = in_windows(spark, d).groupBy("event_type", "window_key").agg((F.avg(even) - F.avg(odd)).alias("effect"))
     wide = effects.groupBy("event_type").pivot("window_key", ["w1", "w3"]).agg(F.first("effect"))
-    return rounded(stats.sign_agreement(wide, "w1", "w3"), "spearman_effects", "sign_agreement", "p_binomial")
+    return rounded(stats.sign_agreement(wide, "w1", "w3", "event_type", N_BOOT), "spearman_effects", "sign_agreement", "p_binomial", "ci_low", "ci_high")
 
 
 Q57 = f"""WITH {WINDOWS_SQL}, e AS (SELECT event_type, avg(value) FILTER (user_id % 2 = 0 AND window_key = 'w1') - avg(value) FILTER (user_id % 2 = 1 AND window_key = 'w1') AS a, avg(value) FILTER (user_id % 2 = 0 AND window_key = 'w3') - avg(value) FILTER (user_id % 2 = 1 AND window_key = 'w3') AS b FROM cut GROUP BY 1),
-r AS (SELECT a, b, rank() OVER (ORDER BY a) AS x, rank() OVER (ORDER BY b) AS y FROM e WHERE a IS NOT NULL AND b IS NOT NULL), s AS (SELECT count(*) AS n_features, count(*) FILTER (sign(a) = sign(b)) AS n_agreeing, corr(x, y) AS spearman_effects FROM r)
-SELECT n_features, n_agreeing, round(spearman_effects, 6) AS spearman_effects, round(n_agreeing / n_features, 6) AS sign_agreement, round((SELECT sum(exp(lgamma(n_features + 1) - lgamma(i + 1) - lgamma(n_features - i + 1) - n_features * ln(2.0))) FROM (SELECT unnest(range(n_agreeing, n_features + 1)) AS i)), 6) AS p_binomial FROM s"""
+r AS (SELECT a, b, rank() OVER (ORDER BY a) AS x, rank() OVER (ORDER BY b) AS y FROM e WHERE a IS NOT NULL AND b IS NOT NULL),
+bu AS (SELECT b AS sample, CAST(sign(e.a) = sign(e.b) AS DOUBLE) AS agrees, CAST('0x' || substr(md5(event_type || ':' || s.i), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u, s.i FROM e, (SELECT unnest(range(1, {N_BOOT + 1})) AS i) s WHERE e.a IS NOT NULL AND e.b IS NOT NULL),
+bm AS (SELECT i, sum(({_W}) * agrees) / nullif(sum({_W}), 0) AS mean FROM bu GROUP BY 1), ci AS (SELECT quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM bm), s AS (SELECT count(*) AS n_features, count(*) FILTER (sign(a) = sign(b)) AS n_agreeing, corr(x, y) AS spearman_effects FROM r)
+SELECT n_features, n_agreeing, round(spearman_effects, 6) AS spearman_effects, round(n_agreeing / n_features, 6) AS sign_agreement, round((SELECT sum(exp(lgamma(n_features + 1) - lgamma(i + 1) - lgamma(n_features - i + 1) - n_features * ln(2.0))) FROM (SELECT unnest(range(n_agreeing, n_features + 1)) AS i)), 6) AS p_binomial, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM s, ci"""
 
 
 def q58_binom_greater(spark, d):

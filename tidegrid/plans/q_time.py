@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.config import Temporal
 from tidegrid.functions import names
 from tidegrid.functions.expr import finite
-from tidegrid.operators import relational, timegrid
+from tidegrid.operators import relational, stats, timegrid
 from tidegrid.plans.bindings import COMPONENTS, DAY, activity, profiles, table
 
 WIDTH = len(COMPONENTS)
@@ -341,5 +341,64 @@ def q25_channel_corr_min(spark, d):
 
 Q25 = """SELECT l_suppkey, round(least(corr(l_quantity, l_extendedprice), corr(l_quantity, l_discount), corr(l_extendedprice, l_discount)), 6) AS min_corr FROM lineitem GROUP BY 1"""
 
+def q66_full_blocks(spark, d):
+    """Blocks of exactly three events; part-filled and overfull ones are left out."""
+    kept = timegrid.full_blocks(activity(spark, d), ["user_id", "block"], 3)
+    return rounded(timegrid.block_rms(kept, "user_id", "block", "value"), "rms")
+
+
+Q66 = f"WITH {BLOCKS_SQL} SELECT user_id, block, n, round(rms, 6) AS rms FROM b WHERE n = 3"
+
+
+def q67_epochs(spark, d):
+    """Overlapping epochs of 16 lines, half of them shared, over each supplier's lines in order."""
+    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_quantity")) - 1
+    lines = table(spark, d, "lineitem").select("l_suppkey", place.alias("i"), "l_quantity", F.count(F.lit(1)).over(Window.partitionBy("l_suppkey")).alias("n"))
+    parts = lines.select("l_suppkey", F.explode(timegrid.epochs_of(F.col("i"), 16, 0.5, F.col("n"))).alias("epoch"), "l_quantity")
+    return rounded(parts.groupBy("l_suppkey", "epoch").agg(F.count(F.lit(1)).alias("n_samples"), F.avg(F.col("l_quantity").cast("double")).alias("mean")), "mean")
+
+
+Q67 = """WITH l AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS i, l_quantity, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
+e AS (SELECT l_suppkey, unnest(range((max(n) - 16) // 8 + 1)) AS epoch FROM l GROUP BY 1 HAVING max(n) >= 16)
+SELECT l.l_suppkey, epoch, count(*) AS n_samples, round(avg(l_quantity::DOUBLE), 6) AS mean FROM l JOIN e ON l.l_suppkey = e.l_suppkey AND i >= epoch * 8 AND i < epoch * 8 + 16 GROUP BY 1, 2"""
+
+
+def q68_one_to_one(spark, d):
+    people = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    spent = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return relational.one_to_one(people, spent, "c_custkey")
+
+
+Q68 = "SELECT c_custkey, c_acctbal, n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) ON c_custkey = o_custkey"
+
+
+def q69_null_report(spark, d):
+    gaps = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey")).alias("a"), F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("b"), F.col("c_nationkey").alias("c"))
+    return relational.null_report(gaps)
+
+
+Q69 = """SELECT 'a' AS "column", count(*) FILTER (c_custkey % 3 = 0) AS n_null FROM customer UNION ALL SELECT 'b', count(*) FILTER (c_mktsegment = 'BUILDING') FROM customer
+UNION ALL SELECT 'c', count(*) FILTER (c_nationkey IS NULL) FROM customer"""
+
+
+def q70_z_score(spark, d):
+    people = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").cast("double").alias("value"))
+    return rounded(stats.z_score(people, ["c_nationkey"], "value", "z").select("c_custkey", "z"), "z")
+
+
+Q70 = "SELECT c_custkey, round((c_acctbal::DOUBLE - avg(c_acctbal::DOUBLE) OVER w) / nullif(stddev_pop(c_acctbal::DOUBLE) OVER w, 0), 6) AS z FROM customer WINDOW w AS (PARTITION BY c_nationkey)"
+
+
+def q71_sex_report(spark, d):
+    raw = F.when(F.col("c_nationkey") < 8, F.col("c_mktsegment")).otherwise((F.col("c_custkey") % 2 + 1).cast("string"))
+    return names.sex_report(table(spark, d, "customer").select(raw.alias("raw_sex")), "raw_sex")
+
+
+Q71 = """WITH r AS (SELECT CASE WHEN c_nationkey < 8 THEN c_mktsegment ELSE CAST(c_custkey % 2 + 1 AS VARCHAR) END AS raw FROM customer),
+t AS (SELECT raw, CASE WHEN upper(trim(raw)) LIKE 'M%' OR upper(trim(raw)) = 'H' THEN 1.0 WHEN upper(trim(raw)) LIKE 'F%' OR upper(trim(raw)) = 'W' THEN 0.0 END AS txt FROM r),
+c AS (SELECT *, CASE WHEN txt IS NULL THEN TRY_CAST(raw AS DOUBLE) END AS code FROM t), g AS (SELECT bool_and(code IN (1, 2)) AS one_two, bool_and(code IN (0, 1)) AS zero_one FROM c),
+p AS (SELECT txt, coalesce(txt, CASE WHEN one_two THEN 2 - code WHEN zero_one THEN code END) AS sex FROM c, g)
+SELECT count(*) AS n, count(txt) AS n_text, count(*) FILTER (txt IS NULL AND sex IS NOT NULL) AS n_numeric, count(*) FILTER (sex IS NULL) AS n_unresolved, (SELECT CASE WHEN one_two THEN '1=male,2=female' WHEN zero_one THEN '0/1' ELSE 'none' END FROM g) AS coding FROM p"""
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "q" and n[1:3].isdigit()}
 SQL = {n: globals()[f"Q{n[1:3]}"] for n in QUERIES}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.names import canonical_id, group_label, parse_sex
@@ -19,29 +22,58 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError("metadata must be .csv or .parquet")
 
 
-def _only(names: list[str], what: str) -> str:
-    if len(names) != 1:
-        raise ValueError(f"expected exactly one {what} column, found {names}")
-    return names[0]
+@dataclass(frozen=True)
+class Rule:
+    """How one canonical column is found in a sheet and read."""
+
+    out: str
+    names: tuple[str, ...] = ()
+    beginning: tuple[str, ...] = ()
+    required: bool = False
+    read: Callable[[Column], Column] = lambda c: c
+
+    def matches(self, name: str) -> bool:
+        return name in self.names or name.startswith(self.beginning or ("\0",))
+
+
+# The accepted column names.
+RULES = (
+    Rule("subject_id", ("id", "participant_id"), ("subject",), True, canonical_id),
+    Rule("label_raw", ("type", "group", "class", "diagnosis", "diagnostic_group"), (), True, lambda c: F.trim(c.cast("string"))),
+    Rule("age", ("age",), (), False, lambda c: c.try_cast("double")),
+    Rule("sex_raw", (), ("gender", "sex"), False, lambda c: c.cast("string")),
+    Rule("education_years", (), ("education",), False, lambda c: c.try_cast("double")),
+)
+
+
+def plain_name(column: str) -> str:
+    return column.strip().lower().replace(" ", "_")
+
+
+def chosen_columns(columns: Sequence[str]) -> dict[str, str]:
+    """Canonical name -> column of the sheet; ValueError lists all that is missing or doubled."""
+    named = {c: plain_name(c) for c in columns}
+    found = {rule: [c for c, name in named.items() if rule.matches(name)] for rule in RULES}
+    wrong = [f"{rule.out}: {len(of)} columns {of}" for rule, of in found.items() if len(of) > 1 or (rule.required and not of)]
+    if wrong:
+        raise ValueError("one column is expected for each of " + "; ".join(wrong))
+    return {rule.out: of[0] for rule, of in found.items() if of}
 
 
 def normalise(sheet: DataFrame) -> DataFrame:
-    """Canonical columns: id, label from the group's prefix, numeric covariates, sex and the id's first four characters."""
-    names = {c: c.strip().lower().replace(" ", "_") for c in sheet.columns if not c.strip().lower().startswith("unnamed")}
-    df = sheet.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    key = _only([c for c in df.columns if c in ("subject_id", "id", "subject", "participant_id")], "id")
-    group = _only([c for c in df.columns if c in ("type", "group", "label", "diagnosis")], "group")
-    df = df.withColumn("subject_id", canonical_id(F.col(key))).withColumn("label_raw", F.trim(F.col(group).cast("string"))).withColumn("label", group_label(F.col(group).cast("string")))
-    if not df.filter("label is null").isEmpty():
-        raise ValueError("group labels that are neither MDD nor HC")
-    if not df.groupBy("subject_id").count().filter("count > 1").isEmpty():
-        raise ValueError("subject ids are repeated")
-    for c in df.columns:
-        if c.startswith("education"):
-            df = df.withColumn("education_years", F.col(c).try_cast("double"))
-        if c.startswith(("gender", "sex")):
-            df = parse_sex(df.withColumn("__sex", F.col(c).cast("string")), "__sex")
-    if "age" in df.columns:
-        df = df.withColumn("age", F.col("age").try_cast("double"))
-    df = df.withColumn("id_prefix", F.substring("subject_id", 1, 4))
-    return df.select(*(c for c in KEPT if c in df.columns)).dropDuplicates(["subject_id"])
+    """The sheet under canonical names: id, label from the group's prefix, numeric covariates, sex and the id's first four characters.
+
+    One select reads the columns, and one aggregate gathers everything that the contract forbids.
+    """
+    chosen = chosen_columns(sheet.columns)
+    read = {rule.out: rule.read for rule in RULES}
+    rows = sheet.select(*(read[out](F.col(f"`{c}`")).alias(out) for out, c in chosen.items()))
+    rows = rows.withColumns({"label": group_label(F.col("label_raw")), "id_prefix": F.substring("subject_id", 1, 4)})
+    by_id = rows.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label").isNull()).alias("unknown"))
+    facts = by_id.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("unknown").alias("unknown")).first()
+    said = {"the sheet is empty": not facts.rows, f"{facts.repeated} subject ids are repeated": facts.repeated, f"{facts.unknown} group labels are neither MDD nor HC": facts.unknown}
+    if any(said.values()):
+        raise ValueError("; ".join(text for text, wrong in said.items() if wrong))
+    if "sex_raw" in chosen:
+        rows = parse_sex(rows, "sex_raw")
+    return rows.select(*(c for c in KEPT if c in rows.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import importlib.metadata
 import json
 import math
 import platform
@@ -44,4 +45,4 @@ def write_json(spark, value, folder: str, name: str) -> None:
 
 def manifest(fingerprint: str) -> dict:
     now = datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")
-    return {"created": now, "python": platform.python_version(), "platform": platform.platform(), "spark": pyspark.__version__, "settings": fingerprint}
+    return {"created": now, "python": platform.python_version(), "platform": platform.platform(), "spark": pyspark.__version__, **{m: importlib.metadata.version(m) for m in ("numpy", "pandas", "pyarrow")}, "settings": fingerprint}
