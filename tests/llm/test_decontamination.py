@@ -44,7 +44,9 @@ def test_equals_brute_force(spark):
         docs.append((i, rng.choice([" ", ", ", "\n"]).join(parts)))
     docs += [(100, None), (101, ""), (102, "nobody owns this item at all it has no id")]
     check(spark, docs, items)
-    check(spark, docs, items, block_words=20)
+    check(spark, docs, items, hot_most=0)
+    check(spark, docs, items, hot_share=0.005, hot_most=15)
+    check(spark, docs, items, hot_share=0)
 
 
 def test_odd_rows(spark):

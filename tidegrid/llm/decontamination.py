@@ -2,13 +2,15 @@
 
 Every window of 10 consecutive item words (or a whole shorter item) is a set of word shingles that must all occur for
 the window to occur, so by the prefix principle one shingle of it, the rarest, is enough to find all candidates. The
-rarity order comes from counts of the benchmark's shingles over all documents. A candidate gives the window's place;
-the positional bound (it must start at or after word 0) and the length bound (it must end in the document) prune it;
-the words are then compared one by one.
+rarity order comes from counts of the benchmark's shingles over all documents; a window with a shingle that no document
+holds can't occur and is dropped. Documents are joined with the windows on that one shingle's hash. A pair gives the
+window's place; the positional bound (it must start at or after word 0) and the length bound (it must end in the
+document) prune it; then the words themselves are compared.
 
-The benchmark side is held in blocks of a bounded number of words. Each block is broadcast, and all documents are
-searched for it in a pass of their own, so a benchmark of any size takes more passes with the same memory; the passes'
-hits are merged for each document.
+The texts are read twice, whatever the benchmark's size. A Bloom filter of the benchmark's shingles, of at most
+MOST_BITS bits, keeps all other shingles out of the shuffles; where it fills up, more rows are shuffled and the results
+stay. Windows whose rarest shingle makes HOT_SHARE of all words, at most HOT_MOST of them, would be hot keys: they are
+broadcast and found inside the tasks. All others go through the join, so the two bounds change the way of the work alone.
 
 Defined results: a null text has no words; a null item_id counts for hits but is listed nowhere; repeated item rows
 count once; each document row gets its own result row, repeated or not; an empty benchmark hits nothing.
@@ -16,7 +18,6 @@ count once; each document row gets its own result row, repeated or not; an empty
 
 from __future__ import annotations
 
-import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,153 +26,156 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import LOWER, documents, id_text, slices, table, utf8
+from tidegrid.llm.common import LOWER, documents, id_text, slices, stored, table, utf8
+from tidegrid.llm.repeats import run_hashes, word_hashes
 
 WINDOW = 10
 SHINGLE = 3
-#: Words of benchmark items in one broadcast block.
-BLOCK_WORDS = 400_000
+#: The Bloom filter's bits: about 16 for each shingle of the benchmark, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+#: A prefix of this share of all words is a hot key; so many windows of such prefixes are broadcast.
+HOT_SHARE, HOT_MOST = 1e-5, 20_000
+#: Rows of a batch that a task hands on.
+OUT_ROWS = 8192
 
 #: After lower-casing, every ASCII byte that is not a letter or digit parts words.
 _SPLIT = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in LOWER)
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words of lower-case ASCII letters, digits and non-ASCII characters."""
-    return text.translate(_SPLIT).split() if text else []
-
-
-class Block:
-    """Windows of some benchmark items, found by their rarest shingle."""
-
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        number = self.vocabulary.setdefault
-        #: (window's ids as bytes) -> indices of the items that hold it
-        self.windows: dict[bytes, set[int]] = defaultdict(set)
-        self.names = [name for name, _ in items]
-        for index, (_, words) in enumerate(items):
-            ids = np.array([number(w, len(self.vocabulary)) for w in words], np.int32)
-            for start in range(max(1, len(ids) - window + 1)):
-                self.windows[ids[start : start + window].tobytes()].add(index)
-        self.base = np.int64(len(self.vocabulary) + 1)
-        self.by_shingle: dict[int, list[tuple[int, bytes]]] = {}
-        self.keys = np.empty(0, np.int64)
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, -1) for w in words], np.int32)
-
-    def shingles(self, ids: np.ndarray, size: int) -> np.ndarray:
-        """A number for each run of ``size`` known words; -1 where a word is unknown."""
-        n = len(ids) - size + 1
-        if n <= 0:
-            return np.empty(0, np.int64)
-        code, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(size):
-            part = ids[k : k + n]
-            code = code * self.base + (part + 1)
-            known &= part >= 0
-        return np.where(known, code * 4 + size, -1)
-
-    def all_shingles(self) -> np.ndarray:
-        """Sorted codes of all shingles of the windows."""
-        found = [self.shingles(w := np.frombuffer(k, np.int32), min(SHINGLE, len(w))) for k in self.windows]
-        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-
-    def order(self, counts: dict[int, int]) -> None:
-        """Choose each window's prefix: its rarest shingle, the first of equals."""
-        by: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
-        for key in self.windows:
-            ids = np.frombuffer(key, np.int32)
-            codes = self.shingles(ids, min(SHINGLE, len(ids))).tolist()
-            _, at = min((counts.get(c, 0), k) for k, c in enumerate(codes))
-            by[codes[at]].append((at, key))
-        self.by_shingle = dict(by)
-        self.keys = np.array(sorted(by), np.int64)
-
-    def occurrences(self, words: list[bytes], sorted_codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(ids, places, codes) of the shingles in ``words`` that are among ``sorted_codes``."""
-        ids = self.ids(words)
-        for size in range(1, SHINGLE + 1):
-            codes = self.shingles(ids, size)
-            at = np.flatnonzero(codes >= 0)
-            if len(at) and len(sorted_codes):
-                slot = np.minimum(np.searchsorted(sorted_codes, codes[at]), len(sorted_codes) - 1)
-                at = at[sorted_codes[slot] == codes[at]]
-                if len(at):
-                    yield ids, at, codes[at]
-
-    def find(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
-        """Which words are inside an occurrence of a window, and the indices of the items that occur."""
-        hit, items = np.zeros(len(words), bool), set()
-        for ids, places, codes in self.occurrences(words, self.keys):
-            raw, n = ids.tobytes(), len(ids)
-            for place, code in zip(places.tolist(), codes.tolist(), strict=True):
-                for offset, key in self.by_shingle[code]:
-                    start, length = place - offset, len(key) // 4
-                    if start >= 0 and start + length <= n and raw[4 * start : 4 * (start + length)] == key:
-                        hit[start : start + length] = True
-                        items |= self.windows[key]
-        return hit, items
+def parted(text: bytes | None) -> bytes:
+    """Words of lower-case ASCII letters, digits and non-ASCII characters, with spaces between."""
+    return text.translate(_SPLIT) if text else b""
 
 
-def blocks_of(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
-    """The benchmark's items in blocks, read partition by partition."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).distinct()
-    held, size = [], 0
-    for row in items.toLocalIterator():
-        words = words_of(row.text.encode() if row.text else None)
-        # a long item goes on in further blocks, which share window - 1 words, so that no window is lost or made
-        for start in range(0, max(1, len(words) - window + 1) if words else 0, max(1, block_words)):
-            part = words[start : start + max(1, block_words) + window - 1]
-            if held and size + len(part) > block_words:
-                yield Block(held, window)
-                held, size = [], 0
-            held.append((row.item, part))
-            size += len(part)
-    yield Block(held, window)
-
-
-def shingle_counts(docs: DataFrame, block: Block) -> dict[int, int]:
-    """How often each shingle of the block occurs in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def shingle_codes(hashes: np.ndarray, size: int) -> np.ndarray:
+    return run_hashes(hashes, size).view(np.int64)
+
+
+def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """benchmark(item_id, text) -> (item, gram, length, codes), one row for each window: its words and its shingles' hashes."""
+    schema = pa.schema([("item", pa.string()), ("gram", pa.string()), ("length", pa.int32()), ("codes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = shared.value.all_shingles()
-        count = np.zeros(len(codes), np.int64)
         for batch in slices(batches):
-            for text in utf8(batch.column(0)):
-                for _, _, found in shared.value.occurrences(words_of(text), codes):
-                    count += np.bincount(np.searchsorted(codes, found), minlength=len(codes))
-        some = count > 0
-        yield pa.RecordBatch.from_arrays([pa.array(codes[some]), pa.array(count[some])], names=["code", "n"])
+            for item, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                words = parted(text).split()
+                if not words:
+                    continue
+                length = min(window, len(words))
+                size = min(SHINGLE, length)
+                codes = shingle_codes(word_hashes(b" ".join(words)), size)
+                starts = range(len(words) - length + 1)
+                for at in range(0, len(starts), OUT_ROWS):
+                    some = starts[at : at + OUT_ROWS]
+                    rows = [[item] * len(some), [b" ".join(words[s : s + length]).decode() for s in some], [length] * len(some), [codes[s : s + length - size + 1] for s in some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, schema.types, strict=True)], schema=schema)
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).distinct()
+    return items.mapInArrow(run, "item string, gram string, length int, codes array<long>")
+
+
+class Filter:
+    """A Bloom filter of 64-bit codes with two bits each."""
+
+    def __init__(self, codes: DataFrame) -> None:
+        """Filled from codes(code), distinct; at most MOST_BITS / 64 rows reach the driver."""
+        self.bits = LEAST_BITS
+        n = codes.count()
+        while self.bits < min(MOST_BITS, 16 * n):
+            self.bits *= 2
+        last = self.bits - 1
+        places = codes.select(F.explode(F.array(F.col("code").bitwiseAND(last), F.shiftrightunsigned("code", 32).bitwiseAND(last))).alias("bit"))
+        filled = places.groupBy(F.shiftright("bit", 6).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("on")).toArrow()
+        self.cells = np.zeros(self.bits // 64, np.uint64)
+        self.cells[filled["cell"].to_numpy()] = filled["on"].to_numpy().view(np.uint64)
 
-    counted = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    found = {row.code: row.n for row in counted.toLocalIterator()}  # at most one row for each shingle of the block
-    shared.unpersist()
-    return found
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Places of the codes that may be in the set."""
+        code, last = codes.view(np.uint64), np.uint64(self.bits - 1)
+        found = np.ones(len(code), bool)
+        for bit in (code & last, (code >> np.uint64(32)) & last):
+            found &= (self.cells[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return np.flatnonzero(found)
 
 
-def search_pass(docs: DataFrame, block: Block) -> DataFrame:
-    """docs(rid, doc_id, text) -> (rid, doc_id, n_words, hits as runs of words, items) for one block."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    run_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+def shingle_counts(docs: DataFrame, known: Filter, sizes: list[int]) -> DataFrame:
+    """docs(text) -> (code, n): how often each shingle that may be the benchmark's occurs; n of a null code is the number of words."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
         for batch in slices(batches):
-            n_words, hits, items = [], [], []
-            for text in utf8(batch.column(2)):
-                words = words_of(text)
-                hit, found = shared.value.find(words)
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))) if found else []
-                n_words.append(len(words))
-                hits.append([{"s": s, "e": e} for s, e in zip(edges[::2], edges[1::2], strict=True)])
-                items.append(sorted({shared.value.names[i] for i in found} - {None}))
-            arrays = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(hits, run_type), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["rid", "doc_id", "n_words", "hits", "items"])
+            found = []
+            for text in utf8(batch.column(0)):
+                hashes = word_hashes(parted(text))
+                total += len(hashes)
+                for size in sizes:
+                    codes = shingle_codes(hashes, size)
+                    found.append(codes[shared.value.places(codes)])
+            codes, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n, pa.int64())], names=["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["code", "n"])
+
+    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def search(docs: DataFrame, sizes: list[int], hot: list, known: Filter, window: int) -> DataFrame:
+    """docs(rid, doc_id, text) -> rows of four kinds, told by the columns that aren't null.
+
+    n_words: the document itself. (s, e): a run of words inside hot windows. gram without code: a hot window that occurs.
+    code: a place s where a window of the join may lie, with the words around it and how many of them come before.
+    """
+    by_code: dict[int, list[tuple[int, int, bytes]]] = defaultdict(list)
+    for row in hot:
+        by_code[row.code].append((row.offset, row.length, row.gram.encode()))
+    # only the least frequent of the hot prefixes may have windows in the join too
+    local_only = {row.code for row in hot if row.n > hot[-1].n}
+    shared = docs.sparkSession.sparkContext.broadcast((dict(by_code), local_only, known))
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("gram", pa.string()), ("code", pa.int64()), ("before", pa.int32()), ("words", pa.list_(pa.string()))])
+
+    def rows_of(rid: int, doc_id: int | None, text: bytes | None) -> Iterator[tuple]:
+        windows, local, found = shared.value
+        joined = parted(text)
+        hashes = word_hashes(joined)
+        n = len(hashes)
+        hit, grams, words = np.zeros(n, bool), set(), None
+        for size in sizes:
+            codes = shingle_codes(hashes, size)
+            for at in found.places(codes).tolist():
+                words, code = words or joined.split(), int(codes[at])
+                for offset, length, gram in windows.get(code, ()):
+                    start = at - offset
+                    if start >= 0 and start + length <= n and b" ".join(words[start : start + length]) == gram:
+                        hit[start : start + length] = True
+                        grams.add(gram)
+                if code not in local:
+                    first = max(0, at - window + 1)
+                    around = [w.decode() for w in words[first : at + window]]
+                    yield rid, None, None, at, None, None, code, at - first, around
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).tolist()
+        for s, e in zip(edges[::2], edges[1::2], strict=True):
+            yield rid, None, None, s, e, None, None, None, None
+        for gram in grams:
+            yield rid, None, None, None, None, gram.decode(), None, None, None
+        yield rid, doc_id, n, None, None, None, None, None, None
 
-    return docs.mapInArrow(run, "rid long, doc_id long, n_words long, hits array<struct<s:int,e:int>>, items array<string>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+        for batch in slices(batches):
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+                for out in rows_of(*row):
+                    held.append(out)
+                    if len(held) >= OUT_ROWS:
+                        yield batch_of()
+                        held.clear()
+        if held:
+            yield batch_of()
+
+    return docs.mapInArrow(run, "rid long, doc_id long, n_words long, s int, e int, gram string, code long, before int, words array<string>")
 
 
 def covered(runs: Column) -> Column:
@@ -181,18 +185,46 @@ def covered(runs: Column) -> Column:
     return F.aggregate(runs, state, step, lambda z: z["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prefixes(grams: DataFrame, counted: DataFrame) -> DataFrame:
+    """grams(gram, length, codes), counted(code, n) -> (gram, length, n, offset, code): each window's rarest shingle, the first of equals."""
+    each = grams.select("gram", "length", F.posexplode("codes").alias("offset", "code")).join(counted, "code", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "code"))
+    return each.groupBy("gram", "length").agg(rarest.alias("p")).select("gram", "length", "p.n", "p.offset", "p.code").filter("n > 0")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hot_share: float = HOT_SHARE, hot_most: int = HOT_MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its words, those inside an item's window, and the items that occur."""
-    docs = id_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    passes = []
-    for block in blocks_of(benchmark, window, block_words):
-        block.order(shingle_counts(docs, block))
-        passes.append(search_pass(docs, block))
-    found = passes[0]
-    if len(passes) > 1:
-        every = functools.reduce(DataFrame.unionByName, passes)
-        found = every.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.select("doc_id", "n_words", covered(F.sort_array("hits")).alias("n_hit"), "items")
+    docs = id_text(docs, id_col, text_col)
+    windows = stored(item_windows(benchmark, window), "item-windows")
+    grams = stored(windows.select("gram", "length", "codes").dropDuplicates(["gram"]), "windows")
+    sizes = sorted(row.size for row in grams.select(F.least("length", F.lit(SHINGLE)).alias("size")).distinct().collect())  # at most SHINGLE rows
+    known = Filter(stored(grams.select(F.explode("codes").alias("code")).distinct(), "item-shingles"))
+    counted = stored(shingle_counts(docs, known, sizes), "shingle-counts")
+    total = counted.filter("code is null").agg(F.sum("n")).first()[0] or 0
+    chosen = stored(prefixes(grams, counted), "prefixes")
+    hot = chosen.filter(F.col("n") >= hot_share * total).orderBy(F.col("n").desc(), "gram").limit(hot_most).collect() if hot_most else []
+    last = (hot[-1].n, hot[-1].gram) if hot else None
+    # all that comes behind the last hot window in the same order
+    rest = chosen if last is None else chosen.filter((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("gram") > last[1])))
+    rows = search(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), sizes, hot, Filter(chosen.select("code").distinct()), window)
+    rows = stored(rows, "search")
+
+    candidates = rows.filter("code is not null").select("rid", "code", "s", "before", "words")
+    start = F.col("before") - F.col("offset")
+    inside = (start >= 0) & (start + F.col("length") <= F.size("words"))
+    same = F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("length")), " ") == F.col("gram")
+    matched = candidates.join(rest.select("code", "gram", "length", "offset"), "code").filter(inside & same)
+    place = F.col("s") - F.col("offset")
+    matched = stored(matched.select("rid", place.alias("s"), (place + F.col("length")).alias("e"), "gram"), "matches")
+
+    runs = rows.filter("e is not null").select("rid", "s", "e").unionByName(matched.select("rid", "s", "e"))
+    hits = runs.groupBy("rid").agg(covered(F.sort_array(F.collect_list(F.struct("s", "e")))).alias("n_hit"))
+    held = stored(rows.filter("gram is not null").select("rid", "gram").unionByName(matched.select("rid", "gram")).distinct(), "held-windows")
+    names = stored(windows.filter("item is not null").select("gram", "item").distinct(), "item-names")
+    items = held.join(names, "gram").groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    every = rows.filter("n_words is not null").select("rid", "doc_id", "n_words").join(hits, "rid", "left").join(items, "rid", "left")
+    none = F.array().cast("array<string>")
+    return every.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
