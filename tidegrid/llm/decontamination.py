@@ -92,10 +92,11 @@ class Filter:
     def places(self, codes: np.ndarray) -> np.ndarray:
         """Places of the codes that may be in the set."""
         code, last = codes.view(np.uint64), np.uint64(self.bits - 1)
-        found = np.ones(len(code), bool)
-        for bit in (code & last, (code >> np.uint64(32)) & last):
-            found &= (self.cells[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return np.flatnonzero(found)
+        found = np.flatnonzero(self._on(code & last))
+        return found[self._on((code[found] >> np.uint64(32)) & last)]
+
+    def _on(self, bits: np.ndarray) -> np.ndarray:
+        return (self.cells[bits >> np.uint64(6)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def shingle_counts(docs: DataFrame, known: Filter, sizes: list[int]) -> DataFrame:

@@ -51,9 +51,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
-    one = xxhash.xxh64_intdigest
     words = text.split() if text else []
-    return np.fromiter((one(w) for w in words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
