@@ -12,6 +12,7 @@ from tidegrid.llm.quality import OP5_SQL, op5_quality_rules
 from tidegrid.llm.repeats import op1_suffix_array_dedup
 from tidegrid.llm.secrets import op9_secret_scan
 from tidegrid.llm.simhash import op4_simhash_near_dedup
+from tidegrid.llm.toxicity import op12_toxicity
 from tidegrid.llm.warc import OP2_SQL, op2_warc_round_trip
 from tidegrid.llm.whitening import op13_embedding_whitening
 
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_toxicity": op12_toxicity,
         "op13_embedding_whitening": op13_embedding_whitening,
     }
 

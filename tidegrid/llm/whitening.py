@@ -114,9 +114,9 @@ def subspace(product: Callable[[np.ndarray], tuple[np.ndarray, float]], width: i
         worst = residual.max()
         if worst <= TOLERANCE * max(e[0], 0.0) or q.shape[1] == width:
             return e[:k], ritz[:, :k], trace, residual
-        rate = worst / before
-        left = np.log(TOLERANCE * e[0] / worst) / np.log(rate) if rate < 1 else np.inf
-        if np.isfinite(before) and left > PATIENCE:
+        rate = worst / before  # 0 where there is nothing to compare with
+        left = np.log(TOLERANCE * e[0] / worst) / np.log(rate) if 0 < rate < 1 else np.inf
+        if rate > 0 and left > PATIENCE:
             more = min(width, 2 * q.shape[1]) - q.shape[1]
             image = np.concatenate([image, draw.standard_normal((width, more)) * e[0]], axis=1)
             worst = np.inf  # the next two residuals tell the new rate
