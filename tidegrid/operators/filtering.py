@@ -49,43 +49,59 @@ def notch_coefficients(hz: float, q: float, fs: float) -> tuple[np.ndarray, np.n
 
 
 class Recursive:
-    """A filter run in blocks: each block is one matrix product on the samples and the state before it."""
+    """A filter as a sum of one-pole parts: y = b0 x + sum(r s), s' = p s + x for each pole p with its residue r.
+
+    The parts don't disturb each other, so that a block of samples is one well-conditioned matrix product on them and on the state
+    before, and any number of steps of a state is a power of each pole. Poles must be distinct, as those of all filters here are.
+    """
 
     BLOCK = 64
 
     def __init__(self, b: np.ndarray, a: np.ndarray) -> None:
         n = max(len(a), len(b))
-        self.b, self.a = np.zeros(n), np.zeros(n)
-        self.b[: len(b)], self.a[: len(a)] = b / a[0], a / a[0]
-        k = n - 1
-        step, self.inject = np.zeros((k, k)), self.b[1:] - self.a[1:] * self.b[0]
-        step[:, 0] = -self.a[1:]
-        step[:-1, 1:] += np.eye(k - 1)
-        self.steady = np.linalg.solve(np.eye(k) - step, self.inject)
-        size, powers = self.BLOCK, [np.eye(k)]
-        for _ in range(size):
-            powers.append(step @ powers[-1])
-        impulse = np.array([self.b[0], *(p[0] @ self.inject for p in powers[: size - 1])])
+        wide_b, wide_a = np.zeros(n, np.longdouble), np.zeros(n, np.longdouble)
+        wide_b[: len(b)], wide_a[: len(a)] = b / a[0], a / a[0]
+        rest, slope = wide_b[1:] - wide_b[0] * wide_a[1:], wide_a[:-1] * np.arange(n - 1, 0, -1)
+        poles = np.roots(wide_a.astype(float)).astype(np.clongdouble)
+        for _ in range(4):  # the double coefficients' poles in extended precision
+            poles = poles - np.polyval(wide_a, poles) / np.polyval(slope, poles)
+        apart = np.abs(poles[:, None] - poles[None]) + np.eye(n - 1)
+        if len(poles) != n - 1 or not np.isfinite(poles).all() or apart.min() < 1e-6:
+            raise ValueError("a filter with repeated poles")
+        residues, size = np.polyval(rest, poles) / np.polyval(slope, poles), self.BLOCK
+        powers = poles[None] ** np.arange(size + 1)[:, None]
+        impulse = np.concatenate([wide_b[:1], (powers[: size - 1] @ residues).real]).astype(float)
         lag = np.arange(size)[:, None] - np.arange(size)[None]
+        self.b0, self.poles, self.residues = float(wide_b[0]), poles.astype(complex), residues.astype(complex)
+        self.steady = (1 / (1 - poles)).astype(complex)
         self.direct = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
-        self.carried = np.array([p[0] for p in powers[:size]])
-        self.advance = powers[size]
-        self.gather = np.stack([powers[size - 1 - j] @ self.inject for j in range(size)], axis=1)
-        self.step = step
+        self.carried = (powers[:size] * residues).astype(complex)
+        self.advance = powers[size].astype(complex)
+        self.gather = powers[size - 1 :: -1].T.astype(complex)[:, -size:]
 
     def run(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """x(channels, n) and state(channels, k) to the output of the same shape as x."""
-        out, size = np.empty_like(x), self.BLOCK
+        """x(channels, n) and state(channels, poles) to the output of the same shape as x."""
+        out, size = np.empty(x.shape), self.BLOCK
         whole = x.shape[1] // size * size
         for at in range(0, whole, size):
             part = x[:, at : at + size]
-            out[:, at : at + size] = part @ self.direct.T + state @ self.carried.T
-            state = state @ self.advance.T + part @ self.gather.T
+            out[:, at : at + size] = part @ self.direct.T + (state @ self.carried.T).real
+            state = state * self.advance + part @ self.gather.T
         for at in range(whole, x.shape[1]):
-            out[:, at] = self.b[0] * x[:, at] + state[:, 0]
-            state = state @ self.step.T + x[:, at, None] * self.inject
+            out[:, at] = self.b0 * x[:, at] + (state @ self.residues).real
+            state = state * self.poles + x[:, at, None]
         return out
 
+    def carry(self, x: np.ndarray) -> np.ndarray:
+        """The state that samples x(n) leave behind when they start from rest."""
+        state, size = np.zeros(len(self.poles), complex), self.BLOCK
+        whole = len(x) // size * size
+        for at in range(0, whole, size):
+            state = state * self.advance + self.gather @ x[at : at + size]
+        for v in x[whole:]:
+            state = state * self.poles + v
+        return state
+
 
 @functools.lru_cache(maxsize=16)
 def engine_for(b: tuple[float, ...], a: tuple[float, ...]) -> Recursive:

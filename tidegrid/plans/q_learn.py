@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidegrid.config import Inference
-from tidegrid.operators import learn, stats
-from tidegrid.operators.filtering import band_pass_coefficients, forward_backward, welch
+from tidegrid.operators import learn, scan, stats
+from tidegrid.operators.filtering import band_pass_coefficients, welch
 from tidegrid.plans.bindings import activity, epochs
 from tidegrid.plans.q_stats import FEATURES, feature_table, long_table
 from tidegrid.plans.q_time import rounded
@@ -26,16 +26,42 @@ def q61_adjusted_logit(spark, d):
     return rounded(learn.adjusted_logit(long, "toxic", ["age"]), "beta", "se", "odds_ratio", "ci_low", "ci_high", "p", "p_fdr")
 
 
+BAND = band_pass_coefficients(1.0, 20.0, 64.0, 2)
+
+
 def q62_filter_bandpass(spark, d):
-    """Users' values in order of time, band-passed; the RMS before and after."""
-    b, a = band_pass_coefficients(1.0, 20.0, 64.0, 2)
+    """Users' values in order of time, band-passed forwards and backwards; the RMS before and after."""
+    filtered = scan.zero_phase(activity(spark, d), ["user_id"], ["ts", "event_id"], "value", *BAND)
+    rms = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
+    return rounded(filtered.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), rms("value").alias("rms_in"), rms("filtered").alias("rms_out")), "rms_in", "rms_out")
+
+
+def recursion_sql(name: str, source: str, b: np.ndarray, a: np.ndarray) -> str:
+    """A recursive CTE (user_id, p, y) of the filter over source(user_id, p, x), from the steady state of the first sample."""
+    k = len(a) - 1
+    x = lambda c: f"({float(c)!r}::DOUBLE)"
+    steady = np.linalg.solve(np.eye(k) - np.eye(k, k, 1) + np.outer(a[1:], np.eye(k)[0]), b[1:] - a[1:] * b[0])
+
+    def step(own: str, state: list[str], first: str) -> str:
+        y = f"({x(b[0])} * {own} + {state[0]})"
+        after = [f"{state[i + 1] if i + 1 < k else '0.0'} + {x(b[i + 1])} * {own} - {x(a[i + 1])} * {y}" for i in range(k)]
+        return f"SELECT {first}, {y} AS y, {', '.join(f'{e} AS s{i}' for i, e in enumerate(after))}"
+
+    base = step("q.x", [f"{x(steady[i])} * q.x" for i in range(k)], "q.user_id, q.p")
+    more = step("q.x", [f"r.s{i}" for i in range(k)], "q.user_id, q.p")
+    return f"{name} AS ({base} FROM {source} q WHERE p = 0 UNION ALL {more} FROM {name} r JOIN {source} q ON q.user_id = r.user_id AND q.p = r.p + 1)"
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values(["ts", "event_id"])["value"].to_numpy(float)[None]
-        y = forward_backward(x, b, a) if x.shape[1] > 3 * len(a) else np.full_like(x, np.nan)
-        return pd.DataFrame({"user_id": [group["user_id"].iloc[0]], "n": [x.shape[1]], "rms_in": [np.sqrt((x**2).mean())], "rms_out": [np.sqrt((y**2).mean())]})
 
-    return rounded(activity(spark, d).select("user_id", "ts", "event_id", "value").groupBy("user_id").applyInPandas(run, "user_id long, n long, rms_in double, rms_out double"), "rms_in", "rms_out")
+_EDGE = 3 * len(BAND[1])
+Q62 = f"""WITH RECURSIVE e AS (SELECT user_id, CAST(value AS DOUBLE) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+px AS (SELECT user_id, i + {_EDGE} AS p, v AS x FROM e WHERE n > {_EDGE}
+ UNION ALL SELECT a.user_id, {_EDGE} - a.i, 2 * z.v - a.v FROM e a JOIN e z ON z.user_id = a.user_id AND z.i = 0 WHERE a.n > {_EDGE} AND a.i BETWEEN 1 AND {_EDGE}
+ UNION ALL SELECT a.user_id, {_EDGE} + 2 * (a.n - 1) - a.i, 2 * z.v - a.v FROM e a JOIN e z ON z.user_id = a.user_id AND z.i = z.n - 1 WHERE a.n > {_EDGE} AND a.i BETWEEN a.n - 1 - {_EDGE} AND a.n - 2),
+{recursion_sql('fw', 'px', *BAND)},
+py AS (SELECT user_id, max(p) OVER (PARTITION BY user_id) - p AS p, y AS x FROM fw),
+{recursion_sql('bw', 'py', *BAND)},
+o AS (SELECT user_id, sqrt(avg(y * y)) AS rms_out FROM (SELECT *, max(p) OVER (PARTITION BY user_id) AS top FROM bw) WHERE p >= {_EDGE} AND p <= top - {_EDGE} GROUP BY 1)
+SELECT e.user_id, count(*) AS n, round(sqrt(avg(v * v)), 6) AS rms_in, round(any_value(rms_out), 6) AS rms_out FROM e LEFT JOIN o USING (user_id) GROUP BY 1"""
 
 
 def q63_welch_psd(spark, d):
@@ -63,4 +89,4 @@ def q65_permutation_cv(spark, d):
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[:2] == "q6" and n[1:3].isdigit()}
-SQL = {"q63_welch_psd": Q63}
+SQL = {"q62_filter_bandpass": Q62, "q63_welch_psd": Q63}
