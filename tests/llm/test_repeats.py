@@ -55,6 +55,28 @@ def test_spans_equal_brute_force(spark):
     assert got == dict(expected)
 
 
+def test_a_change_of_splits_between_two_jobs_loses_nothing(spark, tmp_path, monkeypatch):
+    """Executors that come or go change how files are split."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(80)
+    rows = [(i, " ".join(fresh(30) + (passage if i % 8 == 0 else []) + fresh(30))) for i in range(48)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12).write.parquet(str(tmp_path / "docs"))
+    setting, contexts = "spark.sql.files.minPartitionNum", repeats.contexts
+
+    def changed(*args):
+        spark.conf.set(setting, "2")
+        return contexts(*args)
+
+    monkeypatch.setattr(repeats, "contexts", changed)
+    try:
+        spark.conf.set(setting, "4")
+        got = {r.doc_id: len(covered(r)) for r in repeats.repeated_spans(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+    finally:
+        spark.conf.unset(setting)
+    assert got == {i: 80 for i in range(0, 48, 8)}
+
+
 def test_a_shared_anchor_inside_different_passages(spark):
     """Three passages around the same 20 words, each side shared with another document: no neighbour is best on both sides."""
     rng = random.Random(3)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import documents, id_text, scratch_path, slices, utf8
+from tidegrid.llm.common import documents, id_text, remove, scratch_path, slices, utf8
 
 LEAST = 50
 ANCHOR = 20
@@ -223,11 +223,13 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id
     """One row per document with a repeated passage: doc_id, rid, spans (first word, end word), n_words in them, a partner's id,
     its passage classes in the order of the text, and those whose first copy it holds."""
     spark = docs.sparkSession
-    # both uses of the texts take the same columns, so that they are planned, and numbered, alike
-    docs = id_text(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
-    kept = scratch_path(spark, "suffixes")
-    anchors(docs, least, anchor).write.parquet(kept)
-    kept = spark.read.parquet(kept)
+    # texts and numbers are written together: a number depends on how the table is split, which changes with the executors there are
+    numbered = scratch_path(spark, "numbered-texts")
+    id_text(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()).write.parquet(numbered)
+    docs = spark.read.parquet(numbered)
+    selected = scratch_path(spark, "suffixes")
+    anchors(docs, least, anchor).write.parquet(selected)
+    kept = spark.read.parquet(selected)
     # written, so that the join below reads two plain shuffles and Spark can split a key that very many suffixes share
     repeated = scratch_path(spark, "repeated-keys")
     kept.groupBy("key").count().filter("count > 1").select("key").write.parquet(repeated)
@@ -236,6 +238,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id
     suffixes = scratch_path(spark, "contexts")
     contexts(docs.join(places, "rid"), least, anchor).write.parquet(suffixes)
     suffixes = spark.read.parquet(suffixes)
+    remove(spark, numbered, selected, repeated)
     pairs = compare(suffixes, "after", least, anchor).unionByName(compare(suffixes, "before", least, anchor))
     reach = least - anchor
     unsettled = scratch_path(spark, "open-keys")
