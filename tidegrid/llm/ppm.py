@@ -120,7 +120,7 @@ class Codes:
     def __init__(self, codes: np.ndarray, values: np.ndarray) -> None:
         place = self._place(codes)
         order = np.argsort(place, kind="stable")
-        self.codes, self.values = np.append(codes[order], -1), np.append(values[order], 0).astype(np.float32)
+        self.codes, self.values = np.append(codes[order], -1), np.append(values[order], 0.0)
         self.start = np.searchsorted(place[order], np.arange((1 << INDEX_BITS) + 1)).astype(np.int32)
         self.longest = int(np.diff(self.start).max(initial=0))
 
