@@ -57,8 +57,14 @@ def test_spectra_lines_and_divergence(signal, frame):
         rows = frame.sparkSession.createDataFrame([(k, row.tolist()) for k, row in enumerate(hum)], "k long, x array<double>").withColumn("p", spectral.power_spectrum("x"))
         found = rows.select("k", spectral.line_check(F.col("p"), step, cfg.acquisition).alias("c")).orderBy("k").select("c.*").collect()
         for r, own in zip(found, (recordings.line_peak(f, q, cfg) for q in np.abs(np.fft.rfft(hum, axis=1)) ** 2), strict=True):
-            assert (r.peak_hz, r.status) == (own["peak_hz"], own["fs_status"]) and r.implied_fs == pytest.approx(own["implied_fs"])
+            assert (r.peak_hz, r.status) == (own["peak_hz"], own["fs_status"]) and r.implied_fs == pytest.approx(own["implied_fs"]) and r.prominence == pytest.approx(own["prominence"])
             assert own["fs_supported"] == (mains != 55.0)
+    # no line: the edges of the band decide
+    noise = np.random.default_rng(9).normal(size=(60, N))
+    rows = frame.sparkSession.createDataFrame([(k, row.tolist()) for k, row in enumerate(noise)], "k long, x array<double>").withColumn("p", spectral.power_spectrum("x"))
+    found = rows.select("k", spectral.line_check(F.col("p"), step, cfg.acquisition).alias("c")).orderBy("k").select("c.*").collect()
+    for r, own in zip(found, (recordings.line_peak(f, q, cfg) for q in np.abs(np.fft.rfft(noise, axis=1)) ** 2), strict=True):
+        assert (r.peak_hz, r.status) == (own["peak_hz"], own["fs_status"]) and r.prominence == pytest.approx(own["prominence"])
     q = [0.1, 0.2, 0.3, 0.4, 0.0]
     rows = frame.sparkSession.createDataFrame([(k, np.random.default_rng(k).dirichlet(np.ones(5)).tolist()) for k in range(5)], "k long, d array<double>")
     own = [recordings._js(np.array(r.d), np.array(q)) for r in rows.orderBy("k").collect()]

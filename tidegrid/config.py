@@ -114,6 +114,16 @@ class Quality:
     nonstationarity: float = 1.00
     mad_z: float = 4.0
     frozen_thresholds: bool = False
+    use_nonstationarity: bool = True
+    outliers: tuple[str, ...] = ("line_ratio_post", "ocular_index", "muscle_ratio", "nonstationarity_cv", "log_rms")
+
+    def __post_init__(self) -> None:
+        _require(len(set(self.outliers)) == len(self.outliers), "an outlier metric is named twice")
+
+    @property
+    def cohort_metrics(self) -> tuple[str, ...]:
+        """Metrics whose outliers in the cohort fail; nonstationarity only where it is in use."""
+        return tuple(m for m in self.outliers if self.use_nonstationarity or m != "nonstationarity_cv")
 
 
 @dataclass(frozen=True)
@@ -140,6 +150,7 @@ class Settings:
     quality: Quality = field(default_factory=Quality)
     inference: Inference = field(default_factory=Inference)
     mode: str = "integration"
+    expected_ids: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         _require(self.mode in ("integration", "research"), "the mode is integration or research")

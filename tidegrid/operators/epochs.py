@@ -47,3 +47,14 @@ def aggregate_epochs(df: DataFrame, keys: list[str], epoch: str, features: list[
     pick = F.median if how == "median" else F.avg
     quart = lambda f: F.percentile(f, F.lit(0.75)) - F.percentile(f, F.lit(0.25))
     return over_channels.groupBy(*keys).agg(*(pick(f).alias(f"p__{f}") for f in features), *(quart(f).alias(f"e__iqr_{f}") for f in features), F.count(F.lit(1)).alias("n_epochs"))
+
+
+def asymmetry(df: DataFrame, keys: list[str], epoch: str, channel: str, power: str, left, right, how: str = "median") -> DataFrame:
+    """(keys, n_epochs, asymmetry): median or mean over epochs of the log of the right channel's power less that of the left one.
+
+    An epoch that lacks one of the channels doesn't count; of several rows of a channel the largest power is taken.
+    """
+    side = lambda c: F.ln(F.max(F.when(F.col(channel) == c, F.col(power))) + TINY)
+    by = df.groupBy(*keys, epoch).agg((side(right) - side(left)).alias("__a"))
+    pick = F.median if how == "median" else F.avg
+    return by.groupBy(*keys).agg(F.count("__a").alias("n_epochs"), pick("__a").alias("asymmetry"))

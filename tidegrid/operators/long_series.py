@@ -59,7 +59,7 @@ def welch(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
     bins = segment // 2 + 1
     pieces = placed(df, keys, order, value, partitions, size)
     kinds = _arrow_kinds(pieces, keys)
-    layout = ", ".join([*_kinds(pieces, keys), "seg bigint", "k int", "n bigint", "s double", "re array<double>", "im array<double>"])
+    layout = ", ".join([*_kinds(pieces, keys), "__seg bigint", "__k int", "__n bigint", "__s double", "__re array<double>", "__im array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window = 0.5 - 0.5 * np.cos(2 * math.pi * np.arange(segment) / segment)
@@ -95,21 +95,21 @@ def welch(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
                     for column, v in zip(out, (*own, seg, int(j), n, s, wide(re), wide(im)), strict=True):
                         column.append(v)
             types = [*kinds, pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[*keys, "seg", "k", "n", "s", "re", "im"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[*keys, "__seg", "__k", "__n", "__s", "__re", "__im"])
 
     parts = pieces.select(*keys, "offset", "total", "x").mapInArrow(run, layout)
-    whole = parts.filter("seg < 0").select(*keys, "k", F.col("n").alias("count"), F.col("re").alias("p"))
-    cut = _sum_arrays(parts.filter("seg >= 0"), [*keys, "seg", "k"], {"re": 16, "im": 16}, ["n", "s"]).filter(F.col("n") == segment)
+    whole = parts.filter("__seg < 0").select(*keys, "__k", F.col("__n").alias("__count"), F.col("__re").alias("__p"))
+    cut = _sum_arrays(parts.filter("__seg >= 0"), [*keys, "__seg", "__k"], {"__re": 16, "__im": 16}, ["__n", "__s"]).filter(F.col("__n") == segment)
     # the mean is taken off afterwards: the window's own transform is real, at bins 0 and 1
-    effect = lambda j: F.when(F.col("k") + j == 0, segment / 2).when(F.col("k") + j == 1, -segment / 4).otherwise(0.0) * F.col("s") / segment
-    power = F.array(*((F.get("re", F.lit(j)) - effect(j)) * (F.get("re", F.lit(j)) - effect(j)) + F.get("im", F.lit(j)) * F.get("im", F.lit(j)) for j in range(16)))
-    every = whole.unionByName(cut.select(*keys, "k", F.lit(1).cast("bigint").alias("count"), power.alias("p")))
-    sums = _sum_arrays(every, [*keys, "k"], {"p": 16}, ["count"])
+    effect = lambda j: F.when(F.col("__k") + j == 0, segment / 2).when(F.col("__k") + j == 1, -segment / 4).otherwise(0.0) * F.col("__s") / segment
+    power = F.array(*((F.get("__re", F.lit(j)) - effect(j)) * (F.get("__re", F.lit(j)) - effect(j)) + F.get("__im", F.lit(j)) * F.get("__im", F.lit(j)) for j in range(16)))
+    every = whole.unionByName(cut.select(*keys, "__k", F.lit(1).cast("bigint").alias("__count"), power.alias("__p")))
+    sums = _sum_arrays(every, [*keys, "__k"], {"__p": 16}, ["__count"])
     scale = fs * segment * 0.375
     two = lambda i: F.when((i == 0) | (2 * i == segment), 1.0).otherwise(2.0)
-    density = F.transform("p", lambda v, j: v / F.col("count") / scale * two(F.col("k") + j))
-    ordered = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", density.alias("d")))), lambda x: x["d"]))
-    return sums.groupBy(*keys).agg(F.max("count").alias("n_segments"), F.slice(ordered, 1, bins).alias("density"))
+    density = F.transform("__p", lambda v, j: v / F.col("__count") / scale * two(F.col("__k") + j))
+    ordered = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__k", density.alias("d")))), lambda x: x["d"]))
+    return sums.groupBy(*keys).agg(F.max("__count").alias("n_segments"), F.slice(ordered, 1, bins).alias("density"))
 
 
 def lag_features(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, k_max: int = 10, partitions: int | None = None, size: int = PIECE) -> DataFrame:
@@ -117,9 +117,9 @@ def lag_features(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     the slope of Higuchi's curve lengths, as ``complexity`` has them for arrays."""
     keys, reach = list(keys), max(k_max, 2)
     pieces = placed(df, keys, order, value, partitions, size, reach)
-    spreads = [f"{s}{d}" for d in range(3) for s in ("w", "m", "q")]  # count, mean and squared distances of the values and their first two differences
-    names = [f"c{c}" for c in range(8)] + [f"l{k}_{m}" for k in range(1, k_max + 1) for m in range(k)]
-    layout = ", ".join([*_kinds(pieces, keys), "n bigint", "v array<double>"])
+    spreads = [f"__{s}{d}" for d in range(3) for s in ("w", "m", "q")]  # count, mean and squared distances of the values and their first two differences
+    names = [f"__c{c}" for c in range(8)] + [f"__l{k}_{m}" for k in range(1, k_max + 1) for m in range(k)]
+    layout = ", ".join([*_kinds(pieces, keys), "__n bigint", "__v array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,17 +141,17 @@ def lag_features(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
                     sums += np.bincount((place + ends) % k, np.abs(x[ends] - x[ends - k]), k).tolist()
                 sizes.append(len(x) - old)
                 found.append(sums)
-            yield pa.RecordBatch.from_arrays([*(at[k] for k in keys), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=[*keys, "n", "v"])
+            yield pa.RecordBatch.from_arrays([*(at[k] for k in keys), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=[*keys, "__n", "__v"])
 
     parts = pieces.select(*keys, "offset", "x", "__halo").mapInArrow(run, layout)
-    parts = parts.select(*keys, "n", *(F.get("v", F.lit(j)).alias(name) for j, name in enumerate(spreads + names)))
+    parts = parts.select(*keys, "__n", *(F.get("__v", F.lit(j)).alias(name) for j, name in enumerate(spreads + names)))
     own = Window.partitionBy(*keys)
-    middles = {f"a{d}": F.try_divide(F.sum(F.col(f"w{d}") * F.col(f"m{d}")).over(own), F.sum(f"w{d}").over(own)) for d in range(3)}
-    apart = lambda d: F.col(f"q{d}") + F.col(f"w{d}") * F.pow(F.col(f"m{d}") - F.col(f"a{d}"), 2)
-    sums = parts.withColumns(middles).groupBy(*keys).agg(F.sum("n").alias("n"), *(F.sqrt(F.try_divide(F.sum(apart(d)), F.sum(f"w{d}"))).alias(f"sd{d}") for d in range(3)), *(F.sum(c).alias(c) for c in names))
-    n, sd = F.col("n"), lambda d: F.col(f"sd{d}")
+    middles = {f"__a{d}": F.try_divide(F.sum(F.col(f"__w{d}") * F.col(f"__m{d}")).over(own), F.sum(f"__w{d}").over(own)) for d in range(3)}
+    apart = lambda d: F.col(f"__q{d}") + F.col(f"__w{d}") * F.pow(F.col(f"__m{d}") - F.col(f"__a{d}"), 2)
+    sums = parts.withColumns(middles).groupBy(*keys).agg(F.sum("__n").alias("n"), *(F.sqrt(F.try_divide(F.sum(apart(d)), F.sum(f"__w{d}"))).alias(f"__sd{d}") for d in range(3)), *(F.sum(c).alias(c) for c in names))
+    n, sd = F.col("n"), lambda d: F.col(f"__sd{d}")
     mobility = sd(1) / (sd(0) + TINY)
-    shares = [F.try_divide(F.col(f"c{c}"), n - 2) for c in range(8)]
+    shares = [F.try_divide(F.col(f"__c{c}"), n - 2) for c in range(8)]
     entropy = sum((F.when(p > 0, -p * F.ln(p)).otherwise(0.0) for p in shares), F.lit(0.0)) / math.log(6)
     points = [_curve(n, k) for k in range(1, k_max + 1)]
     return sums.select(*keys, "n", mobility.alias("mobility"), ((sd(2) / (sd(1) + TINY)) / (mobility + TINY)).alias("complexity"), F.when(n > 3, entropy).alias("perm_entropy"), _slope(points).alias("higuchi"))
@@ -162,7 +162,7 @@ def _curve(n: Column, k: int) -> tuple[float, Column]:
     lengths = []
     for m in range(k):
         count = F.floor((n - 1 - m) / k)  # steps of the curve that starts at m
-        lengths.append(F.when(count > 0, F.try_divide(F.col(f"l{k}_{m}") * (n - 1), count * k)))
+        lengths.append(F.when(count > 0, F.try_divide(F.col(f"__l{k}_{m}") * (n - 1), count * k)))
     some = sum((x.isNotNull().cast("int") for x in lengths), F.lit(0))
     mean = F.try_divide(sum((F.coalesce(x, F.lit(0.0)) for x in lengths), F.lit(0.0)), some)
     return -math.log(k), F.ln(mean + TINY)

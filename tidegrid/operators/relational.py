@@ -36,6 +36,14 @@ def cohort_audit(expected: DataFrame, observed: DataFrame, key: str) -> DataFram
     )
 
 
+def cohort_differences(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:
+    """(key, status): the ids that are missing from the observed ones, and those that nobody expected. Null ids aren't compared."""
+    a = expected.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("__e", F.lit(1))
+    b = observed.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("__o", F.lit(1))
+    status = F.when(F.col("__o").isNull(), "missing").when(F.col("__e").isNull(), "unexpected")
+    return a.join(b, key, "full_outer").select(key, status.alias("status")).filter("status is not null")
+
+
 def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFrame:
     """Counts by row and column value, zero where there is none."""
     return df.groupBy(rows).pivot(columns, list(values)).count().na.fill(0)

@@ -148,10 +148,10 @@ def c0(power: Column, n: int) -> Column:
     return total(rest) / (total(twice) + TINY)
 
 
-def line_check(power: Column, step: float, cfg: Acquisition, low: float = 35.0) -> Column:
-    """Where the strongest line between ``low`` and the upper end lies: struct(peak_hz, prominence, status, implied rates)."""
-    first = math.ceil(low / step - 1e-9)
-    logs = F.transform(F.slice(power, first + 1, F.greatest(F.size(power) - first, F.lit(0))), lambda p: F.log10(p + TINY))
+def line_check(power: Column, step: float, cfg: Acquisition, low: float = 35.0, high: float = 70.0) -> Column:
+    """Where the strongest line from ``low`` to ``high``, and to 1 Hz below half the sampling rate, lies: struct(peak_hz, prominence, status, implied rates)."""
+    first, last = math.ceil(low / step - 1e-9), math.floor(min(high, cfg.fs / 2 - 1) / step + 1e-9)
+    logs = F.transform(F.slice(power, first + 1, F.greatest(F.least(F.size(power), F.lit(last + 1)) - first, F.lit(0))), lambda p: F.log10(p + TINY))
     ordered = F.array_sort(logs)
     n = F.size(logs)
     middle = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2

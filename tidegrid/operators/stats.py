@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.expr import average_rank, normal_two_sided, number, safe_corr
+from tidegrid.sources.shared import written
 
 
 def long_features(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -26,23 +27,77 @@ def hedges_g(value: str, label: str) -> Column:
     return F.when((n1 >= 2) & (n0 >= 2), g)
 
 
+#: With a group of at most so many values, and no ties, the law of U is enumerated.
+FEW = 8
+
+
+def exact_u(n1: Column, n0: Column, u: Column) -> Column:
+    """Two-sided p of U without ties: twice the share of all orders with a U as far out.
+
+    The number of orders with each U are the coefficients of prod (1 - q^(n + i)) / (1 - q^i), i up to the smaller group's size k;
+    only those up to the smaller tail are made, in k steps. Meant for small k: the work is k times the tail.
+    """
+    k, n = F.least(n1, n0).cast("int"), F.greatest(n1, n0).cast("int")
+    tail = F.floor(F.least(u, (n1 * n0).cast("double") - u)).cast("int")
+    start = F.transform(F.sequence(F.lit(0), tail), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+
+    def step(ways: Column, i: Column) -> Column:
+        less = F.transform(ways, lambda w, s: w - F.when(s >= n + i, F.get(ways, s - n - i)).otherwise(0.0))
+        # dividing by 1 - q^i adds up every i-th coefficient
+        return F.aggregate(less, F.array().cast("array<double>"), lambda done, w: F.array_append(done, w + F.coalesce(F.get(done, F.size(done) - i), F.lit(0.0))))
+
+    ways = F.aggregate(F.sequence(F.lit(1), k), start, step)
+    orders = F.aggregate(F.sequence(F.lit(1), k), F.lit(1.0), lambda a, i: a * (n + i) / i)
+    return F.least(2 * F.aggregate(ways, F.lit(0.0), lambda a, w: a + w) / orders, F.lit(1.0))
+
+
 def mann_whitney(long: DataFrame, keys: Sequence[str], value: str, label: str) -> DataFrame:
-    """U of the group with label 1, its normal approximation with tie and continuity correction, and AUC."""
+    """U of the group with label 1, its two-sided p, and AUC.
+
+    p is exact where a group has FEW values or fewer and none are equal; else it is the normal approximation with tie and continuity correction.
+    """
     keys = list(keys)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    ranked = long.select(*keys, label, average_rank(value, keys).alias("__r"), ties.cast("double").alias("__t"))
-    by = ranked.groupBy(*keys).agg(
-        F.count_if(F.col(label) == 1).alias("n1"),
-        F.count_if(F.col(label) == 0).alias("n0"),
-        F.sum(F.when(F.col(label) == 1, F.col("__r"))).alias("__ranks"),
-        F.sum(F.col("__t") * F.col("__t") - 1).alias("__ties"),
-    )
+    by = rank_sums(long, keys, value, label)
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     n = n1 + n0
     u = F.col("__ranks") - n1 * (n1 + 1) / 2
     spread = F.sqrt(n1 * n0 / 12 * (n + 1 - F.try_divide(F.col("__ties"), n * (n - 1))))
     z = F.try_divide(F.greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5, F.nullif(spread, F.lit(0.0)))
-    return by.select(*keys, "n1", "n0", u.alias("u"), F.try_divide(u, n1 * n0).alias("auc"), normal_two_sided(F.greatest(z, F.lit(0.0))).alias("p"))
+    few = (F.col("__ties") == 0) & (F.least("n1", "n0") <= FEW) & (F.least("n1", "n0") > 0)
+    p = F.when(few, exact_u(F.col("n1"), F.col("n0"), u)).otherwise(normal_two_sided(F.greatest(z, F.lit(0.0))))
+    return by.select(*keys, "n1", "n0", u.alias("u"), F.try_divide(u, n1 * n0).alias("auc"), p.alias("p"))
+
+
+def running(points: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
+    """points with <sum>_before for each of ``sums``: its total over the rows of the same keys before it in the order.
+
+    Rows are dealt by ranges and written; totals of the ranges, one row for each range and key, are summed along, and inside a range its
+    own rows. So no key has to fit into a task, and a single key is spread like many.
+    """
+    keys = list(keys)
+    ranged = written(points.repartitionByRange(*keys, order).withColumn("__range", F.spark_partition_id()), "ranges")
+    ends = ranged.groupBy(*keys, "__range").agg(*(F.sum(s).alias(f"__{s}") for s in sums))
+    along = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "__range", *(F.coalesce(F.sum(f"__{s}").over(along), F.lit(0)).alias(f"__{s}") for s in sums))
+    own = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumns({f"{s}_before": F.coalesce(F.sum(s).over(own), F.lit(0)) for s in sums})
+    on = F.lit(True)
+    for k in (*keys, "__range"):
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    joined = inside.alias("a").join(ends.alias("b"), on)
+    return joined.select(*(f"a.{c}" for c in points.columns), *((F.col(f"a.{s}_before") + F.col(f"b.__{s}")).alias(f"{s}_before") for s in sums))
+
+
+def rank_sums(long: DataFrame, keys: Sequence[str], value: str, label: str) -> DataFrame:
+    """(keys, n1, n0, __ranks, __ties): sizes of the groups, the sum of mean ranks of label 1, and the sum of t^2 - 1 over the rows with t equal values.
+
+    Rows are counted by value first; ranks are running sums over ranges of the values.
+    """
+    one, zero = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
+    points = long.groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__t"), one.alias("__one"), zero.alias("__zero"))
+    ranked = running(points, keys, "__v", ["__t"]).withColumn("__r", F.col("__t_before") + (F.col("__t") + 1) / F.lit(2.0))
+    t = F.col("__t").cast("double")
+    return ranked.groupBy(*keys).agg(F.sum("__one").alias("n1"), F.sum("__zero").alias("n0"), F.sum(F.when(F.col("__one") > 0, F.col("__one") * F.col("__r"))).alias("__ranks"), F.sum(t * (t * t - 1)).alias("__ties"))
 
 
 def bh_fdr(df: DataFrame, p: str, out: str = "p_fdr", by: Sequence[str] = ()) -> DataFrame:
@@ -131,11 +186,10 @@ def threshold_metrics(df: DataFrame, label: str, score: str, threshold: float) -
 
 def average_precision(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
     """Sum over distinct scores, falling, of the recall gained times the precision there. Ties share one point."""
-    points = df.groupBy(*keys, score).agg(F.sum(label).alias("__pos"), F.count(F.lit(1)).alias("__n"))
-    down = Window.partitionBy(*keys).orderBy(F.col(score).desc())
-    whole = Window.partitionBy(*keys)
-    curve = points.withColumns({"__tp": F.sum("__pos").over(down), "__all": F.sum("__n").over(down), "__p": F.sum("__pos").over(whole)})
-    return curve.groupBy(*keys).agg(F.sum(F.try_divide(F.col("__pos"), F.col("__p")) * F.col("__tp") / F.col("__all")).alias("average_precision"))
+    points = df.groupBy(*keys, (-F.col(score)).alias("__down")).agg(F.sum(label).alias("__pos"), F.count(F.lit(1)).alias("__n"))
+    curve = running(points, keys, "__down", ["__pos", "__n"])
+    precision = (F.col("__pos_before") + F.col("__pos")) / (F.col("__n_before") + F.col("__n"))
+    return curve.groupBy(*keys).agg(F.try_divide(F.sum(F.col("__pos") * precision), F.sum("__pos").cast("double")).alias("average_precision"))
 
 
 def hash_int(*parts: Column) -> Column:
@@ -148,8 +202,10 @@ def permutation_auc(df: DataFrame, key: str, label: str, score: str, n: int) ->
 
     Every row is repeated for each permutation and permutations are ranked apart, so the work is n independent tasks.
     """
-    base = df.select(key, label, average_rank(score).alias("__r"))
-    base = base.withColumns({"__n": F.count(F.lit(1)).over(Window.partitionBy()), "__n1": F.sum(label).over(Window.partitionBy())})
+    points = running(df.groupBy(score).agg(F.count(F.lit(1)).alias("__t")), [], score, ["__t"])
+    ranks = points.select(score, (F.col("__t_before") + (F.col("__t") + 1) / F.lit(2.0)).alias("__r"))
+    sizes = df.agg(F.count(F.lit(1)).alias("__n"), F.sum(label).alias("__n1"))
+    base = df.select(key, label, score).join(ranks, score).drop(score).join(F.broadcast(sizes))  # one row
     many = base.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n))))
     place = F.row_number().over(Window.partitionBy("perm").orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("perm").cast("string"))), key))
     chosen = F.when(F.col("perm") == 0, F.col(label) == 1).otherwise(F.col("__place") <= F.col("__n1"))

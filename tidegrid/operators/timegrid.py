@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.config import TINY, Temporal
-from tidegrid.functions.expr import average_rank, js_divergence, log2_ratio, safe_corr, total
+from tidegrid.functions.expr import average_rank, js_divergence, log2_ratio, number, safe_corr, total
+from tidegrid.operators.intervals import interval_join
+from tidegrid.sources.shared import written
 
 
 def sample_block(position: Column, size: int) -> Column:
@@ -58,11 +60,26 @@ def median_profile(blocks: DataFrame, keys: Sequence[str], width: int, profile:
     return blocks.groupBy(*keys).agg(F.array(*parts).alias(out))
 
 
-def cohort_reference(blocks: DataFrame, entity: str, block: str, cfg: Temporal, width: int) -> DataFrame:
+def record_ends(blocks: DataFrame, entity: str, block: str, most: int, width: int = 0) -> DataFrame:
+    """(entity, n_blocks, first_block, last_block, k, end_rms[, end_prof]): each record's extent, and the medians over its last k blocks.
+
+    Only the last few blocks of each task and entity are shuffled, and one row of counts; the rest of the blocks stays where it is.
+    """
+    facts = blocks.groupBy(entity).agg(F.count(F.lit(1)).alias("n_blocks"), F.min(block).alias("first_block"), F.max(block).alias("last_block"))
+    facts = facts.withColumn("k", F.greatest(F.lit(2), F.least(F.lit(most), F.floor(F.col("n_blocks") / 2).cast("int"))))
+    back = F.row_number().over(Window.partitionBy(entity).orderBy(F.col(block).desc()))
+    last = blocks.select(entity, "rms", *(["prof"] if width else []), back.alias("__back")).filter(F.col("__back") <= max(most, 2))
+    medians = [F.median("rms").alias("end_rms")]
+    if width:
+        medians.append(F.array(*(F.median(F.get("prof", F.lit(i))) for i in range(width))).alias("end_prof"))
+    ends = last.join(facts, entity).filter(F.col("__back") <= F.col("k"))
+    return ends.groupBy(entity, "n_blocks", "first_block", "last_block", "k").agg(*medians)
+
+
+def cohort_reference(blocks: DataFrame, entity: str, block: str, cfg: Temporal, width: int, ends: DataFrame | None = None) -> DataFrame:
     """One row: the element-wise median over entities of their terminal median profiles, scaled to sum 1 (equal shares if zero)."""
-    tails = terminal(blocks, entity, block, cfg.terminal_blocks).filter("n_blocks >= 4")
-    own = median_profile(tails, [entity], width)
-    pooled = own.agg(F.array(*(F.median(F.get("median_prof", F.lit(i))) for i in range(width))).alias("raw"))
+    ends = record_ends(blocks, entity, block, cfg.terminal_blocks, width) if ends is None else ends
+    pooled = ends.filter("n_blocks >= 4").agg(F.array(*(F.median(F.get("end_prof", F.lit(i))) for i in range(width))).alias("raw"))
     even = F.array(*[F.lit(1.0 / width)] * width)
     return pooled.select(F.when(total(F.col("raw")) > 0, F.transform("raw", lambda x: F.try_divide(x, total(F.col("raw"))))).otherwise(even).alias("ref"))
 
@@ -70,20 +87,20 @@ def cohort_reference(blocks: DataFrame, entity: str, block: str, cfg: Temporal,
 def block_stability(blocks: DataFrame, entity: str, block: str, cfg: Temporal, width: int, use_profile: bool = True) -> DataFrame:
     """Each block with its deviations from the end of its record and from the reference profile, and whether it is stable.
 
-    The cohort's reference is a single row, broadcast; everything else is partitioned by entity. In self mode the reference is the
-    median of the record's own last blocks.
+    The ends of the records, a row for each, are found in one pass and written; the blocks are then shuffled once, to meet them. The
+    cohort's reference, from the same ends, is a single row, broadcast. In self mode the reference is the median of the record's own last
+    blocks.
     """
-    ends = terminal(blocks, entity, block, cfg.terminal_blocks).groupBy(entity).agg(F.median("rms").alias("end_rms"), F.max("k").alias("k"), F.max("n_blocks").alias("n_blocks"))
-    joined = blocks.join(ends, entity)
+    ends = written(record_ends(blocks, entity, block, cfg.terminal_blocks, width if use_profile else 0), "record-ends")
+    joined = blocks.join(ends.drop("first_block", "last_block"), entity)
     dev = F.abs(log2_ratio(F.col("rms"), F.col("end_rms")))
     stable = dev <= cfg.tol_log2
     if use_profile:
         if cfg.reference == "self":
-            own = median_profile(terminal(blocks, entity, block, cfg.terminal_blocks), [entity], width, out="ref")
-            joined = joined.join(own, entity)
+            joined = joined.withColumn("ref", F.col("end_prof"))
         else:
-            joined = joined.join(F.broadcast(cohort_reference(blocks, entity, block, cfg, width)))
-        joined = joined.withColumn("dev_js", js_divergence(F.col("prof"), F.col("ref"))).drop("ref")
+            joined = joined.join(F.broadcast(cohort_reference(blocks, entity, block, cfg, width, ends)))
+        joined = joined.withColumn("dev_js", js_divergence(F.col("prof"), F.col("ref"))).drop("ref", "end_prof")
         stable = stable & (F.col("dev_js") <= cfg.tol_js)
     return joined.withColumn("dev_log2", dev).withColumn("stable", stable)
 
@@ -94,6 +111,8 @@ def settling_time(stability: DataFrame, entity: str, block: str) -> DataFrame:
     flagged = stability.withColumn("__bad", F.coalesce(bad, F.lit(-1)))
     grouped = flagged.groupBy(entity).agg(
         F.count(F.lit(1)).alias("n_blocks"),
+        F.min(block).alias("first_block"),
+        F.max(block).alias("last_block"),
         F.avg(F.col("stable").cast("double")).alias("frac_stable"),
         F.min(F.when(F.col(block) > F.col("__bad"), F.col(block))).alias("first_stable"),
     )
@@ -108,6 +127,23 @@ def trend(df: DataFrame, entity: str, x: str, y: str) -> DataFrame:
     return ranked.groupBy(entity).agg(safe_corr("__x", "__y").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
+def protocol_subjects(settled: DataFrame, subject: str, duration: str, cfg: Temporal) -> DataFrame:
+    """(subject, duration, eligible): whose recordings are long enough for the protocol, and whose are left out as too short."""
+    least = cfg.fixed_skip + cfg.fixed_window if cfg.mode == "fixed" else cfg.min_seconds
+    return settled.select(subject, duration, F.coalesce(F.col(duration) >= least, F.lit(False)).alias("eligible"))
+
+
+def settling_figures(settled: DataFrame, settling: str, duration: str, spans: str, cfg: Temporal) -> DataFrame:
+    """One row on the eligible records of a derived protocol: median and maximum of their settling, and how many drift over the whole record.
+
+    A fixed protocol looks at no settling: the first two are null and the count is 0.
+    """
+    if cfg.mode == "fixed":
+        return settled.agg(F.lit(None).cast("double").alias("settle_median"), F.lit(None).cast("double").alias("settle_max"), F.lit(0).cast("bigint").alias("n_drift_spans_record"))
+    eligible = settled.filter(F.col(duration) >= cfg.min_seconds)
+    return eligible.agg(F.median(number(F.col(settling))).alias("settle_median"), F.max(number(F.col(settling))).alias("settle_max"), F.count_if(F.coalesce(F.col(spans), F.lit(False))).alias("n_drift_spans_record"))
+
+
 def temporal_protocol(settled: DataFrame, settling: str, duration: str, cfg: Temporal) -> DataFrame:
     """One row: the skip and the analysis windows that follow from the whole cohort, or the fixed window's."""
     if cfg.mode == "fixed":
@@ -140,8 +176,9 @@ def temporal_protocol(settled: DataFrame, settling: str, duration: str, cfg: Tem
 
 
 def cut_windows(samples: DataFrame, windows: DataFrame, t: str) -> DataFrame:
-    """Samples with the window [start, start + length) that holds them; the windows are a protocol's few rows."""
-    return samples.join(F.broadcast(windows), (F.col(t) >= F.col("start")) & (F.col(t) < F.col("start") + F.col("length")))
+    """Samples with every window [start, start + length) that holds them; of any number, common to all subjects."""
+    ends = windows.withColumn("__end", F.col("start") + F.col("length"))
+    return interval_join(samples, ends, t, "start", "__end").drop("__end")
 
 
 def edge_trim(df: DataFrame, keys: Sequence[str], order: str, k: int) -> DataFrame:

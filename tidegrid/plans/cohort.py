@@ -14,12 +14,11 @@ from tidegrid.operators.quality import Rule
 from tidegrid.sources import metadata, signals, sinks
 
 WIDTH = len(PROFILE_BANDS)
-OUTLIERS = ("line_ratio_post", "ocular_index", "muscle_ratio", "nonstationarity_cv", "log_rms")
 
 
 def rules_of(cfg: Settings) -> list[Rule]:
     q = cfg.quality
-    return [
+    rules = [
         Rule("line_ratio_post", q.line),
         Rule("ocular_index", q.ocular),
         Rule("muscle_ratio", q.muscle),
@@ -28,6 +27,7 @@ def rules_of(cfg: Settings) -> list[Rule]:
         Rule("saturation_fraction", q.saturation),
         Rule("min_channel_corr", q.min_corr, above=False),
     ]
+    return [r for r in rules if q.use_nonstationarity or r.metric != "nonstationarity_cv"]
 
 
 def settle(analysed: DataFrame, cfg: Settings) -> DataFrame:
@@ -66,14 +66,17 @@ def run(spark: SparkSession, signal_dir: str, sheet: str, out: str, cfg: Setting
     sinks.write_table(settle(good, cfg), out, "temporal_settling")
     settled = spark.read.parquet(f"{out}/temporal_settling")
     protocol = timegrid.temporal_protocol(settled, "settling_time_s", "duration_s", cfg.temporal)
-    sinks.write_table(protocol, out, "protocol")
+    figures = timegrid.settling_figures(settled, "settling_time_s", "duration_s", "drift_spans_record", cfg.temporal)
+    sinks.write_table(protocol.join(F.broadcast(figures)), out, "protocol")  # one row each
+    sinks.write_table(timegrid.protocol_subjects(settled, "subject_id", "duration_s", cfg.temporal), out, "protocol_subjects")
     windows = windows_of(spark.read.parquet(f"{out}/protocol"))
 
     metrics = good.select("subject_id", "source_name", "task", "n_samples", "duration_s", *(c.split()[0] for c in recordings.QC.split(", ")))
-    judged = quality.decide(quality.with_mad_z(metrics, OUTLIERS), rules_of(cfg), OUTLIERS, cfg.quality.mad_z)
+    outliers = cfg.quality.cohort_metrics
+    judged = quality.decide(quality.with_mad_z(metrics, outliers), rules_of(cfg), outliers, cfg.quality.mad_z)
     sinks.write_table(judged, out, "subject_qc")
     judged = spark.read.parquet(f"{out}/subject_qc")
-    sinks.write_table(quality.distribution(judged, rules_of(cfg), OUTLIERS, cfg.quality.mad_z), out, "qc_distribution")
+    sinks.write_table(quality.distribution(judged, rules_of(cfg), outliers, cfg.quality.mad_z), out, "qc_distribution")
     sinks.write_table(good.select("subject_id", *(c.split()[0] for c in recordings.FS_CHECK.split(", "))), out, "sampling_rate_verification")
 
     eligible = good.filter(F.col("duration_s") >= cfg.temporal.min_seconds)
@@ -86,7 +89,9 @@ def run(spark: SparkSession, signal_dir: str, sheet: str, out: str, cfg: Setting
     merged = spark.read.parquet(f"{out}/features_primary_window")
 
     stage = lambda df, name: df.select("subject_id", F.lit(name).alias("stage"), "error")
-    quarantined = signals.discover(spark, signal_dir).filter("status = 'quarantined'").select(F.col("source_name").alias("subject_id"), F.lit("filename").alias("stage"), F.lit("name not accepted").alias("error"))
+    sinks.write_table(signals.discover(spark, signal_dir).select("source_name", "subject_id", "task", "status", "sha256"), out, "input_files")
+    files = spark.read.parquet(f"{out}/input_files")
+    quarantined = files.filter("status = 'quarantined'").select(F.col("source_name").alias("subject_id"), F.lit("filename").alias("stage"), F.lit("name not accepted").alias("error"))
     failures = quarantined.unionByName(stage(analysed.filter("error is not null"), "read_or_profile")).unionByName(every.filter("error is not null").select("subject_id", F.concat(F.lit("features_"), "window_key").alias("stage"), "error"))
     sinks.write_table(failures, out, "failures")
     failures = spark.read.parquet(f"{out}/failures")
@@ -95,7 +100,9 @@ def run(spark: SparkSession, signal_dir: str, sheet: str, out: str, cfg: Setting
     counts = {r.label: r["count"] for r in analytic.groupBy("label").count().collect()}
     n = sum(counts.values())
     blocked = blocked_reasons(n, len(counts), min(counts.values(), default=0), cfg.mode, cfg.inference.min_subjects)
-    audit = relational.cohort_audit(people, analysed, "subject_id").first().asDict()
+    expected = spark.createDataFrame([(i,) for i in cfg.expected_ids], "subject_id string") if cfg.expected_ids else people
+    audit = relational.cohort_audit(expected, analysed, "subject_id").first().asDict() | {"expected_declared": bool(cfg.expected_ids)}
+    sinks.write_table(relational.cohort_differences(expected, analysed, "subject_id"), out, "cohort_differences")
     summary = {
         "settings": cfg.fingerprint(),
         "n_recordings": analysed.count(),
@@ -113,7 +120,10 @@ def run(spark: SparkSession, signal_dir: str, sheet: str, out: str, cfg: Setting
         others = every.filter("error is null").drop("error").join(analytic.select("subject_id", "label"), "subject_id")
         summary["analysis"] = analyse_groups(analytic, others, out, cfg)
     sinks.write_json(spark, summary, out, "run_summary")
-    sinks.write_json(spark, sinks.manifest(cfg.fingerprint()), out, "manifest")
+    # one digest of all inputs, whatever their order: the sum of 60 bits of each file's name and content
+    bits = F.conv(F.substring(F.sha2(F.concat_ws(":", "source_name", "sha256"), 256), 1, 15), 16, 10)
+    digest = str(files.agg(F.sum(bits.cast("decimal(38,0)")).alias("d")).first().d)
+    sinks.write_json(spark, sinks.manifest(cfg.fingerprint()) | {"inputs": digest}, out, "manifest")
     return summary
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators import intervals, long_series, panes, resampling, selection, stats
+from tidegrid.operators import comoments, intervals, long_series, panes, resampling, selection, stats
 from tidegrid.plans.bindings import activity, labelled, table
 from tidegrid.plans.q_stats import LAB_SQL
 from tidegrid.plans.q_time import rounded
@@ -128,5 +128,14 @@ kk AS (SELECT unnest(range(1, 6)) AS k), hs AS (SELECT user_id, k, i % k AS m, n
 hl AS (SELECT user_id, k, m, sum(s) * (any_value(n) - 1) / (count(*) - 1) / k AS len FROM hs GROUP BY 1, 2, 3 HAVING count(*) > 1), ha AS (SELECT user_id, k, ln(avg(len) + 1e-30) AS y, ln(1.0 / k) AS x FROM hl GROUP BY 1, 2), hf AS (SELECT user_id, regr_slope(y, x) AS fd FROM ha GROUP BY 1)
 SELECT hj.user_id, n, round(s1 / (s0 + 1e-30), 6) AS mobility, round((s2 / (s1 + 1e-30)) / (s1 / (s0 + 1e-30) + 1e-30), 6) AS complexity, round(perm_entropy, 6) AS perm_entropy, round(fd, 6) AS higuchi FROM hj JOIN pe USING (user_id) JOIN hf USING (user_id)"""
 
+
+def q84_channel_correlations(spark, d):
+    """The smallest of the 2016 correlations of two of the 64 channels of the embeddings of a label."""
+    return rounded(comoments.smallest_correlation(table(spark, d, "embeddings"), ["label"], "embedding", 64), "min_corr")
+
+
+Q84 = """WITH x AS (SELECT vec_id, label, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), c AS (SELECT a.label, a.i, b.i AS j, count(*) AS n, corr(a.v, b.v) AS r FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2, 3)
+SELECT label, any_value(n) AS n, round(min(r), 6) AS min_corr, count(r) AS n_pairs FROM c GROUP BY 1"""
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "q" and n[1:3].isdigit()}
 SQL = {n: globals()[f"Q{n[1:3]}"] for n in QUERIES}

@@ -181,7 +181,7 @@ def q64_fs_check(spark, d):
     return rounded(found.select("vec_id", "c.peak_hz", "c.prominence", "c.status", F.get("c.implied_fs", F.lit(1)).alias("implied_60")), "prominence", "implied_60")
 
 
-Q64 = f"""WITH {PSD_SQL}, h AS (SELECT vec_id, f, log10(p + 1e-30) AS y FROM psd WHERE f >= 35), r AS (SELECT vec_id, f, y, median(y) OVER (PARTITION BY vec_id) AS m, row_number() OVER (PARTITION BY vec_id ORDER BY y DESC, f) AS n FROM h)
+Q64 = f"""WITH {PSD_SQL}, h AS (SELECT vec_id, f, log10(p + 1e-30) AS y FROM psd WHERE f >= 35 AND f <= 63), r AS (SELECT vec_id, f, y, median(y) OVER (PARTITION BY vec_id) AS m, row_number() OVER (PARTITION BY vec_id ORDER BY y DESC, f) AS n FROM h)
 SELECT vec_id, f AS peak_hz, round(y - m, 6) AS prominence, CASE WHEN y - m < {MAINS.mains_prominence} THEN 'no_line_peak_detected_inconclusive' WHEN {_NEAR} THEN 'line_peak_at_expected_frequency' ELSE 'line_peak_at_unexpected_frequency' END AS status,
 CASE WHEN y - m >= {MAINS.mains_prominence} THEN round({FS * MAINS.mains_hz[1]} / f, 6) END AS implied_60 FROM r WHERE n = 1"""
 

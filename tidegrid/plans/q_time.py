@@ -194,7 +194,7 @@ def stability(spark, d, cfg=CFG):
 
 
 def q14_settling_time(spark, d):
-    return rounded(timegrid.settling_time(stability(spark, d), "user_id", "block"), "frac_stable")
+    return rounded(timegrid.settling_time(stability(spark, d), "user_id", "block").drop("first_block", "last_block"), "frac_stable")
 
 
 STABLE_SQL = f"""endrms AS (SELECT user_id, median(rms) AS end_rms, max(n_blocks) AS n_blocks FROM tail GROUP BY 1),
@@ -227,9 +227,8 @@ SELECT user_id, round(ra.rho, 6) AS rho_all, round(rt.rho, 6) AS rho_tail, coale
 
 def settled_durations(spark, d):
     """Settling time and length of each user's record, in seconds since its first day."""
-    settled = timegrid.settling_time(stability(spark, d, PROTOCOL), "user_id", "block")
-    span = activity(spark, d).groupBy("user_id").agg(((F.max("block") - F.min("block") + 1) * DAY).alias("duration"), F.min("block").alias("first_block"))
-    return settled.join(span, "user_id").withColumn("settling", (F.col("first_stable") - F.col("first_block")) * DAY)
+    found = timegrid.settling_time(stability(spark, d, PROTOCOL), "user_id", "block")
+    return found.withColumns({"duration": (F.col("last_block") - F.col("first_block") + 1) * DAY, "settling": (F.col("first_stable") - F.col("first_block")) * DAY})
 
 
 def q16_temporal_protocol(spark, d):
