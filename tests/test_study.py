@@ -58,11 +58,16 @@ def test_whole_study(spark, folder, tmp_path):
     summary = cohort.run(spark, str(folder / "signals"), str(folder / "meta.csv"), str(tmp_path), cfg)
     assert summary["n_excluded_short"] == 1 and summary["n_with_features"] == 4 and summary["n_unmatched"] == 0
     assert "integration mode" in summary["blocked"] and summary["failures"]["filename"] == 1 and summary["failures"]["read_or_profile"] == 3
-    assert summary["audit"]["n_missing"] == 1
+    assert summary["audit"]["n_missing"] == 1 and not summary["audit"]["expected_declared"]
+    assert {(r.subject_id, r.status) for r in spark.read.parquet(f"{tmp_path}/cohort_differences").filter("status = 'missing'").collect()} == {("02010077", "missing")}
+    assert {len(r.sha256) for r in spark.read.parquet(f"{tmp_path}/input_files").collect()} == {64}
+    protocol = spark.read.parquet(f"{tmp_path}/protocol").first()
+    assert protocol.n_drift_spans_record >= 0 and protocol.settle_max >= protocol.settle_median
+    assert spark.read.parquet(f"{tmp_path}/protocol_subjects").filter("not eligible").count() == 1
     starts = [s for _, s, _ in summary["windows"]]
     lengths = [n for _, _, n in summary["windows"]]
     assert all(a + n <= b for a, n, b in zip(starts, lengths, starts[1:], strict=False)) and starts[0] >= 30
-    for name in ("failures", "features_primary_window", "subject_qc", "qc_distribution", "temporal_settling", "protocol", "sampling_rate_verification"):
+    for name in ("failures", "features_primary_window", "subject_qc", "qc_distribution", "temporal_settling", "protocol", "protocol_subjects", "input_files", "cohort_differences", "sampling_rate_verification"):
         assert spark.read.parquet(f"{tmp_path}/{name}").columns and os.listdir(f"{tmp_path}/{name}_csv")
     assert json.loads("".join(r.value for r in spark.read.text(f"{tmp_path}/run_summary").collect()))["n_recordings"] == 8
     alpha = spark.read.parquet(f"{tmp_path}/features_primary_window").select("p__alpha_peak_hz").collect()

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tidegrid.config import Acquisition
 from tidegrid.operators import epochs, relational, spectral, stats, timegrid
 from tidegrid.plans.bindings import labelled, table
 from tidegrid.plans.q_signal import PSD_SQL, STEP, share_sql, spectra
 from tidegrid.plans.q_stats import LAB_SQL, two_sided_sql
 from tidegrid.plans.q_time import CHAIN, PROTOCOL, _CORR, profiles, rank_sql, rounded, settled_durations
+from tidegrid.sources import split_text
+from tidegrid.sources.shared import shared_dir
 
 
 def q79_cohort_differences(spark, d):
@@ -90,5 +95,34 @@ def q83_alpha_asymmetry(spark, d):
 Q83 = f"""WITH {PSD_SQL}, a AS (SELECT vec_id, label, sum(p) AS a FROM psd WHERE f >= 8 AND f < 13 GROUP BY 1, 2), e AS (SELECT label, vec_id // 3 AS epoch, max(a) FILTER (vec_id % 3 = 0) AS l, max(a) FILTER (vec_id % 3 = 2) AS r FROM a GROUP BY 1, 2)
 SELECT label, count(ln(r) - ln(l)) AS n_epochs, round(median(ln(r + 1e-30) - ln(l + 1e-30)), 6) AS asymmetry FROM e GROUP BY 1"""
 
+SERIES = 5
+
+
+def event_files(spark, d) -> str:
+    """The events as text recordings of three channels, one file for each fifth of the users, and one whose every seventh line is short."""
+    events = table(spark, d, "events").withColumn("series", F.concat(F.lit("s"), (F.col("user_id") % SERIES).cast("string")))
+    kind = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.col("event_type"))
+    line = F.concat_ws(" ", F.col("event_id").cast("string"), F.round(F.col("value") * 100).cast("bigint").cast("string"), kind.cast("string"))
+    whole = events.select("series", "ts", "event_id", line.alias("value"))
+    short = events.filter("user_id % 5 = 3").select(F.lit("torn").alias("series"), "ts", "event_id", F.when(F.col("event_id") % 7 == 0, F.col("event_id").cast("string")).otherwise(line).alias("value"))
+    path = f"{shared_dir(spark)}/event-files-{uuid.uuid4().hex}"
+    whole.unionByName(short).repartition("series").sortWithinPartitions("series", "ts", "event_id").select("series", "value").write.partitionBy("series").text(path)
+    return path
+
+
+def q85_split_text(spark, d):
+    """Recordings written as text and read back in splits: what was read, and what was refused for which line."""
+    folder_name = lambda path: F.regexp_extract(path, "series=([^/]+)", 1)
+    cfg = Acquisition(fs=1.0, channels=("id", "cents", "kind"), container_bits=32, max_seconds=1e12)
+    samples, reports = split_text.read_split(spark, event_files(spark, d), cfg, name=folder_name, named=False)
+    x = lambda j: F.get("x", F.lit(j)).cast("bigint")
+    sums = samples.groupBy("source_name").agg(F.sum(x(0)).alias("ids"), F.sum(x(1)).alias("cents"), F.sum(F.col("i") * x(0)).alias("placed_ids"), F.max("i").alias("last"))
+    return reports.join(sums, "source_name", "left").select("source_name", "n_samples", "ids", "cents", "placed_ids", "last", "error")
+
+
+Q85 = f"""WITH e AS (SELECT 's' || (user_id % {SERIES}) AS s, event_id, CAST(round(value * 100) AS BIGINT) AS cents, row_number() OVER (PARTITION BY user_id % {SERIES} ORDER BY ts, event_id) - 1 AS i FROM events)
+SELECT s AS source_name, count(*) AS n_samples, CAST(sum(event_id) AS BIGINT) AS ids, CAST(sum(cents) AS BIGINT) AS cents, CAST(sum(i * event_id) AS BIGINT) AS placed_ids, max(i) AS last, NULL AS error FROM e GROUP BY 1
+UNION ALL SELECT 'torn', NULL, NULL, NULL, NULL, NULL, 'line ' || (min(i) FILTER (event_id % 7 = 0) + 1) || ': expected 3 columns' FROM e WHERE s = 's3'"""
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "q" and n[1:3].isdigit()}
 SQL = {n: globals()[f"Q{n[1:3]}"] for n in QUERIES}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,10 @@ RECORDING = f"subject_id string, task string, source_name string, {REPORT}, data
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     """Every .txt file with its parsed name, its status (valid or quarantined) and the SHA-256 of its content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+    # scans skip empty files; the listing that every read makes has them
+    listed = spark.createDataFrame([(unquote(re.sub("^file:/+", "file:/", p)),) for p in files.inputFiles()], "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content"))
+    files = files.select("path", "content").unionByName(empty)
     name = F.element_at(F.split("path", "/"), -1)
     parsed = parse_name(name)
     return files.select("path", name.alias("source_name"), *(c.alias(n) for n, c in parsed.items()), quarantine(name).alias("status"), F.sha2("content", 256).alias("sha256"), "content")

@@ -13,16 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a report that one task writes as one CSV file.
+ONE_FILE = 200_000
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Arrays and structs as JSON text, for formats that have none."""
     return df.select(*(F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes))
 
 
 def write_table(df: DataFrame, folder: str, name: str, csv: bool = True) -> None:
-    """Parquet, and beside it CSV with a header; a report table is small enough for one file."""
+    """Parquet, and beside it CSV with a header: one file for up to ONE_FILE rows, as many as there are parts beyond."""
     df.write.mode("overwrite").parquet(f"{folder}/{name}")
     if csv:
-        flat(df.sparkSession.read.parquet(f"{folder}/{name}")).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}_csv")
+        rows = flat(df.sparkSession.read.parquet(f"{folder}/{name}"))
+        rows = rows.coalesce(1) if rows.count() <= ONE_FILE else rows
+        rows.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}_csv")
 
 
 def as_json(value) -> str:
