@@ -135,8 +135,8 @@ def test_the_fit_sees_the_whole_text():
     odd = [f"word{i} Mixed{i}Case stuff and more plain words to fill the window up to its end so that the next one begins later on" for i in range(60)]
     text = " ".join([*odd, "password = hunter2hunter2x"])
     spans = [(text.index("hunter2"), len(text))]
-    _, tags, lengths = secrets.training_windows([(text, spans)])
-    assert (tags != secrets.O).any() and len(lengths) <= secrets.PLAIN_WINDOWS + 2
-    few, _, _ = secrets.training_windows([(" ".join(odd[:20]), [])])
-    many, _, _ = secrets.training_windows([(" ".join(odd), [])])
-    assert len(few) == len(many) == secrets.PLAIN_WINDOWS
+    _, tags, lengths = S.training_windows([(text, spans)])
+    assert (tags != S.O).any() and len(lengths) <= S.PLAIN_WINDOWS + 2
+    few, _, _ = S.training_windows([(" ".join(odd[:20]), [])])
+    many, _, _ = S.training_windows([(" ".join(odd), [])])
+    assert len(few) == len(many) == S.PLAIN_WINDOWS
