@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.config import Inference, check_model_columns
-from tidegrid.functions.expr import normal_two_sided
+from tidegrid.functions.expr import finite, normal_two_sided
 from tidegrid.operators.stats import bh_fdr
+from tidegrid.sources.shared import written
 
 #: Values of a feature matrix that may be broadcast; a larger cohort is refused (pyspark.ml fits those).
 MOST_VALUES = 20_000_000
@@ -132,37 +133,61 @@ def permutation_test(aucs: DataFrame) -> DataFrame:
     return null.agg(F.count(F.lit(1)).alias("n_permutations"), F.max("observed").alias("observed_auc"), F.avg("auc").alias("null_mean"), F.stddev_samp("auc").alias("null_sd"), F.percentile("auc", F.lit(0.95)).alias("null_p95"), ((F.count_if(F.col("auc") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 
-def adjusted_logit(long: DataFrame, label: str, covariates: Sequence[str], least: int = 20) -> DataFrame:
+def _newton_sums(rows: DataFrame, width: int) -> DataFrame:
+    """(feature, g0.., h0_0..): slope and curvature of the log likelihood at each row's weights ``w``, added up by feature."""
+    x = lambda i: F.get("x", F.lit(i))
+    score = sum((x(i) * F.get("w", F.lit(i)) for i in range(width)), F.lit(0.0))
+    placed = rows.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.least(score, F.lit(35.0)), F.lit(-35.0)))))
+    off, curve = F.col("y") - F.col("p"), F.col("p") * (1 - F.col("p"))
+    sums = [F.sum(off * x(i)).alias(f"g{i}") for i in range(width)] + [F.sum(curve * x(i) * x(j)).alias(f"h{i}_{j}") for i in range(width) for j in range(i, width)]
+    return placed.groupBy("feature").agg(*sums)
+
+
+def adjusted_logit(long: DataFrame, label: str, covariates: Sequence[str], least: int = 20, rounds: int = 100) -> DataFrame:
     """Per feature: a logistic model of the label on the z-scored value and covariates; odds ratio per deviation, CI, p and FDR.
 
-    Each feature is one group of the subjects' rows; a model that can't be fitted gives its error.
+    Every Newton step is one aggregation of sums of products over all rows, combined before the shuffle; the driver holds a few numbers
+    for each feature and solves its small system. A model that can't be fitted gives its error.
     """
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        feature, out = group["feature"].iloc[0], {"n": 0, "beta": None, "se": None, "error": None}
-        rows = group[["value", label, *covariates]].dropna()
-        out["n"] = len(rows)
-        try:
-            if len(rows) < least:
-                raise ValueError("too few subjects")
-            x = rows[["value", *covariates]].to_numpy(float)
-            x = np.column_stack([(x - x.mean(axis=0)) / x.std(axis=0), np.ones(len(x))])
-            y, w = rows[label].to_numpy(float), np.zeros(x.shape[1])
-            for _ in range(100):
-                p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-                curve = (x * (p * (1 - p))[:, None]).T @ x
-                move = np.linalg.solve(curve, x.T @ (y - p))
-                w += move
-                if np.abs(move).max() < 1e-10:
-                    break
-            else:
-                raise ValueError("no convergence")
-            out |= {"beta": float(w[0]), "se": float(np.sqrt(np.linalg.inv(curve)[0, 0]))}
-        except (ValueError, np.linalg.LinAlgError) as error:
-            out["error"] = str(error)[:120]
-        return pd.DataFrame({"feature": [feature], **{k: [v] for k, v in out.items()}}).astype({"beta": float, "se": float})
-
-    fitted = long.select("feature", "value", label, *covariates).groupBy("feature").applyInPandas(fit, "feature string, n long, beta double, se double, error string")
-    clean = fitted.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("beta", "se")})
+    columns, keep = ["value", *covariates], F.lit(True)
+    for c in (*columns, label):
+        keep = keep & finite(F.col(c).cast("double"))
+    rows = long.select("feature", F.col(label).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in columns)).filter(keep)
+    moments = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *(c for v in columns for c in (F.avg(v).alias(f"__m_{v}"), F.stddev_pop(v).alias(f"__s_{v}"))))
+    facts = {r.feature: r.asDict() for r in long.select("feature").distinct().join(moments, "feature", "left").collect()}
+    width = len(columns) + 1
+    errors, weights, found = {}, {}, {}
+    for name, f in facts.items():
+        if (f["n"] or 0) < least:
+            errors[name] = "too few subjects"
+        elif not all(f[f"__s_{v}"] > 0 for v in columns):
+            errors[name] = "a column that doesn't vary"
+        else:
+            weights[name] = [0.0] * width
+    spark = long.sparkSession
+    if weights:
+        scaled = [(F.col(v) - F.col(f"__m_{v}")) / F.col(f"__s_{v}") for v in columns]
+        usable = F.broadcast(moments.filter(F.col("feature").isin(*weights)))  # a row for each feature
+        rows = written(rows.join(usable, "feature").select("feature", "y", F.array(*scaled, F.lit(1.0)).alias("x")), "scaled-subjects")
+    for _ in range(rounds):
+        if not weights:
+            break
+        now = spark.createDataFrame(list(weights.items()), "feature string, w array<double>")
+        for r in _newton_sums(rows.join(F.broadcast(now), "feature"), width).collect():
+            curve = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(width)] for i in range(width)])
+            try:
+                move = np.linalg.solve(curve, np.array([r[f"g{i}"] for i in range(width)]))
+                spread = float(np.sqrt(np.linalg.inv(curve)[0, 0]))
+            except np.linalg.LinAlgError as error:
+                errors[r.feature] = str(error)[:120]
+                del weights[r.feature]
+                continue
+            weights[r.feature] = [w + float(m) for w, m in zip(weights[r.feature], move, strict=True)]
+            if np.abs(move).max() < 1e-10:
+                found[r.feature] = (weights.pop(r.feature)[0], spread)
+    errors |= dict.fromkeys(weights, "no convergence")
+    out = [(name, facts[name]["n"] or 0, *(float(v) if np.isfinite(v) else None for v in found.get(name, (np.nan, np.nan))), errors.get(name)) for name in facts]
+    clean = spark.createDataFrame(out, "feature string, n long, beta double, se double, error string")
     margin = F.col("se") * 1.959963984540054
     full = clean.withColumns({"odds_ratio": F.exp("beta"), "ci_low": F.exp(F.col("beta") - margin), "ci_high": F.exp(F.col("beta") + margin), "p": normal_two_sided(F.try_divide("beta", "se"))})
     tested = bh_fdr(full.filter("p is not null"), "p").select("feature", "p_fdr")

@@ -10,7 +10,7 @@ from tidegrid.config import Inference
 from tidegrid.operators import learn, scan, stats
 from tidegrid.operators.filtering import band_pass_coefficients, welch
 from tidegrid.plans.bindings import activity, epochs
-from tidegrid.plans.q_stats import FEATURES, feature_table, long_table
+from tidegrid.plans.q_stats import FEATURES, LONG_SQL, feature_table, long_table, two_sided_sql
 from tidegrid.plans.q_time import rounded
 
 CV = Inference(outer_folds=4, outer_repeats=2, inner_folds=3, grid=(0.1, 1.0))
@@ -26,6 +26,27 @@ def q61_adjusted_logit(spark, d):
     return rounded(learn.adjusted_logit(long, "toxic", ["age"]), "beta", "se", "odds_ratio", "ci_low", "ci_high", "p", "p_fdr")
 
 
+def _newton_sql(steps: int) -> str:
+    """CTEs w0 to w<steps> (feature, a, b, c): Newton steps of three weights, each solved by Cramer's rule; ``last`` has the curvature."""
+    out = ["w0 AS (SELECT DISTINCT feature, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM z)"]
+    for k in range(steps):
+        out.append(f"p{k} AS (SELECT z.feature, x, t, y - 1 / (1 + exp(-(a * x + b * t + c))) AS r, 1 / (1 + exp(-(a * x + b * t + c))) AS p FROM z JOIN w{k} ON z.feature = w{k}.feature)")
+        out.append(f"s{k} AS (SELECT feature, sum(r * x) AS g0, sum(r * t) AS g1, sum(r) AS g2, sum(p * (1 - p) * x * x) AS xx, sum(p * (1 - p) * x * t) AS xt, sum(p * (1 - p) * x) AS x1, sum(p * (1 - p) * t * t) AS tt, sum(p * (1 - p) * t) AS t1, sum(p * (1 - p)) AS o FROM p{k} GROUP BY 1)")
+        det = "(xx * (tt * o - t1 * t1) - xt * (xt * o - t1 * x1) + x1 * (xt * t1 - tt * x1))"
+        da = "(g0 * (tt * o - t1 * t1) - xt * (g1 * o - t1 * g2) + x1 * (g1 * t1 - tt * g2))"
+        db = "(xx * (g1 * o - t1 * g2) - g0 * (xt * o - t1 * x1) + x1 * (xt * g2 - g1 * x1))"
+        dc = "(xx * (tt * g2 - g1 * t1) - xt * (xt * g2 - g1 * x1) + g0 * (xt * t1 - tt * x1))"
+        out.append(f"w{k + 1} AS (SELECT s.feature, a + {da} / {det} AS a, b + {db} / {det} AS b, c + {dc} / {det} AS c, sqrt((tt * o - t1 * t1) / {det}) AS se FROM s{k} s JOIN w{k} w ON s.feature = w.feature)")
+    return ", ".join(out)
+
+
+Q61 = f"""WITH {LONG_SQL}, l AS (SELECT feature, toxic::DOUBLE AS y, value AS v, (doc_id % 50)::DOUBLE AS age FROM lng),
+z AS (SELECT feature, y, (v - avg(v) OVER q) / stddev_pop(v) OVER q AS x, (age - avg(age) OVER q) / stddev_pop(age) OVER q AS t FROM l WINDOW q AS (PARTITION BY feature)), n AS (SELECT feature, count(*) AS n FROM l GROUP BY 1),
+{_newton_sql(9)}, f AS (SELECT n.feature, n, a AS beta, se, a / se AS r FROM n JOIN w9 ON n.feature = w9.feature), pv AS (SELECT *, {two_sided_sql('f.r')} AS p FROM f), o AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM pv),
+fd AS (SELECT *, least(greatest(min(p * m / k) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), 1) AS p_fdr FROM o)
+SELECT feature, n, round(beta, 6) AS beta, round(se, 6) AS se, NULL AS error, round(exp(beta), 6) AS odds_ratio, round(exp(beta - se * 1.959963984540054), 6) AS ci_low, round(exp(beta + se * 1.959963984540054), 6) AS ci_high, round(p, 6) AS p, round(p_fdr, 6) AS p_fdr FROM fd"""
+
+
 BAND = band_pass_coefficients(1.0, 20.0, 64.0, 2)
 
 
@@ -89,4 +110,4 @@ def q65_permutation_cv(spark, d):
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[:2] == "q6" and n[1:3].isdigit()}
-SQL = {"q62_filter_bandpass": Q62, "q63_welch_psd": Q63}
+SQL = {"q61_adjusted_logit": Q61, "q62_filter_bandpass": Q62, "q63_welch_psd": Q63}
