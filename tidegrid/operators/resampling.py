@@ -114,6 +114,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def scatter_of(squares: Column, total: Column, weight: Column) -> Column:
+    """Sum of squared distances from the mean; 0 where it is less than what rounding leaves of the squares."""
+    rest = squares - ratio(total * total, weight)
+    return F.when(rest > 1e-12 * squares, rest).when(rest.isNotNull(), F.lit(0.0))
+
+
 def mean_of(value: str) -> tuple[dict[str, Column], dict[str, Column]]:
     """(moments, statistics) of the mean."""
     return {"w": F.when(F.col(value).isNotNull(), F.lit(1.0)), "s": F.col(value)}, {"mean": ratio(F.col("s"), F.col("w"))}
@@ -123,9 +129,9 @@ def correlation_of(x: str, y: str) -> tuple[dict[str, Column], dict[str, Column]
     """(moments, statistics) of Pearson's correlation."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     moments = {"w": F.when(a.isNotNull() & b.isNotNull(), F.lit(1.0)), "x": a, "y": b, "xx": a * a, "yy": b * b, "xy": a * b}
-    scatter = lambda p, q, pq: F.col(pq) - ratio(F.col(p) * F.col(q), F.col("w"))
-    spread = F.sqrt(F.greatest(scatter("x", "x", "xx"), F.lit(0.0)) * F.greatest(scatter("y", "y", "yy"), F.lit(0.0)))
-    return moments, {"correlation": ratio(scatter("x", "y", "xy"), F.nullif(spread, F.lit(0.0)))}
+    together = F.col("xy") - ratio(F.col("x") * F.col("y"), F.col("w"))
+    spread = F.sqrt(scatter_of(F.col("xx"), F.col("x"), F.col("w")) * scatter_of(F.col("yy"), F.col("y"), F.col("w")))
+    return moments, {"correlation": ratio(together, F.nullif(spread, F.lit(0.0)))}
 
 
 def hedges_of(value: str, label: str) -> tuple[dict[str, Column], dict[str, Column]]:
@@ -135,8 +141,8 @@ def hedges_of(value: str, label: str) -> tuple[dict[str, Column], dict[str, Colu
         own = F.when(v.isNotNull() & F.col(label).isNotNull(), (F.col(label) == k).cast("double"))
         moments |= {f"n{k}": own, f"s{k}": own * v, f"q{k}": own * v * v}
     mean = lambda k: ratio(F.col(f"s{k}"), F.col(f"n{k}"))
-    scatter = lambda k: F.col(f"q{k}") - F.col(f"s{k}") * mean(k)
+    scatter = lambda k: scatter_of(F.col(f"q{k}"), F.col(f"s{k}"), F.col(f"n{k}"))
     total = F.col("n1") + F.col("n0")
-    pooled = F.sqrt(F.greatest(ratio(scatter(1) + scatter(0), total - 2), F.lit(0.0)))
+    pooled = F.sqrt(ratio(scatter(1) + scatter(0), total - 2))
     g = ratio(mean(1) - mean(0), F.nullif(pooled, F.lit(0.0))) * (F.lit(1.0) - ratio(F.lit(3.0), 4 * total - 9))
     return moments, {"g": F.when((F.col("n1") >= 2) & (F.col("n0") >= 2), g)}

@@ -91,11 +91,16 @@ def q76_bootstrap_one_pass(spark, d):
 
 _W = " + ".join(f"CAST(u >= {c} AS INT)" for c in stats.POISSON)
 _CI = ", ".join(f"round(quantile_cont({s}, 0.025), 6) AS {s}_low, round(quantile_cont({s}, 0.975), 6) AS {s}_high, count({s}) AS {s}_n" for s in CHOSEN)
+def _rest(q: str, s: str, n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN CASE WHEN {q} - {s} * {s} / {n} > 1e-12 * {q} THEN {q} - {s} * {s} / {n} ELSE 0 END END"
+
+
 Q76 = f"""WITH {LAB_SQL}, r AS (SELECT lang, toxic, (n_chars % 1000) / 1000.0::DOUBLE AS x, (doc_id * 31 % 97)::DOUBLE AS y, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM lab),
 uu AS (SELECT lang, toxic, x, y, b, {resampling.mixed_sql('h', 'b')} AS u FROM r, (SELECT unnest(range(1, {SAMPLES + 1})) AS b)), ww AS (SELECT *, ({_W})::DOUBLE AS w FROM uu),
 s AS (SELECT lang, b, sum(w) AS w, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * y * y) AS yy, sum(w * x * y) AS xy, sum(w * toxic) AS n1, sum(w * (1 - toxic)) AS n0, sum(w * toxic * x) AS s1, sum(w * (1 - toxic) * x) AS s0, sum(w * toxic * x * x) AS q1, sum(w * (1 - toxic) * x * x) AS q0 FROM ww GROUP BY 1, 2),
-t AS (SELECT lang, x / nullif(w, 0) AS mean, (xy - x * y / w) / nullif(sqrt(greatest(xx - x * x / w, 0) * greatest(yy - y * y / w, 0)), 0) AS correlation, sqrt(greatest(xx / w - pow(x / w, 2), 0)) / nullif(x / w, 0) AS cv,
- CASE WHEN n1 >= 2 AND n0 >= 2 THEN (s1 / n1 - s0 / n0) / nullif(sqrt(greatest((q1 - s1 * s1 / n1 + q0 - s0 * s0 / n0) / (n1 + n0 - 2), 0)), 0) * (1 - 3.0 / (4 * (n1 + n0) - 9)) END AS g FROM s)
+c AS (SELECT *, {_rest('xx', 'x', 'w')} AS cx, {_rest('yy', 'y', 'w')} AS cy, {_rest('q1', 's1', 'n1')} AS c1, {_rest('q0', 's0', 'n0')} AS c0 FROM s),
+t AS (SELECT lang, x / nullif(w, 0) AS mean, (xy - x * y / nullif(w, 0)) / nullif(sqrt(cx * cy), 0) AS correlation, CASE WHEN w > 0 THEN sqrt(greatest(xx / w - pow(x / w, 2), 0)) / nullif(x / w, 0) END AS cv,
+ CASE WHEN n1 >= 2 AND n0 >= 2 THEN (s1 / n1 - s0 / n0) / nullif(sqrt((c1 + c0) / (n1 + n0 - 2)), 0) * (1 - 3.0 / (4 * (n1 + n0) - 9)) END AS g FROM c)
 SELECT lang, {_CI} FROM t GROUP BY 1"""
 
 

@@ -167,14 +167,20 @@ def two_sided_sql(z: str) -> str:
 MW_SQL = f"""rk AS (SELECT feature, toxic, {rank_sql('value', 'feature')} AS r, count(*) OVER (PARTITION BY feature, value)::DOUBLE AS t FROM lng),
 sm AS (SELECT feature, count(*) FILTER (toxic = 1) AS n1, count(*) FILTER (toxic = 0) AS n0, sum(r) FILTER (toxic = 1) AS ranks, sum(t * t - 1) AS ties FROM rk GROUP BY 1),
 uu AS (SELECT *, ranks - n1 * (n1 + 1) / 2.0 AS u, sqrt(n1 * n0 / 12.0 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS sd FROM sm),
-mw AS (SELECT feature, n1, n0, u, u / (n1 * n0) AS auc, greatest((greatest(u, n1 * n0 - u) - n1 * n0 / 2.0 - 0.5) / sd, 0) AS z FROM uu), mp AS (SELECT feature, n1, n0, u, auc, {two_sided_sql('mw.z')} AS p FROM mw)"""
+mw AS (SELECT feature, n1, n0, u, u / (n1 * n0) AS auc, greatest((greatest(u, n1 * n0 - u) - n1 * n0 / 2.0 - 0.5) / sd, 0) AS z, ties = 0 AND least(n1, n0) BETWEEN 1 AND {stats.FEW} AS few FROM uu),
+sizes AS (SELECT DISTINCT n1, n0, least(n1, n0) AS k, n1 + n0 AS n FROM mw WHERE few),
+dp AS (SELECT n1, n0, k, n, 0 AS i, 0 AS chosen, 0 AS s, 1.0::DOUBLE AS w FROM sizes
+ UNION ALL SELECT n1, n0, k, n, i + 1, c, t, sum(w) FROM (SELECT n1, n0, k, n, i, chosen + x AS c, s + x * (i + 1) AS t, w FROM dp, (VALUES (0), (1)) AS x(x) WHERE i < n AND chosen + x <= k) q GROUP BY n1, n0, k, n, i, c, t),
+law AS (SELECT n1, n0, s - k * (k + 1) // 2 AS lu, w, sum(w) OVER (PARTITION BY n1, n0) AS whole FROM dp WHERE i = n AND chosen = k),
+ex AS (SELECT feature, least(2 * sum(w) / any_value(whole), 1) AS p FROM mw JOIN law ON law.n1 = mw.n1 AND law.n0 = mw.n0 AND few AND law.lu <= least(mw.u, mw.n1 * mw.n0 - mw.u) GROUP BY 1),
+mp AS (SELECT mw.feature, n1, n0, u, auc, CASE WHEN few THEN ex.p ELSE {two_sided_sql('mw.z')} END AS p FROM mw LEFT JOIN ex ON ex.feature = mw.feature)"""
 
 
 def q49_mann_whitney_u(spark, d):
     return rounded(stats.mann_whitney(long_table(spark, d), ["feature"], "value", "toxic"), "u", "auc", "p")
 
 
-Q49 = f"WITH {LONG_SQL}, {MW_SQL} SELECT feature, n1, n0, round(u, 6) AS u, round(auc, 6) AS auc, round(p, 6) AS p FROM mp"
+Q49 = f"WITH RECURSIVE {LONG_SQL}, {MW_SQL} SELECT feature, n1, n0, round(u, 6) AS u, round(auc, 6) AS auc, round(p, 6) AS p FROM mp"
 
 
 def g_sql(value: str = "value", label: str = "toxic") -> str:
@@ -195,7 +201,7 @@ def q51_bh_fdr(spark, d):
     return rounded(stats.bh_fdr(tests, "p"), "p", "p_fdr", digits=5)
 
 
-Q51 = f"""WITH {LONG_SQL.replace('lng AS', 'lng0 AS')}, lng AS (SELECT doc_id, toxic, feature || '|' || lang AS feature, value FROM lng0), {MW_SQL}, o AS (SELECT feature, p, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS n FROM mp)
+Q51 = f"""WITH RECURSIVE {LONG_SQL.replace('lng AS', 'lng0 AS')}, lng AS (SELECT doc_id, toxic, feature || '|' || lang AS feature, value FROM lng0), {MW_SQL}, o AS (SELECT feature, p, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS n FROM mp)
 SELECT feature, round(p, 5) AS p, round(least(greatest(min(p * n / r) OVER (ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), 1), 5) AS p_fdr FROM o"""
 
 
@@ -204,7 +210,7 @@ def q52_group_tests(spark, d):
     return rounded(out, "median_1", "median_0", "g", "u", "p", "p_fdr", digits=5)
 
 
-Q52 = f"""WITH {LONG_SQL}, {MW_SQL}, eff AS (SELECT feature, median(value) FILTER (toxic = 1) AS median_1, median(value) FILTER (toxic = 0) AS median_0, {g_sql()} AS g FROM lng GROUP BY 1),
+Q52 = f"""WITH RECURSIVE {LONG_SQL}, {MW_SQL}, eff AS (SELECT feature, median(value) FILTER (toxic = 1) AS median_1, median(value) FILTER (toxic = 0) AS median_0, {g_sql()} AS g FROM lng GROUP BY 1),
 o AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS n FROM mp JOIN eff USING (feature)), q AS (SELECT *, least(greatest(min(p * n / r) OVER (ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), 1) AS p_fdr FROM o)
 SELECT feature, n1, n0, round(median_1, 5) AS median_1, round(median_0, 5) AS median_0, round(g, 5) AS g, round(u, 5) AS u, round(p, 5) AS p, round(p_fdr, 5) AS p_fdr, p_fdr < 0.05 AS significant FROM q"""
 
