@@ -137,6 +137,6 @@ def test_the_fit_sees_the_whole_text():
     spans = [(text.index("hunter2"), len(text))]
     _, tags, lengths = S.training_windows([(text, spans)])
     assert (tags != S.O).any() and len(lengths) <= S.PLAIN_WINDOWS + 2
-    few, _, _ = S.training_windows([(" ".join(odd[:20]), [])])
+    few, _, _ = S.training_windows([(" ".join(odd[:30]), [])])
     many, _, _ = S.training_windows([(" ".join(odd), [])])
     assert len(few) == len(many) == S.PLAIN_WINDOWS

@@ -31,7 +31,7 @@ OPEN_BINS = 1024
 #: Pieces in open bins of ended tasks that are packed again by one task, about.
 TAILS = 50_000
 #: Chunks and words whose ids a worker remembers; either memory is emptied when it is full.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
