@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidegrid.llm import negatives
 
@@ -29,7 +30,7 @@ def brute(rows, scale=256.0, positives=5, most=10):
 
 
 def found(spark, rows, **more):
-    df = spark.createDataFrame(rows, SCHEMA).withColumn("rid", pytest.importorskip("pyspark.sql.functions").lit("own"))
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("rid", F.lit("own"))
     got = negatives.hard_negatives(df, label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END", **more)
     return sorted((tuple(r) for r in got.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()), key=str)
 
