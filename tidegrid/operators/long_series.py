@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.config import TINY
-from tidegrid.operators.pieces import PIECE, PLACE, halo, offsets, pack, same
+from tidegrid.operators.pieces import PIECE, halo, offsets, pack, same
 
 #: Segments that are transformed at once.
 AT_ONCE = 256
