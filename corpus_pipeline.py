@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import scratch_path, stored, table
+from tidegrid.llm.common import passing, scratch_path, stored, table
 from tidegrid.llm.components import connected_components
 from tidegrid.llm.decontamination import contamination
 from tidegrid.llm.near import similar_links
@@ -43,20 +43,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Links are those of op4's fingerprints and those of similar sets of five-word shingles.
     """
     numbered, row = _numbered(docs)
-    close = groups(fingerprints(numbered, id_col=row)).filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    roots = stored(connected_components(close.unionByName(similar_links(numbered, id_col=row))), "near-groups")
-    ids = numbered.select(F.col(row).alias("node"), "doc_id")
-    members = stored(roots.join(ids, "node"), "near-members")
-    kept = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"].alias("node"))
-    other = members.select("node").join(kept.select("node"), "node", "left_anti").select(F.col("node").alias(row))
+    with passing(spark):
+        close = groups(fingerprints(numbered, id_col=row)).filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+        roots = stored(connected_components(close.unionByName(similar_links(numbered, id_col=row))), "near-groups")
+        ids = numbered.select(F.col(row).alias("node"), "doc_id")
+        members = stored(roots.join(ids, "node"), "near-members")
+        kept = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"].alias("node"))
+        other = stored(members.select("node").join(kept.select("node"), "node", "left_anti").select(F.col("node").alias(row)), "near-copies", keep=True)
     return numbered.join(other, row, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     numbered, row = _numbered(docs)
-    found = contamination(numbered, table(spark, sf_dir, "benchmark"), id_col=row)
-    return numbered.join(found.filter("n_hit > 0").select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
+    with passing(spark):
+        found = contamination(numbered, table(spark, sf_dir, "benchmark"), id_col=row)
+        hit = stored(found.filter("n_hit > 0").select(F.col("doc_id").alias(row)), "contaminated", keep=True)
+    return numbered.join(hit, row, "left_anti").select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,21 @@ def test_odd_rows(spark):
     got = {tuple(sorted((r.u, r.v))) for r in near.similar_links(odd(spark)).collect()}
     assert got <= {(1, 2), (2, 2)} and (1, 2) in got
     assert near.similar_links(empty(spark)).count() == 0
+
+
+def test_pairs_to_verify_grow_with_the_family_not_its_square(spark, monkeypatch):
+    """Members that share buckets and mostly fall short of 0.8: what is verified is a few pairs a member, and groups stay exact."""
+    rng, rows = random.Random(7), []
+    base = [f"w{k}" for k in range(150)]
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(150), 4):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    tested = []
+    plain = near.verified
+    monkeypatch.setattr(near, "verified", lambda pairs: tested.append(pairs.count()) or plain(pairs))
+    links = near.similar_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = {i: i for i, _ in rows} | {r.node: r.root for r in connected_components(links).collect()}
+    assert got == plain_groups(rows)
+    assert sum(tested) <= 10 * len(rows)

@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from pathlib import Path
 
 from cases import ODD, empty, odd
 
@@ -100,3 +101,15 @@ def test_rows_without_or_with_a_shared_id_are_documents_of_their_own(spark, tmp_
     assert run(corpus_pipeline.decontaminate, rows) == sorted([(3, clean, "x"), (None, c, "x")], key=str)
     rows = [(3, a, "x"), (3, b, "x"), (None, a, "x"), (None, a, "x"), (None, c, "x"), (None, c, "x"), (5, b, "x"), (6, None, "x")]
     assert run(corpus_pipeline.near_dedup, rows) == sorted([(3, a, "x"), (3, b, "x"), (None, c, "x"), (6, None, "x")], key=str)
+
+
+def test_stages_leave_no_tables_that_nothing_reads(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 2) * 60 + k}" for k in range(80)) + f" end{i}", "en", "s", 100) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([("a", " ".join(f"w{k}" for k in range(30)))], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+    clean = corpus_pipeline.decontaminate(spark, kept, str(tmp_path))
+    assert 0 not in {r.doc_id for r in clean.collect()} and clean.count() > 10
+    assert sorted(p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before) == ["contaminated", "near-copies", "numbered", "numbered"]

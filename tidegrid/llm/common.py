@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import string
@@ -67,12 +68,28 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+#: Paths written inside each open ``passing`` block.
+_PASSING: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """At the end, what ``stored`` has written inside is removed, but for tables that it was told to keep: nothing else may be read afterwards."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_PASSING.pop())
+
+
+def stored(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """The same rows, written to the shared folder and read again: a cut of the lineage that no executor's loss undoes.
 
     A join of two such tables reads two plain shuffles, so that Spark can split a key which very many rows share.
     """
     path = scratch_path(df.sparkSession, what)
+    if _PASSING and not keep:
+        _PASSING[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,12 +4,17 @@ Two texts are linked if the sets of their distinct SIZE-word shingles (lower-cas
 equal sets are one class. Candidates come from BANDS bands of BAND_ROWS minima of hashed sets: a pair of similarity 0.8 meets in a bucket
 but for 6 in a million. Every candidate is verified on the whole sets.
 
-1. In each bucket all members are compared with its LEADERS, those that share buckets with most others. A large family is linked
-   through its most typical members, so that pairs don't grow with the square of a family.
-2. Where a bucket still holds several components, each member outside the bucket's largest one is compared with all members of
-   the other components whose sizes and whose minima allow the similarity: of two sets of similarity 0.8, fewer than LEAST_EQUAL of
-   all minima are equal in 7 of a million pairs. A pair is taken in the first bucket that it shares. So, but for these few, no link
-   between components is lost.
+1. In each bucket all members are compared with its first leader, the one that shares buckets with most others. A large family is
+   linked through its most typical members, so that pairs don't grow with the square of a family.
+2. Where a bucket still holds several components, each member outside the bucket's largest one is compared with the bucket's
+   first LEADERS members of other components.
+3. Where it still holds several, those outside are compared with all members of the other components. A pair is taken in the first
+   bucket that it shares.
+
+In steps 2 and 3 the join itself keeps only pairs that can be similar, so that its rows are about the links that it finds, however many members
+fall short of 0.8: sizes and minima must allow the similarity (of two sets of similarity 0.8, fewer than LEAST_EQUAL of all minima are
+equal in 7 of a million pairs), and two sets of at most MOST_HERE shingles are compared as they are. So, but for these few, no
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import LOWER, id_text, slices, stored, utf8
@@ -30,6 +35,8 @@ SIZE = 5
 BANDS, BAND_ROWS = 40, 6
 LEADERS = 16
 LEAST_EQUAL = 165
+#: Sets of so many shingles at most are compared inside the joins of open buckets.
+MOST_HERE = 1024
 
 _U = np.uint64
 _DICE = np.random.default_rng(20).integers(1 << 63, size=(2, BANDS * BAND_ROWS, 1)).astype(np.uint64)
@@ -109,33 +116,60 @@ def whole_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "s long, shingles binary")
 
 
-def candidates(members: DataFrame, leaders: int) -> DataFrame:
-    """members(key, s, met) -> (u, v), distinct: every member of a bucket with the bucket's leaders."""
+def ranked(members: DataFrame) -> DataFrame:
+    """members(key, s, n, met) -> (key, s, rank) of each bucket's first LEADERS members by the number of others that they meet."""
     # Spark limits the ranks before the shuffle, so that few rows of a bucket meet
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("met").desc(), "s"))
-    first = members.withColumn("rank", rank).filter(F.col("rank") <= leaders)
-    chosen = stored(first.groupBy("key").agg(F.collect_list("s").alias("leaders")), "leaders")
-    met = members.join(chosen, "key").groupBy("s").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("leaders"))
-    pairs = met.select("s", F.explode("leaders").alias("v")).filter("s <> v")
-    return pairs.select(F.least("s", "v").alias("u"), F.greatest("s", "v").alias("v")).distinct()
+    return members.select("key", "s", rank.alias("rank")).filter(F.col("rank") <= LEADERS)
 
 
-def remaining(members: DataFrame, roots: DataFrame, signatures: DataFrame) -> DataFrame:
-    """members(key, s, n), roots(node, root), signatures(s, sig, bands) -> (u, v), distinct: pairs of a bucket that are in different components.
+def ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
-    One of the two is outside the bucket's largest component.
+
+def candidates(members: DataFrame, first: DataFrame) -> DataFrame:
+    """members(key, s), first(key, s, rank) -> (u, v), distinct: every member of a bucket with the bucket's first leader."""
+    leader = first.filter("rank = 1").select("key", F.col("s").alias("v"))
+    met = members.select("key", "s").join(leader, "key").filter("s <> v")
+    return met.select(*ordered("s", "v")).distinct()
+
+
+def few(sets: DataFrame) -> DataFrame:
+    """sets(s, shingles) -> (s, few): the set as an array of longs, null for one of more than MOST_HERE shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [np.frombuffer(x, np.int64) if len(x) <= 8 * MOST_HERE else None for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["s", "few"])
+
+    return sets.select("s", "shingles").mapInArrow(run, "s long, few array<long>")
+
+
+def remaining(members: DataFrame, roots: DataFrame, signatures: DataFrame, sets: DataFrame, leading: DataFrame | None = None) -> DataFrame:
+    """members(key, s, n), roots(node, root), signatures(s, sig, bands), sets(s, shingles) -> (u, v), distinct: pairs of a bucket that are in different components.
+
+    One of the two is outside the bucket's largest component; with leading(key, s) the other one is of these.
     """
     rooted = stored(members.select("key", "s", "n").join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s")), "rooted-members")
     sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("components"))
     several = stored(largest.filter("components > 1").select("key", "largest"), "open-buckets")
-    inside = stored(rooted.join(several, "key").join(signatures, "s"), "open-members")
-    outside = inside.filter("root <> largest").select("key", F.col("s").alias("v"), F.col("n").alias("size"), F.col("root").alias("other"), F.col("sig").alias("other_sig"), F.col("bands").alias("other_bands"))
-    allowed = (F.col("root") != F.col("other")) & (5 * F.least("n", "size") >= 4 * F.greatest("n", "size"))
-    once = ((F.col("s") < F.col("v")) | (F.col("root") == F.col("largest"))) & (F.array_min(F.array_intersect("bands", "other_bands")) == F.col("key"))
+    open_ = stored(rooted.join(several, "key"), "open-places")
+    own = open_.select("s").distinct()
+    whole = few(sets.join(own, "s", "left_semi"))
+    inside = stored(open_.join(signatures.join(own, "s", "left_semi"), "s").join(whole, "s"), "open-members")
+    outside = inside.filter("root <> largest").select("key", *(F.col(c).alias(f"other_{c}") for c in ("s", "n", "root", "sig", "bands", "few")))
+    small, large = F.least("n", "other_n"), F.greatest("n", "other_n")
+    allowed = (F.col("root") != F.col("other_root")) & (5 * small >= 4 * large)
+    if leading is None:
+        allowed = allowed & ((F.col("s") < F.col("other_s")) | (F.col("root") == F.col("largest"))) & (F.array_min(F.array_intersect("bands", "other_bands")) == F.col("key"))
+    else:
+        inside = inside.join(leading, ["key", "s"], "left_semi")
     likely = F.size(F.array_intersect("sig", "other_sig")) >= LEAST_EQUAL
-    pairs = inside.join(outside, "key").filter(allowed & once & likely)
-    return pairs.select(F.least("s", "v").alias("u"), F.greatest("s", "v").alias("v")).distinct()
+    # common >= 4/5 of the union: 9 times the common ones are 4 times all
+    alike = F.when(F.col("few").isNotNull() & F.col("other_few").isNotNull(), 9 * F.size(F.array_intersect("few", "other_few")) >= 4 * (F.col("n") + F.col("other_n"))).otherwise(True)
+    pairs = inside.join(outside, "key").filter(allowed & likely & alike)
+    return pairs.select(*ordered("s", "other_s")).distinct()
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -167,10 +201,14 @@ def similar_links(docs: DataFrame, leaders: int = LEADERS, id_col: str = "doc_id
         side = lambda of, name: sets.select(F.col("s").alias(of), F.col("shingles").alias(name))
         return verified(stored(pairs, "pairs").join(side("u", "a"), "u").join(side("v", "b"), "v"))
 
-    first = stored(links(candidates(members, leaders)), "links")
+    leading = stored(ranked(members), "leaders")
+    first = stored(links(candidates(members, leading)), "links")
     signatures = stored(found.select("s", "sig", "bands").join(needed.select("s"), "s", "left_semi").dropDuplicates(["s"]), "signatures")
-    second = links(remaining(members, connected_components(first), signatures))
+    roots = connected_components(first)
+    second = stored(links(remaining(members, roots, signatures, sets, leading.filter(F.col("rank") <= leaders).select("key", "s"))), "links")
+    joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second)
+    third = links(remaining(members, connected_components(joined), signatures, sets))
     key = lambda of, name: classes.select(F.col("s").alias(of), F.col("least").alias(name))
-    between = first.unionByName(second).join(key("u", "x"), "u").join(key("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    between = first.unionByName(second).unionByName(third).join(key("u", "x"), "u").join(key("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
     equal = found.select("doc_id", "s").join(classes, "s").filter("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
     return between.unionByName(equal)
