@@ -135,3 +135,13 @@ def test_odd_rows_and_digest(spark, tmp_path):
         assert by[doc_id].base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
     empty(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert pii.op8_pii_candidates(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_every_document_gives_cases_however_long(spark):
+    """Spans of texts of any length and number are learnt from: their counts are those of all documents."""
+    long = "x " * 15_000 + "call +1 (743) 555-3824 now on 2023-01-12"
+    rows = [(i, long if i % 2 else "call +1 (743) 555-3824 now on 2023-01-12") for i in range(40)]
+    counts = lambda rows: {tuple(r[:-1]): r.n for r in pii.cases_of(spark.createDataFrame(rows, "doc_id long, text string").select("text")).collect()}
+    all_, short = counts(rows), counts([(0, rows[0][1])])
+    by = lambda found: sum(found.values())
+    assert by(all_) == 40 * by(short) > 0

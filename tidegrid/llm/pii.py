@@ -5,20 +5,19 @@ addresses with a written-out or bracketed "at", hosts with bracketed dots or in
 trees score each by its format and its surroundings, and those above the calibrated threshold of their kind that touch no base
 span are added. The trees are plain CASE expressions over the row's proposals, so no text is shuffled and no Python runs on the executors.
 
-The trees are fitted on a bounded sample, chosen by a hash among all documents, as many of each stratum (texts with an at sign, a
-plus sign before a digit, a dotted quad, a long digit group, other digit runs). Positive cases are the sample's base spans in forms
+The trees are fitted on all documents, in one pass that makes cases of their spans. Positive cases are the base spans in forms
 that the base rules don't know: without the plus sign, with "at" written out, with other separators, with bracketed dots, in
 hexadecimal. Negative cases are dates, counts, decimals, times, addresses without a host, and cards of a wrong check digit in the same
-surroundings, and the sample's own proposals that are clearly none of these kinds. Other proposals of the sample count as neither. A
-third of the documents is held back; on these, the threshold of each kind is the lowest that leaves the wanted precision.
+surroundings, and the documents' own proposals that are clearly none of these kinds. Other proposals count as neither. Equal cases are counted
+before they are shuffled, so the fit works on distinct rows of features with their numbers; each kind's positive and negative cases weigh the same
+in all. A third of the documents is held back; on these, the threshold of each kind is the lowest that leaves the wanted precision.
 
-Defined results: a null text is empty; a null id and repeated rows keep their rows; without positive and negative cases in
-the sample nothing is added to the base spans, and nothing of a kind without held-back positive cases.
+Defined results: a null text is empty; a null id and repeated rows keep their rows; without positive and negative cases
+nothing is added to the base spans, and nothing of a kind without held-back positive cases.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 
 from pyspark.ml.classification import GBTClassifier
@@ -26,14 +25,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import documents, hashed_share, stored
+from tidegrid.llm.common import documents, stored
 from tidegrid.llm.native import apart, let, replaced, spans_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the trees are fitted on, about, and the longest text among them.
-SAMPLE_DOCS = 3000
-SAMPLE_CHARS = 20_000
 N_TREES, DEPTH = 12, 4
+#: Bins of a feature, more than any has values; up to the square of this number of rows the trees' split points come from all of them.
+BINS = 1024
 #: Share of right ones that a calibrated threshold must leave among the held-back proposals of its kind.
 PRECISION = 0.98
 CONTEXT = 24
@@ -60,8 +58,6 @@ GENERATORS = {
     "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[(\[{]at[)\]}]\x20?|\x20at\x20(?=[A-Za-z0-9-]++\x20dot\x20))[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[{]dot[)\]}]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
     "host": r"(?<![0-9A-Za-z:.])(?:[0-9]++(?:[(\[{]\.[)\]}][0-9]++){3}+|[0-9A-Fa-f]{1,4}+(?::{1,2}[0-9A-Fa-f]{1,4}+){3,}+)(?![0-9A-Za-z:])",
 }
-#: Texts for the sample: what the strata hold, the first that fits.
-STRATA = (r"@", r"\+[0-9]", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", r"(?:[0-9]{4}[\x20-]?){4}", r"[0-9](?:[\x20().-]{0,2}[0-9]){5}")
 _PLAIN = r"(?:[0-9]{4}[-.][0-9]{1,2}[-.][0-9]{1,2}|[0-9]{1,2}[-.][0-9]{1,2}[-.][0-9]{2,4}|[0-9]{6,9}|[0-9]+\.[0-9]+)"
 #: Proposals that are clearly no personal data: dates, plain counts, grouped or decimal numbers, times, and several of these in a row.
 CLEAR = rf"^(?:{_PLAIN}(?: {_PLAIN})*|[0-9]{{4}} [0-9]{{1,2}} [0-9]{{1,2}}|[0-9]{{1,3}}(?: [0-9]{{3}})+|[0-9]{{4}}[- ][0-9]{{4}}|[0-9]{{1,2}}(?::[0-9]{{2}}){{2,3}})$"
@@ -195,54 +191,49 @@ def tree_column(shown: str, features: dict[str, Column]) -> Column:
     return node(0)[0]
 
 
-def sample_of(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """docs(text, ...) -> (text, held): about ``sample_docs`` texts, as many of each stratum as their number allows, by a hash."""
-    stratum = F
-    for n, pattern in enumerate(STRATA):
-        stratum = stratum.when(F.col("text").rlike(pattern), n)
-    # the condition keeps long texts and those of no stratum out before the hash
-    some = docs.filter(F.length("text") <= SAMPLE_CHARS).withColumn("__stratum", stratum.otherwise(None)).filter("__stratum is not null")
-    sizes = {r["__stratum"]: r["count"] for r in some.groupBy("__stratum").count().collect()}
-    chosen = F.lit(False)
-    for n, size in sizes.items():
-        chosen = chosen | ((F.col("__stratum") == n) & hashed_share(sample_docs // len(STRATA), size, 11, *docs.columns))
-    return stored(some.filter(chosen).select("text", (F.crc32("text") % 3 == 0).alias("held")), "pii-sample")
-
-
-def cases_of(sample: DataFrame) -> DataFrame:
-    """sample(text, held) -> the features of its cases with label, kind and held."""
-    based = with_base_spans(sample)
-    rows = []
-    for kind in KINDS:
-        one = based.withColumn("b", F.explode(kind)).filter(F.length("b.t") < 80)
-        before = F.substring("text", F.greatest(F.col("b.s") - CONTEXT, F.lit(0)) + 1, F.least(F.col("b.s"), F.lit(CONTEXT)))
-        after = F.substring("text", F.col("b.e") + 1, F.lit(CONTEXT))
-        right, wrong = variants(kind, F.col("b.t"))
-        made = F.array(*(F.struct(f.alias("t"), F.lit(label).alias("label"), F.lit(kind).alias("kind")) for label, forms in ((1.0, right), (0.0, wrong)) for f in forms))
-        rows.append(one.select(before.alias("before"), after.alias("after"), "held", F.explode(made).alias("v")))
-    shown = functools.reduce(DataFrame.unionByName, rows).filter("v.t is not null")
-    shown = shown.select(F.concat("before", "v.t", "after").alias("text"), F.length("before").alias("s"), (F.length("before") + F.length("v.t")).alias("e"), "v.label", "v.kind", "held")
-    altered = shown.withColumn("span", F.explode(proposals_of(F.col("text"))))
-    overlap = F.least("e", F.col("span.e")) - F.greatest("s", F.col("span.s"))
-    altered = altered.filter((2 * overlap > F.col("e") - F.col("s")) & ((F.col("label") == 0) | (F.col("span.kind") == F.col("kind")))).select("text", "span", "label", "held")
+def cases_of(texts: DataFrame) -> DataFrame:
+    """texts(text) -> the features of all cases with label, of (the kind), held, and n, how many there are of each."""
+    based = with_base_spans(texts.filter("text is not null").select("text", (F.crc32("text") % 3 == 0).alias("held")))
+    text = F.col("text")
+    before = lambda x: F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
+    after = lambda x: F.substring(text, x["e"] + 1, F.lit(CONTEXT))
+    case = lambda x, t, label, kind, clear: F.struct(before(x).alias("before"), t.alias("t"), after(x).alias("after"), F.lit(label).alias("label"), kind.alias("kind"), F.lit(clear).alias("clear"))
+
+    def altered(kind: str) -> Column:
+        def forms(x: Column) -> Column:
+            right, wrong = variants(kind, x["t"])
+            return F.array(*(case(x, f, label, F.lit(kind), False) for label, own in ((1.0, right), (0.0, wrong)) for f in own))
+
+        return F.flatten(F.transform(F.filter(kind, lambda x: F.length(x["t"]) < 80), forms))
+
     own = F.concat(*(F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS))
-    clear = based.withColumn("span", F.explode(apart(proposals_of(F.col("text")), own))).filter(F.col("span.t").rlike(CLEAR)).select("text", "span", F.lit(0.0).alias("label"), "held")
-    both = altered.unionByName(clear)
-    return both.select(*(f.cast("double").alias(n) for n, f in features_of(F.col("text"), F.col("span")).items()), "label", F.col("span.kind").alias("of"), "held")
+    clear = F.filter(apart(proposals_of(text), own), lambda x: x["t"].rlike(CLEAR))
+    made = F.concat(*map(altered, KINDS), F.transform(clear, lambda x: case(x, x["t"], 0.0, x["kind"], True)))
+    shown = based.select("held", F.explode(made).alias("v")).filter("v.t is not null")
+    shown = shown.select(F.concat("v.before", "v.t", "v.after").alias("text"), F.length("v.before").alias("s"), (F.length("v.before") + F.length("v.t")).alias("e"), "v.t", "v.label", "v.kind", "v.clear", "held")
+    itself = F.array(F.struct("s", "e", "t", "kind")).cast(SPAN)
+    found = shown.withColumn("span", F.explode(F.when(F.col("clear"), itself).otherwise(proposals_of(text))))
+    overlap = F.least("e", F.col("span.e")) - F.greatest("s", F.col("span.s"))
+    found = found.filter((2 * overlap > F.col("e") - F.col("s")) & ((F.col("label") == 0) | (F.col("span.kind") == F.col("kind"))))
+    cases = found.select(*(f.cast("double").alias(n) for n, f in features_of(text, F.col("span")).items()), "label", F.col("span.kind").alias("of"), "held")
+    return cases.groupBy(*cases.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> tuple[list[tuple[float, str]], dict[str, float]] | None:
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[list[tuple[float, str]], dict[str, float]] | None:
     """(weight, printed form) of the boosted trees and the calibrated threshold of each kind; None if there is nothing to fit."""
-    others = [c for c in ("doc_id",) if c in docs.columns and c != text_col]
-    texts = docs.select(F.col(text_col).cast("string").alias("text"), *others)
-    cases = stored(cases_of(sample_of(texts, sample_docs)), "pii-cases")
-    classes = {(r.held, r.label) for r in cases.select("held", "label").distinct().collect()}
-    if len(classes) < 4:
+    cases = stored(cases_of(docs.select(F.col(text_col).cast("string").alias("text"))), "pii-cases")
+    sizes = cases.groupBy("held", "label", "of").agg(F.sum("n").alias("n")).collect()
+    if len({(r.held, r.label) for r in sizes}) < 4:
         return None
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(cases)
-    model = GBTClassifier(maxIter=N_TREES, maxDepth=DEPTH, stepSize=0.3, seed=5).fit(vectors.filter("not held").select("features", "label"))
+    learnt = [r for r in sizes if not r.held]
+    weight = F
+    for r in learnt:
+        weight = weight.when((F.col("of") == r["of"]) & (F.col("label") == r.label), F.col("n") * (sum(x.n for x in learnt) / len(learnt) / r.n))
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(cases.filter("not held").withColumn("weight", weight))
+    model = GBTClassifier(maxIter=N_TREES, maxDepth=DEPTH, maxBins=BINS, stepSize=0.3, seed=5, weightCol="weight").fit(vectors.select("features", "label", "weight"))
     trees = [(w, t.toDebugString) for w, t in zip(model.treeWeights, model.trees, strict=True)]
-    judged = cases.filter("held").select(score_column(trees, {n: F.col(n) for n in FEATURES}).alias("score"), "label", "of").groupBy("of", "score").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n")).collect()
+    scored = cases.filter("held").select(score_column(trees, {n: F.col(n) for n in FEATURES}).alias("score"), "label", "of", "n")
+    judged = scored.groupBy("of", "score").agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n")).collect()
     thresholds = {}
     for kind in KINDS:
         right = n = 0
