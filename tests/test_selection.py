@@ -61,3 +61,19 @@ def test_median_deviation(spark, monkeypatch, most):
     r = selection.median_deviation(df, [], "v").first()
     whole = np.concatenate(list(x.values()))
     assert r.mad == pytest.approx(np.median(np.abs(whole - np.median(whole))))
+
+
+def test_the_table_is_read_once(spark):
+    """Quantiles and the median distance come from one pass over the rows, whatever the number of passes over counts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(v):
+        seen.add(1)
+        return v
+
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), noted((F.col("id") % 50).cast("double")).alias("v"))
+    assert {r.median for r in selection.quantiles(df, ["k"], "v", {"median": 0.5}).collect()} <= {24.0, 24.5, 25.0}
+    assert seen.value == 1000
+    selection.median_deviation(df, ["k"], "v").collect()
+    assert seen.value == 2000

@@ -1,10 +1,10 @@
-"""Exact quantiles of groups of any size by distributed selection.
+"""Exact quantiles of groups of any size from counted values.
 
-The bits of a double, with negative numbers turned, are a 64-bit integer in the same order. A pass counts the values by the next DIGIT
-bits of that integer, among those that share the digits found so far; the bucket that holds the wanted rank gives the next digit, and
-the rank inside it the next rank. After 64 / DIGIT passes the value is known exactly. Only counts of buckets are shuffled, at most
-2^DIGIT for each task and open prefix; values are neither sampled, sorted nor gathered, however many there are and however many are
-equal. The open prefixes (two for each group and quantile) are written between passes, and broadcast only if they are at most MOST.
+The table is read once: equal values of a group are counted, in each task first, so that what is shuffled is at most one row for each distinct
+value and task. The counted values are dealt by ranges of (keys, value), their running sums give the ranks that each value
+holds, and a quantile is the value whose ranks hold the wanted one (``stats.running``). Values are neither sampled nor
+gathered; a single group is spread over the tasks like many, and very many equal values are one row. The median distance is selected from
+the same counts. One row for each group meets the counted values; it is broadcast only for at most MOST groups.
 
 Defined results: null and NaN values aren't counted; a group without others has null quantiles; infinities are values; -0.0
 counts as 0.0. Between two ranks values are interpolated, as ``percentile`` does. Null keys are a group.
@@ -16,13 +16,13 @@ import functools
 import operator
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.operators.stats import running
 from tidegrid.sources.shared import written
 
-DIGIT = 16
-#: Open prefixes that are given to every task; more of them are joined.
+#: Groups whose figures are given to every task; those of more groups are joined.
 MOST = 20_000
 _FRACTION = float(1 << 52)
 
@@ -50,55 +50,46 @@ def _same(keys: Sequence[str]) -> Column:
     return functools.reduce(operator.and_, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys), F.lit(True))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """(keys, n, one column for each name in ``probs``): exact interpolated quantiles of each group; without keys one row.
+def _beside(points: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """points with the columns of ``rows``, written and one for each group, beside their own."""
+    side = F.broadcast(rows) if not keys or rows.count() <= MOST else rows
+    return points.alias("a").join(side.alias("b"), _same(keys)).select("a.*", *(f"b.{c}" for c in rows.columns if c not in keys))
+
+
+def _counted(df: DataFrame, keys: Sequence[str], value: Column, times: Column) -> DataFrame:
+    """(keys, __v, __c), written: how often each value occurs; one row of a null value for null and NaN."""
+    own = df.select(*keys, F.when(~F.isnan(value), value + F.lit(0.0)).alias("__v"), times.alias("__c"))
+    return written(own.groupBy(*keys, "__v").agg(F.sum("__c").alias("__c")), "value-counts")
+
+
+def _selected(points: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles of counted values."""
+    sizes = written(points.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("__v").isNotNull(), F.col("__c"))), F.lit(0)).alias("n")), "sizes")
+    ranked = _beside(running(points.filter("__v is not null"), keys, "__v", ["__c"]), sizes, keys)
+    place = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    holds = lambda rank: (F.col("__c_before") <= rank) & (rank < F.col("__c_before") + F.col("__c"))
+    ends = [F.max(F.when(holds(side(h)), F.col("__v"))).alias(f"__{end}_{name}") for name, h in place.items() for end, side in (("low", F.floor), ("high", F.ceil))]
+    found = ranked.groupBy(*keys).agg(*ends)
 
-    df is read once for each pass: give a stored table, or one that is cheap to compute.
-    """
+    def between(name: str) -> Column:
+        low, high, h = F.col(f"__low_{name}"), F.col(f"__high_{name}"), place[name]
+        return F.when(low == high, low).otherwise(low + (h - F.floor(h)) * (high - low))
+
+    joined = sizes.alias("a").join(found.alias("b"), _same(keys), "left").select(*(f"a.{k}" for k in keys), "a.n", *(f"b.{c}" for c in found.columns if c not in keys))
+    return joined.select(*keys, "n", *(between(name).alias(name) for name in probs))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """(keys, n, one column for each name in ``probs``): exact interpolated quantiles of each group; without keys one row."""
     keys = list(keys)
-    codes = df.select(*keys, order_code(F.col(value).cast("double")).alias("__code"))
-    good = codes.filter("__code is not null")
-    group = [*keys, "__prefix"]
-    wanted = None
-    for level in range(1, 64 // DIGIT + 1):
-        shift = 64 - DIGIT * level
-        own = good if wanted is None else good.withColumn("__prefix", F.shiftright("__code", shift + DIGIT))
-        if wanted is None:
-            own = own.withColumn("__prefix", F.lit(0).cast("bigint"))
-        else:
-            open_ = wanted.select(*group).distinct()
-            small = open_.count() <= MOST
-            own = own.alias("a").join((F.broadcast(open_) if small else open_).alias("b"), _same(group), "left_semi")
-        counts = own.groupBy(*group, F.shiftright("__code", shift).alias("__bucket")).agg(F.count(F.lit(1)).alias("__c"))
-        up = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
-        counts = counts.withColumn("__to", F.sum("__c").over(up))
-        if wanted is None:
-            counts = written(counts, "first-digits")
-            sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("n"))
-            places = []
-            for name, p in probs.items():
-                h = (F.col("n") - 1) * F.lit(float(p))
-                places += [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), rank.cast("bigint").alias("rank"), (h - F.floor(h)).alias("part")) for side, rank in ((0, F.floor(h)), (1, F.ceil(h)))]
-            wanted = sizes.select(*keys, "n", F.explode(F.array(*places)).alias("__w")).select(*keys, "n", "__w.*", F.lit(0).cast("bigint").alias("__prefix"))
-        inside = (F.col("rank") < F.col("__to")) & (F.col("rank") >= F.col("__to") - F.col("__c"))
-        found = wanted.alias("a").join(counts.alias("b"), _same(group) & inside)
-        wanted = written(found.select(*(f"a.{k}" for k in keys), "a.n", "a.name", "a.side", (F.col("rank") - (F.col("__to") - F.col("__c"))).alias("rank"), "a.part", F.col("b.__bucket").alias("__prefix")), "digits")
-    ends = wanted.groupBy(*keys, "n", "name", "part").agg(*(F.max(F.when(F.col("side") == s, from_code(F.col("__prefix")))).alias(c) for s, c in ((0, "low"), (1, "high"))))
-    between = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + F.col("part") * (F.col("high") - F.col("low")))
-    found = ends.groupBy(*keys, "n").agg(*(F.max(F.when(F.col("name") == name, between)).alias(name) for name in probs))
-    if not keys:
-        return found.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *(F.max(p).alias(p) for p in probs))
-    every = codes.select(*keys).distinct()
-    return every.alias("a").join(found.alias("b"), _same(keys), "left").select(*(f"a.{k}" for k in keys), F.coalesce("b.n", F.lit(0)).alias("n"), *(f"b.{p}" for p in probs))
+    return _selected(_counted(df, keys, F.col(value).cast("double"), F.lit(1).cast("bigint")), keys, probs)
 
 
 def median_deviation(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, n, median, mad): each group's median and the median distance from it."""
+    """(keys, n, median, mad): each group's median and the median distance from it. df is read once."""
     keys = list(keys)
-    middle = written(quantiles(df, keys, value, {"median": 0.5}), "medians")
-    small = middle.count() <= MOST
-    side = F.broadcast(middle) if small else middle
-    own = df.select(*keys, F.col(value).cast("double").alias("__v")).alias("a").join(side.alias("b"), _same(keys) if keys else F.lit(True))
-    spread = quantiles(own.select(*(f"a.{k}" for k in keys), F.abs(F.col("__v") - F.col("b.median")).alias("__d")), keys, "__d", {"mad": 0.5})
-    joined = middle.alias("a").join(F.broadcast(spread).alias("b") if small else spread.alias("b"), _same(keys) if keys else F.lit(True))
-    return joined.select(*(f"a.{k}" for k in keys), "a.n", "a.median", "b.mad")
+    points = _counted(df, keys, F.col(value).cast("double"), F.lit(1).cast("bigint"))
+    middle = written(_selected(points, keys, {"median": 0.5}), "medians")
+    apart = _counted(_beside(points, middle, keys), keys, F.abs(F.col("__v") - F.col("median")), F.col("__c"))
+    spread = _selected(apart, keys, {"mad": 0.5})
+    return middle.alias("a").join(spread.alias("b"), _same(keys)).select(*(f"a.{k}" for k in keys), "a.n", "a.median", "b.mad")
