@@ -150,3 +150,18 @@ def test_recordings_are_parsed_by_the_contract():
             signals.parse_samples(content, cfg)
     level = np.abs(signals.synthetic(250, 60, settle_s=20)).reshape(3, 6, -1).mean(axis=2)
     assert (level[:, 0] > 1.5 * level[:, 3]).all() and np.allclose(level[:, 3], level[:, 5], rtol=0.2)
+
+
+def test_hjorth_work_grows_with_the_length_not_its_square(spark):
+    """A mean is computed once for an array: the same number of samples in ten times longer epochs takes about as long, not ten times."""
+    import time
+
+    def seconds(n, rows):
+        x = spark.range(rows, numPartitions=1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.sin(i * i + F.col("id"))).alias("x")).localCheckpoint()
+        found = x.select(*(c.alias(k) for k, c in complexity.hjorth(F.col("x")).items())).agg(F.sum("mobility"), F.sum("complexity"))
+        found.collect()
+        began = time.perf_counter()
+        found.collect()
+        return time.perf_counter() - began
+
+    assert seconds(3000, 20) < 3 * seconds(300, 200) + 1  # the same number of samples

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.config import TINY
-from tidegrid.functions.expr import total
+from tidegrid.functions.expr import let, total
 
 
 def diff(x: Column, lag: int = 1) -> Column:
@@ -21,15 +21,17 @@ def diff(x: Column, lag: int = 1) -> Column:
 
 
 def sd(x: Column) -> Column:
-    mean = total(x) / F.size(x)
-    return F.sqrt(total(F.transform(x, lambda a: (a - mean) * (a - mean))) / F.size(x))
+    """``x`` should be a plain column or one that ``let`` has bound, as it is named several times."""
+    # the mean is bound, or each element would compute it again
+    return let(total(x) / F.size(x), lambda mean: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, a: s + (a - mean) * (a - mean)) / F.size(x)))
 
 
 def hjorth(x: Column) -> dict[str, Column]:
     """Mobility and complexity. ``x`` should be a plain column, as it is named several times."""
-    first, second = diff(x), diff(diff(x))
-    mobility = sd(first) / (sd(x) + TINY)
-    return {"mobility": mobility, "complexity": (sd(second) / (sd(first) + TINY)) / (mobility + TINY)}
+    spread, first = sd(x), let(diff(x), sd)
+    second = let(diff(x), lambda d: let(diff(d), sd))
+    mobility = first / (spread + TINY)
+    return {"mobility": mobility, "complexity": (second / (first + TINY)) / (mobility + TINY)}
 
 
 def permutation_entropy(x: Column) -> Column:
