@@ -74,3 +74,21 @@ def test_offsets_and_halo(spark, size, k):
         x = data[r.name]
         assert r.total == len(x) and r.t == list(range(r.offset, r.offset + r.n)) and r.v == x[r.offset : r.offset + r.n].tolist()
         assert r["__halo"] == x[max(0, r.offset - k) : r.offset].tolist()
+
+
+def test_short_series_take_no_maps(spark, monkeypatch):
+    """Series that no cut goes through are filtered where they are, in rows of one matrix, and equal single arrays."""
+    rng = np.random.default_rng(8)
+    x = {k: rng.normal(size=n) for k, n in enumerate([5, 15, 16, 40, 41, 66, 300])}
+    df = spark.createDataFrame([(k, i, float(v)) for k, own in x.items() for i, v in enumerate(own)], "k long, t long, v double")
+    monkeypatch.setattr(scan, "_combine", None)
+    b, a = band_pass_coefficients(1.0, 20.0, 64.0, 2)
+    got = {}
+    for r in scan.zero_phase(df, ["k"], ["t"], "v", b, a, partitions=1).collect():
+        got.setdefault(r.k, {})[r.t] = r.filtered
+    for k, own in x.items():
+        found = [got[k][i] for i in range(len(own))]
+        if len(own) <= 15:
+            assert found == [None] * len(own)
+        else:
+            assert np.allclose(found, forward_backward(own[None], b, a)[0], atol=1e-12)

@@ -121,6 +121,40 @@ def forward_backward(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return padded[:, edge:-edge]
 
 
+#: Samples of a matrix of series that are filtered at once, about.
+AT_ONCE = 1 << 20
+
+
+def forward_backward_ragged(x: np.ndarray, ends: np.ndarray, b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``forward_backward`` of many series, x[ends[i]:ends[i + 1]], and which of them are too short for it (their samples are NaN).
+
+    Series of like lengths are rows of a matrix, filled up behind: what a filter has put out does not depend on what comes after.
+    """
+    edge, engine, sizes = 3 * max(len(a), len(b)), engine_for(tuple(b), tuple(a)), np.diff(ends)
+    out, short = np.full(len(x), np.nan), sizes <= edge
+    order = np.argsort(sizes, kind="stable")
+    order, at = order[~short[order]], 0
+    while at < len(order):
+        least = sizes[order[at]]
+        end = min(np.searchsorted(sizes[order], least + max(8, least // 8), "right"), at + max(1, AT_ONCE // int(least + 2 * edge)))
+        some, at = order[at:end], end
+        n = sizes[some][:, None]
+        wide = np.arange(n.max() + 2 * edge)[None]
+        place = wide - edge  # mirrored at both ends
+        place = np.where(place < 0, -place, np.where(place >= n, 2 * (n - 1) - place, place))
+        start = ends[:-1][some][:, None]
+        inside, own = wide < n + 2 * edge, x[start + np.clip(place, 0, n - 1)]
+        first, last = x[start], x[start + n - 1]
+        padded = np.where(inside, np.where(wide < edge, 2 * first - own, np.where(wide >= n + edge, 2 * last - own, own)), 0.0)
+        turned = np.clip(n + 2 * edge - 1 - wide, 0, None)
+        for _ in range(2):
+            done = engine.run(padded, padded[:, :1] * engine.steady)
+            padded = np.where(inside, np.take_along_axis(done, turned, axis=1), 0.0)
+        kept = (wide >= edge) & (wide < n + edge)
+        out[(start + wide - edge)[kept]] = padded[kept]
+    return out, short
+
+
 def welch(x: np.ndarray, fs: float, seconds: float, overlap: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """(frequencies, density): mean periodogram of Hann-weighted, mean-free segments along the last axis."""
     size = min(round(seconds * fs), x.shape[-1])

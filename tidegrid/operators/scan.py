@@ -6,6 +6,10 @@ Every piece gives its map (a count and a few numbers); the maps are combined alo
 chunks; and a second pass over the pieces emits the samples, each piece from the state that reaches it. Nothing needs a whole
 series in one place.
 
+A series that lies in one piece needs no scan: such series are filtered where they are, many of like length at once as rows of a matrix
+(``filtering.forward_backward``), so that the work of a table of many short series is that of its samples, not of its series. Only series that
+a cut goes through take the way of the maps.
+
 Zero-phase filtering runs forwards and backwards over a series that is extended oddly at both ends, each run from the steady state of its first
 sample, like ``filtering.forward_backward`` of one array.
 
@@ -20,10 +24,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidegrid.operators.filtering import engine_for
+from tidegrid.operators.filtering import engine_for, forward_backward_ragged
 from tidegrid.operators.pieces import PIECE, PLACE, offsets, pack, same, unpack
 from tidegrid.sources.shared import written
 
@@ -142,11 +148,37 @@ def _ends(placed: DataFrame, keys: Sequence[str], values: str, edge: int) -> Dat
 def zero_phase(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, b: np.ndarray, a: np.ndarray, out: str = "filtered", partitions: int | None = None, size: int = PIECE) -> DataFrame:
     """(keys, order, value, out): every series filtered forwards and backwards along ``order``."""
     keys, order = list(keys), list(order)
-    edge = 3 * max(len(a), len(b))
-    steady = _doubles(engine_for(tuple(b), tuple(a)).steady).tolist()
     clean = df.select(*keys, *order, F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias(value))
     pieces = pack(clean, keys, order, [*order, value], partitions, size)
-    placed = pieces.alias("a").join(offsets(pieces, keys).alias("b"), same(keys)).select("a.*", "b.offset", "b.total")
+    placed = written(pieces.alias("a").join(offsets(pieces, keys).alias("b"), same(keys)).select("a.*", "b.offset", "b.total"), "placed")
+    whole = _filtered_whole(placed.filter(F.col("n") == F.col("total")).drop("offset", "total"), value, b, a, out)
+    cut = placed.filter(F.col("n") < F.col("total"))
+    if not cut.isEmpty():
+        whole = whole.unionByName(_filtered_in_pieces(cut, keys, value, b, a, out))
+    return unpack(whole, keys, [*order, value, out])
+
+
+def _filtered_whole(pieces: DataFrame, value: str, b: np.ndarray, a: np.ndarray, out: str) -> DataFrame:
+    """pieces with ``out``, each a whole series."""
+    b, a = tuple(b), tuple(a)
+    layout = T.StructType([*pieces.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index(value))
+            ends = np.cumsum([0, *pc.list_value_length(lists).to_pylist()]).astype(np.int32)
+            flat, short = forward_backward_ragged(_floats(lists.flatten()), ends, b, a)
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, mask=np.repeat(short, np.diff(ends))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=layout.names)
+
+    return pieces.mapInArrow(run, layout)
+
+
+def _filtered_in_pieces(placed: DataFrame, keys: list[str], value: str, b: np.ndarray, a: np.ndarray, out: str) -> DataFrame:
+    """The pieces placed(keys, place, n, offset, total, values) with ``out``, by maps along their series."""
+    edge = 3 * max(len(a), len(b))
+    steady = _doubles(engine_for(tuple(b), tuple(a)).steady).tolist()
+    pieces = placed.drop("offset", "total")
     ends = written(_ends(placed, keys, value, edge), "ends")
     long_enough = ends.filter(F.col("total") > edge)
     odd = lambda x, at, pivot: F.transform(F.reverse(F.slice(x, at, edge)), lambda v: 2 * F.get(x, F.lit(pivot)) - v)
@@ -165,5 +197,5 @@ def zero_phase(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     turned = forth.select(*keys, (-F.col("__chunk")).alias("__chunk"), (-F.col("__piece")).alias("__piece"), "n", F.reverse("y").alias("r"))
     last = forth.filter(F.col("__chunk") == TAIL).select(*keys, times(F.get("y", F.lit(edge - 1))).alias("first"))
     back = run_filter(turned, keys, "r", b, a, last).select(*keys, (-F.col("__chunk")).alias("__chunk"), (-F.col("__piece")).alias("__piece"), F.reverse("y").alias(out))
-    joined = pieces.alias("a").join(back.alias("b"), same(keys), "left").select("a.*", F.coalesce(f"b.{out}", F.transform(f"a.{value}", lambda _: F.lit(None).cast("double"))).alias(out))
-    return unpack(joined, keys, [*order, value, out])
+    joined = pieces.alias("a").join(back.alias("b"), same(keys), "left")
+    return joined.select("a.*", F.coalesce(f"b.{out}", F.transform(f"a.{value}", lambda _: F.lit(None).cast("double"))).alias(out))
